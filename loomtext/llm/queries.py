@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.cluster import described, hashed_vectors, labelled_clusters, mislabelled
+from loomtext.llm.knn import nearest_neighbours, similar_pairs
+from loomtext.llm.leaks import leaked_items
 from loomtext.llm.lookalike import canonical_columns, lookalike_pairs
 from loomtext.llm.neardup import near_duplicate_groups, near_duplicate_pairs
+from loomtext.llm.split import split_oversized
+from loomtext.llm.terms import distinctive_terms, marked_terms
+from loomtext.llm.tokens import decode_corpus, encode_corpus
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,9 +37,123 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, d, "source_csv"), "_ref", ["title", "abstract"])
 
 
+#: In ln(N): a term is characteristic of a record when its weight is at least this. As ln(N / (d + 1)) < ln(N), it must
+#: stand there at least 4 times, so rarer pairs need not be scored.
+CHARACTERISTIC, AT_LEAST = 3.05, 4
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    scored = distinctive_terms(_table(spark, d, "parsed_documents"), least=AT_LEAST)
+    return scored.where(F.col("weight") >= CHARACTERISTIC * F.log(F.col("n_records").cast("double"))).select(F.col("id").alias("_ref"), "word")
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = distinctive_terms(_table(spark, d, "parsed_documents"))
+    return scored.select(F.col("id").alias("_ref"), "word", "c", "d", (F.round("score", 4) + 0.0).alias("score"), (F.round("weight", 4) + 0.0).alias("weight"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    marked = marked_terms(_table(spark, d, "parsed_documents"), _table(spark, d, "term_document_frequency"))
+    return marked.select("word", F.explode("marks").alias("mark"))
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    marked = marked_terms(_table(spark, d, "parsed_documents"), _table(spark, d, "term_document_frequency"))
+    return marked.select("word", "occ", "recs", "stored", F.array_join("marks", ",").alias("marks"))
+
+
+def _unique_idf(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "document_vectors").where("score_method = 'unique_IDF'")
+
+
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = _table(spark, d, "cluster_desc").select("cluster_id").where("cluster_id is not null").distinct().count()
+    return labelled_clusters(_unique_idf(spark, d), _table(spark, d, "cluster_master_labels"), k)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mislabelled(*_clusters(spark, d)).withColumnRenamed("id", "_ref")
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return described(*_clusters(spark, d), _table(spark, d, "cluster_desc"))
+
+
+def p6_text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the parsed texts themselves, by hashed weighted features, held against the same labels."""
+    vectors = hashed_vectors(_table(spark, d, "parsed_documents"), "_ref", "text", 256)
+    members, right = labelled_clusters(vectors, _table(spark, d, "cluster_master_labels"), 12, dim=256, floor=0.0)
+    return described(members, right, _table(spark, d, "cluster_desc"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(_unique_idf(spark, d))
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_neighbours(_unique_idf(spark, d)).withColumnRenamed("id", "_ref")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return decode_corpus(encode_corpus(_table(spark, d, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each item that leaked: the documents that hold it and the runs found in them."""
+    leaks = leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+    return leaks.groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("documents"), F.sum("runs").alias("runs"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split_oversized(_table(spark, d, "documents"), texts=False)
+    return pieces.where("piece = 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
 
+_RECORDS = """
+rec AS (SELECT _ref, max(struct_pack(t := parsed_at, x := text)).x AS text FROM parsed_documents WHERE _ref IS NOT NULL GROUP BY _ref),
+tok AS (SELECT _ref, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word FROM rec),
+tc AS (SELECT _ref, word, count(*) AS c FROM tok GROUP BY _ref, word),
+wc AS (SELECT word, sum(c)::BIGINT AS occ, count(*) AS d FROM tc GROUP BY word),
+nn AS (SELECT count(DISTINCT _ref) AS n, sum(c)::DOUBLE AS total FROM tc),
+ln AS (SELECT _ref, sum(c)::DOUBLE AS length FROM tc GROUP BY _ref)"""
+_STORED = """
+kept AS (SELECT word, coalesce(sum("count"), 0)::BIGINT AS stored FROM (SELECT DISTINCT batch, src_file, word, "count" FROM term_document_frequency WHERE word IS NOT NULL) GROUP BY word),
+marked AS (SELECT word, occ, d AS recs, coalesce(stored, 0) AS stored, d < 3 AS rare, d > 0.15 * n AS common, d <> coalesce(stored, 0) AS wrong
+  FROM wc LEFT JOIN kept USING (word), nn)"""
+
+
+_UNITS = """WITH ok AS (SELECT DISTINCT _ref AS r, v::DOUBLE[] AS v FROM document_vectors WHERE score_method = 'unique_IDF' AND _ref IS NOT NULL AND len(v) = 64
+  AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+u AS (SELECT r, v, sqrt(list_dot_product(v, v)) AS n FROM ok)"""
+
+
+def _part(seen: str, row: str, column: str) -> str:
+    return f"CASE WHEN {seen} > 0 THEN {seen} * ln({seen} * total / (({row}) * ({column}))) ELSE 0.0 END"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    g = " + ".join([_part("c", "length", "occ"), _part("(occ - c)", "total - length", "occ"), _part("(length - c)", "length", "total - occ"), _part("(total - length - (occ - c))", "total - length", "total - occ")])
+    return {
+        "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
+        "p7_found": _UNITS + " SELECT a.r AS ref_a, b.r AS ref_b FROM u a JOIN u b ON a.r < b.r AND list_dot_product(a.v, b.v) >= 0.97 * a.n * b.n",
+        "p3_found": f"WITH {_RECORDS} SELECT _ref, word FROM tc JOIN wc USING (word), nn WHERE c * ln(n / (d + 1.0)) >= {CHARACTERISTIC} * ln(n)",
+        "p3_scores": f"WITH {_RECORDS} SELECT _ref, word, c, d, round(CASE WHEN c * total < occ * length THEN -1 ELSE 1 END * 2 * ({g}), 4) + 0.0 AS score, round(c * ln(n / (d + 1.0)), 4) + 0.0 AS weight FROM tc JOIN wc USING (word) JOIN ln USING (_ref), nn",
+        "p4_found": f"WITH {_RECORDS}, {_STORED} SELECT word, 'rare' AS mark FROM marked WHERE rare UNION ALL SELECT word, 'common' FROM marked WHERE common UNION ALL SELECT word, 'miscounted' FROM marked WHERE wrong",
+        "p4_terms": f"WITH {_RECORDS}, {_STORED} SELECT word, occ, recs, stored, concat_ws(',', CASE WHEN rare THEN 'rare' END, CASE WHEN common THEN 'common' END, CASE WHEN wrong THEN 'miscounted' END) AS marks FROM marked",
+    }
