@@ -26,7 +26,7 @@ def close_pairs(centroids: DataFrame, threshold: float) -> DataFrame:
 
 def pair_members(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(i, j, y, _ref): records of each pair's clusters, y = 0 for i and 1 for j."""
-    sides = pairs.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("c"), F.lit(0).alias("y")), F.struct(F.col("j"), F.lit(1)))).alias("s")).select("i", "j", "s.c", "s.y")
+    sides = pairs.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("c"), F.lit(0).alias("y")), F.struct(F.col("j").alias("c"), F.lit(1).alias("y")))).alias("s")).select("i", "j", "s.c", "s.y")
     return labels.select("_ref", F.col("cluster_id").alias("c")).join(F.broadcast(sides), "c").select("i", "j", "y", "_ref")
 
 

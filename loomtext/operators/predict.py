@@ -136,7 +136,7 @@ def fold_metrics(predicted: DataFrame, average: str = "binary") -> DataFrame:
     if average not in ("binary", "macro"):
         raise ValueError("average is binary or macro")
     acc = predicted.groupBy("fold").agg(F.avg((F.col("y_truth") == F.col("y_pred")).cast("double")).alias("accuracy"))
-    sides = predicted.select("fold", F.explode(F.array(F.struct(F.col("y_truth").alias("y"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col("y_truth") == F.col("y_pred")).cast("int").alias("tp")), F.struct(F.col("y_pred").alias("y"), F.lit(0), F.lit(1), F.lit(0)))).alias("s"))
+    sides = predicted.select("fold", F.explode(F.array(F.struct(F.col("y_truth").alias("y"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col("y_truth") == F.col("y_pred")).cast("int").alias("tp")), F.struct(F.col("y_pred").alias("y"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")))).alias("s"))
     per = sides.groupBy("fold", "s.y").agg(F.sum("s.tp").alias("tp"), F.sum("s.t").alias("t"), F.sum("s.p").alias("p"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("t") + F.col("p")), F.lit(0.0))
     per = per.where("y = 1") if average == "binary" else per

@@ -271,10 +271,10 @@ def _scored_sql(distinct: bool, weighted: bool) -> str:
     rows_ = "(SELECT DISTINCT _ref, word FROM tok)" if distinct else "tok"
     coef = "n * idf" if weighted else "n"
     return f"""WITH {_TOY},
-s AS (SELECT _ref, at, sum({coef} * vec[at]) AS x FROM {rows_} JOIN vocab USING (word), range(1, {DIM + 1}) g(at) GROUP BY _ref, at),
+s AS (SELECT _ref, ix, sum({coef} * vec[ix]) AS x FROM {rows_} JOIN vocab USING (word), range(1, {DIM + 1}) g(ix) GROUP BY _ref, ix),
 l AS (SELECT _ref, sqrt(sum(x * x)) AS len FROM s GROUP BY _ref)
-SELECT docs._ref, (g.at - 1)::INTEGER AS dim, round(coalesce(CASE WHEN len > 0 THEN x / len ELSE x END, 0.0), 6) + 0.0 AS value
-FROM docs CROSS JOIN range(1, {DIM + 1}) g(at) LEFT JOIN s ON s._ref = docs._ref AND s.at = g.at LEFT JOIN l ON l._ref = docs._ref"""
+SELECT docs._ref, (g.ix - 1)::INTEGER AS dim, round(coalesce(CASE WHEN len > 0 THEN x / len ELSE x END, 0.0), 6) + 0.0 AS value
+FROM docs CROSS JOIN range(1, {DIM + 1}) g(ix) LEFT JOIN s ON s._ref = docs._ref AND s.ix = g.ix LEFT JOIN l ON l._ref = docs._ref"""
 
 
 for _m, _q, _a in (("simple", "score_simple", (False, False)), ("unique", "score_unique", (True, False)), ("simple_IDF", "score_simple_idf", (False, True)), ("unique_IDF", "score_unique_idf", (True, True))):
@@ -316,9 +316,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 _V = "v AS (SELECT vec_id AS _ref, embedding::DOUBLE[] AS vec, label AS cluster_id FROM embeddings)"
 _CENTROIDS = f"""{_V},
-cs AS (SELECT cluster_id, at, avg(vec[at]) AS x FROM v, range(1, {DIM + 1}) g(at) GROUP BY cluster_id, at),
+cs AS (SELECT cluster_id, ix, avg(vec[ix]) AS x FROM v, range(1, {DIM + 1}) g(ix) GROUP BY cluster_id, ix),
 cl AS (SELECT cluster_id, sqrt(sum(x * x)) AS len FROM cs GROUP BY cluster_id),
-c AS (SELECT cluster_id, list(x / len ORDER BY at) AS vec FROM cs JOIN cl USING (cluster_id) GROUP BY cluster_id)"""
+c AS (SELECT cluster_id, list(x / len ORDER BY ix) AS vec FROM cs JOIN cl USING (cluster_id) GROUP BY cluster_id)"""
 _LABELS = f"""{_CENTROIDS},
 lab AS (SELECT _ref, cluster_id, cosine FROM (SELECT v._ref, c.cluster_id, list_cosine_similarity(v.vec, c.vec) AS cosine,
   row_number() OVER (PARTITION BY v._ref ORDER BY round(1 - list_cosine_similarity(v.vec, c.vec), 12), c.cluster_id) AS rn FROM v, c) WHERE rn = 1)"""
@@ -351,7 +351,7 @@ def cosine_affinity(spark: SparkSession, d: str) -> DataFrame:
     return metacluster.cosine_affinity(chunked, by=["chunk"]).withColumn("affinity", _r("affinity"))
 
 
-@query(f"WITH {_CENTROIDS} SELECT cluster_id, (g.at - 1)::INTEGER AS dim, round(vec[g.at], 6) + 0.0 AS value FROM c, range(1, {DIM + 1}) g(at)")
+@query(f"WITH {_CENTROIDS} SELECT cluster_id, (g.ix - 1)::INTEGER AS dim, round(vec[g.ix], 6) + 0.0 AS value FROM c, range(1, {DIM + 1}) g(ix)")
 def centroids(spark: SparkSession, d: str) -> DataFrame:
     return _long(_centroids(spark, d), "cluster_id")
 
@@ -395,8 +395,8 @@ def centroid_distance(spark: SparkSession, d: str) -> DataFrame:
 
 _CPLAIN = _CENTROIDS[len(_V) + 1 :]
 _WORDS = f"""{_TOY}, {_V}, {_CPLAIN},
-near AS (SELECT c.cluster_id, word, row_number() OVER (PARTITION BY c.cluster_id ORDER BY round(list_cosine_similarity(toy.vec, c.vec), 12) DESC, word) AS at FROM c, toy),
-words AS (SELECT cluster_id, string_agg(word, ' ' ORDER BY at) AS word2vec_description FROM near WHERE at <= 10 GROUP BY cluster_id)"""
+near AS (SELECT c.cluster_id, word, row_number() OVER (PARTITION BY c.cluster_id ORDER BY round(list_cosine_similarity(toy.vec, c.vec), 12) DESC, word) AS ix FROM c, toy),
+words AS (SELECT cluster_id, string_agg(word, ' ' ORDER BY ix) AS word2vec_description FROM near WHERE ix <= 10 GROUP BY cluster_id)"""
 
 
 def _toy_embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -472,8 +472,8 @@ def _predicted(spark: SparkSession, d: str, dim: int) -> DataFrame:
 
 def _predicted_sql(dim: int, name: str) -> str:
     return f"""{name}_f AS (SELECT vec_id AS _ref, label AS y, list_slice(embedding::DOUBLE[], 1, {dim}) AS vec, {_FOLD.format(FOLDS, 'label', 'vec_id')} FROM embeddings),
-{name}_m AS (SELECT t.fold, y, at, avg(vec[at]) AS x FROM {name}_f f JOIN (SELECT DISTINCT fold FROM {name}_f) t ON f.fold <> t.fold, range(1, {dim + 1}) g(at) GROUP BY t.fold, y, at),
-{name}_c AS (SELECT fold, y, list(x ORDER BY at) AS c FROM {name}_m GROUP BY fold, y),
+{name}_m AS (SELECT t.fold, y, ix, avg(vec[ix]) AS x FROM {name}_f f JOIN (SELECT DISTINCT fold FROM {name}_f) t ON f.fold <> t.fold, range(1, {dim + 1}) g(ix) GROUP BY t.fold, y, ix),
+{name}_c AS (SELECT fold, y, list(x ORDER BY ix) AS c FROM {name}_m GROUP BY fold, y),
 {name} AS (SELECT _ref, fold, y_truth, y_pred FROM (SELECT f._ref, f.fold, f.y AS y_truth, c.y AS y_pred, row_number() OVER (PARTITION BY f._ref ORDER BY round(list_dot_product(c.c, c.c) - 2 * list_dot_product(f.vec, c.c), 9), c.y) AS rn FROM {name}_f f JOIN {name}_c c ON f.fold = c.fold) WHERE rn = 1)"""
 
 
@@ -537,8 +537,8 @@ def lime_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 _SUBSET = f"""{_CENTROIDS}, pr AS (SELECT a.cluster_id AS i, b.cluster_id AS j FROM c a JOIN c b ON a.cluster_id < b.cluster_id AND list_cosine_similarity(a.vec, b.vec) > {CLOSE}),
 mem AS (SELECT i, j, 0 AS y, _ref FROM pr JOIN v ON v.cluster_id = i UNION ALL SELECT i, j, 1, _ref FROM pr JOIN v ON v.cluster_id = j),
-rk AS (SELECT *, row_number() OVER (PARTITION BY i, j, y ORDER BY md5('0:' || _ref), _ref) AS at, count(*) OVER (PARTITION BY i, j, y) AS n FROM mem),
-sub AS (SELECT i, j, y, _ref FROM (SELECT *, min(n) OVER (PARTITION BY i, j) AS least FROM rk) WHERE at <= least(least, 25))"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY i, j, y ORDER BY md5('0:' || _ref), _ref) AS ix, count(*) OVER (PARTITION BY i, j, y) AS n FROM mem),
+sub AS (SELECT i, j, y, _ref FROM (SELECT *, min(n) OVER (PARTITION BY i, j) AS least FROM rk) WHERE ix <= least(least, 25))"""
 
 
 @query(f"WITH {_SUBSET} SELECT i, j, y, _ref FROM sub")
