@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from loomtext.llm.normalize import canonical
 
@@ -109,7 +110,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int =
         if n:
             yield batch
         return
-    lengths = np.cumsum(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lengths = np.cumsum(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < n:
         base = lengths[at - 1] if at else 0
