@@ -35,51 +35,70 @@ def _fields(pieces: Column) -> Column:
     return F.transform(F.split(F.array_join(escaped, '"'), _CUT), lambda x: F.replace(x, F.lit(_MARK), F.lit(_ESCAPE)))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row. A plain projection would be copied into every later use, and
+    a filter on it pushed below; a generator of one row is not."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _value(raw: Column) -> Column:
     """The text of a raw field; an empty field without quotes is null."""
     quoted = raw.startswith('"')
     return F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).when(raw != "", raw)
 
 
+def _free(name: str, taken: list[str], prefix: str) -> str:
+    """``name``, with the prefix while a column is called so already."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = prefix + name
+    return name
+
+
+def _parsed(df: DataFrame, raw: str, header: tuple[str, ...]) -> DataFrame:
+    """(row: all columns of df, fields, errors)."""
+    d = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    text = F.col(f"row.`{raw}`")
+    line = F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
+    d = _once(d, "pieces", F.split(line, '"'))
+    d = _once(d, "quoting", F.coalesce(_bad_quoting(F.col("pieces")), F.lit(False)))
+    d = _once(d, "cells", F.when(~F.col("quoting"), _fields(F.col("pieces"))))
+    count = F.when(text.isNull(), 0).otherwise(F.size("cells"))
+    whole = ~F.col("quoting") & (count == len(header))
+    d = _once(d, "fields", F.when(whole, F.struct(*[_value(F.get("cells", F.lit(i))).alias(h) for i, h in enumerate(header)])))
+
+    def fails(field: str, pattern: str) -> Column:
+        return ~F.coalesce(F.col(f"fields.`{field}`").rlike(pattern), F.lit(False))
+
+    def broken(field: str) -> Column:
+        return F.coalesce(F.col(f"fields.`{field}`").rlike(BROKEN), F.lit(False))
+
+    value = fails("pmid", r"\A[0-9]{1,8}\z") | fails("year", r"\A(19|20)[0-9]{2}\z") | broken("abstract") | broken("specific aims")
+    errors = F.array_compact(F.array(
+        F.when(F.col("quoting"), F.lit("quoting")),
+        F.when(~F.col("quoting") & (count != len(header)), F.lit("column_count")),
+        F.when(whole & value, F.lit("value")),
+    ))
+    return _once(d, "errors", errors).select("row", "fields", "errors")
+
+
 def parse_records(df: DataFrame, raw: str = "raw", header: tuple[str, ...] = HEADER) -> DataFrame:
     """``df`` with ``fields`` (struct of nullable texts, null where the row can't be split) and ``errors``, the reasons in
     the order quoting, column_count, value; empty for a sound row. One carriage return at the very end belongs to the
-    line end. A null row has no fields (column_count), an empty one a single field. Other columns stay as they are."""
-    line = F.regexp_replace(F.col(raw), r"\r\z", "")
-    pieces = F.split(line, '"')
-    d = df.withColumn("_pieces", pieces).withColumn("_quoting", F.coalesce(_bad_quoting(F.col("_pieces")), F.lit(False)))
-    d = d.withColumn("_raw", F.when(~F.col("_quoting"), _fields(F.col("_pieces"))))
-    count = F.when(F.col(raw).isNull(), 0).otherwise(F.size("_raw"))
-    whole = ~F.col("_quoting") & (count == len(header))
-    d = d.withColumn("fields", F.when(whole, F.struct(*[_value(F.get("_raw", F.lit(i))).alias(h) for i, h in enumerate(header)])))
-
-    def fails(test: Column) -> Column:
-        return whole & ~F.coalesce(test, F.lit(False))
-
-    f = lambda h: F.col(f"fields.`{h}`")
-    value = fails(f("pmid").rlike(r"\A[0-9]{1,8}\z")) | fails(f("year").rlike(r"\A(19|20)[0-9]{2}\z"))
-    value = value | (whole & F.coalesce(f("abstract").rlike(BROKEN), F.lit(False))) | (whole & F.coalesce(f("specific aims").rlike(BROKEN), F.lit(False)))
-    errors = F.array_compact(F.array(
-        F.when(F.col("_quoting"), F.lit("quoting")),
-        F.when(~F.col("_quoting") & (count != len(header)), F.lit("column_count")),
-        F.when(value, F.lit("value")),
-    ))
-    return d.withColumn("errors", errors).drop("_pieces", "_quoting", "_raw")
+    line end. A null row has no fields (column_count), an empty one a single field. Other columns stay as they are; where
+    one is called fields or errors, the new one is called parsed_..."""
+    d = _parsed(df, raw, header)
+    return d.select(*[F.col(f"row.`{c}`") for c in df.columns], *[F.col(c).alias(_free(c, df.columns, "parsed_")) for c in ("fields", "errors")])
 
 
 def split_records(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(loaded rows: the columns beside ``raw``, then pmid as long, the texts, year as int; rejected rows: those columns,
-    ``raw``, the first ``reason`` and all ``errors``). A column of ``df`` named like a field keeps its place and the field
-    is named ``field_...``."""
-    parsed = parse_records(df, raw)
+    ``raw``, the first ``reason`` and all ``errors``). A column of ``df`` named like a new one keeps its place and name, and
+    the new one is called field_... or row_..."""
+    d = _parsed(df, raw, HEADER)
     kept = [c for c in df.columns if c != raw]
-
-    def name(h: str) -> str:
-        plain = h.replace(" ", "_")
-        return f"field_{plain}" if plain.lower() in {c.lower() for c in kept} else plain
-
+    rest = [F.col(f"row.`{c}`") for c in kept]
     typed = {"pmid": "long", "year": "int"}
-    cols = [(F.col(f"fields.`{h}`").try_cast(typed[h]) if h in typed else F.col(f"fields.`{h}`")).alias(name(h)) for h in HEADER]
-    good = parsed.where(F.size("errors") == 0).select(*[F.col(f"`{c}`") for c in kept], *cols)
-    bad = parsed.where(F.size("errors") > 0).select(*[F.col(f"`{c}`") for c in kept], F.col(raw), F.get("errors", F.lit(0)).alias("reason"), "errors")
-    return good, bad
+    cols = [(F.col(f"fields.`{h}`").try_cast(typed[h]) if h in typed else F.col(f"fields.`{h}`")).alias(_free(h.replace(" ", "_"), kept, "field_")) for h in HEADER]
+    good = d.where(F.size("errors") == 0).select(*rest, *cols)
+    new = [F.get("errors", F.lit(0)).alias(_free("reason", [*kept, raw], "row_")), F.col("errors").alias(_free("errors", [*kept, raw], "row_"))]
+    return good, d.where(F.size("errors") > 0).select(*rest, F.col(f"row.`{raw}`"), *new)

@@ -73,6 +73,9 @@ def test_split_keeps_clashing_columns(spark):
     assert rows(good) == [(1, "own", 7, 12, 'a "t"', "x,y\nz", None, "J", 1999)]
     assert good.columns == ["record_id", "title", "extra", "pmid", "field_title", "abstract", "specific_aims", "journal", "year"]
     assert rows(bad) == [(2, None, None, "1,2", "column_count", ["column_count"])]
+    clash = df.withColumnRenamed("extra", "errors").withColumnRenamed("title", "Reason")
+    assert parse_records(clash).columns == ["record_id", "Reason", "raw", "errors", "fields", "parsed_errors"]
+    assert split_records(clash)[1].columns == ["record_id", "Reason", "errors", "raw", "row_reason", "row_errors"]
     good, bad = split_records(df.limit(0))
     assert good.count() == bad.count() == 0
     assert len(HEADER) == 6
