@@ -52,7 +52,8 @@ def test_marks(spark):
     assert got["c"].marks == ["miscounted"] and got["a"].marks == ["rare", "miscounted"] and got["nan"].marks == ["rare"]
     assert got["long"].occ == 50_000 and "unheld" not in got and len(got) == len({w for t in RECORDS.values() for w in t.split()})
     assert terms.marked_terms(frame(spark).limit(0), tdf).count() == 0
-    assert {tuple(r.marks) for r in terms.marked_terms(frame(spark), tdf.limit(0)).collect()} == {("rare", "miscounted"), ("common", "miscounted"), ("miscounted",)}
+    # of six records one is more than 15 of 100
+    assert {tuple(r.marks) for r in terms.marked_terms(frame(spark), tdf.limit(0)).collect()} == {("rare", "common", "miscounted"), ("common", "miscounted")}
 
 
 def test_hot_term_over_several_ranges(spark):
