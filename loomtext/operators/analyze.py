@@ -5,12 +5,15 @@ vectors are left out of distances."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.linkage import leaf_order
-from loomtext.functions.vector import cosine, dot, l2_normalize, norm, packed, sums
+from loomtext.functions.vector import cosine, dot, l2_normalize, matrix, norm, packed, sums
 
 
 def members(vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,13 +58,31 @@ def dispersion_order(matrix: DataFrame | None, clusters: DataFrame) -> DataFrame
     return clusters.sparkSession.createDataFrame(rows, "cluster_id int, dispersion_order int")
 
 
+def _best_words(names: list[int], c: np.ndarray, topn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    unit = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(1), c.shape[1])
+            n = np.linalg.norm(x, axis=1)
+            words = np.array(b.column(0).to_pylist(), object)[n > 0]
+            cos = np.round((x[n > 0] / n[n > 0, None]) @ unit.T, 12)
+            for j, name in enumerate(names):
+                # whatever ties with the last of the best goes on too
+                edge = np.partition(-cos[:, j], topn - 1)[topn - 1] if len(words) > topn else np.inf
+                best = np.flatnonzero(-cos[:, j] <= edge)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.int32()), pa.array(words[best].tolist(), pa.string()), pa.array(cos[best, j])], ["cluster_id", "word", "cos"])
+
+    return run
+
+
 def top_words(centroids: DataFrame, embedding: DataFrame, topn: int = 10) -> DataFrame:
     """(cluster_id, word2vec_description): the words nearest each centroid by cosine (rounded to 12 digits; ties by
-    word), joined by spaces. The centroids are few; words are ranked in parts first."""
-    c = centroids.select("cluster_id", F.col("vec").alias("c"))
-    near = embedding.join(F.broadcast(c), F.lit(True)).select("cluster_id", "word", F.round(cosine(F.col("vec"), F.col("c")), 12).alias("cos")).where("cos is not null")
-    part = Window.partitionBy("cluster_id", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("cos"), "word")
-    near = near.withColumn("at", F.row_number().over(part)).where(F.col("at") <= topn)
+    word), joined by spaces. The centroids are few and go along with the tasks; only the best words of a batch move."""
+    held = centroids.select(F.col("cluster_id").cast("int"), "vec").orderBy("cluster_id").collect()
+    if not held:
+        return centroids.select(F.col("cluster_id").cast("int"), F.lit("").alias("word2vec_description"))
+    near = embedding.select("word", "vec").mapInArrow(_best_words([r[0] for r in held], np.array([r[1] for r in held], float), topn), "cluster_id int, word string, cos double")
     whole = Window.partitionBy("cluster_id").orderBy(F.desc("cos"), "word")
     near = near.withColumn("at", F.row_number().over(whole)).where(F.col("at") <= topn)
     words = F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])

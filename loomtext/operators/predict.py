@@ -22,8 +22,8 @@ BLOCK = 4096
 def class_balance(df: DataFrame, column: str) -> DataFrame:
     """(y, count, share) of every class that isn't null."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("y")).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("y", "count", (F.col("count") / F.col("total")).alias("share"))
+    whole = Window.partitionBy(F.lit(0))  # over a row per class
+    return counts.select("y", "count", (F.col("count") / F.sum("count").over(whole)).alias("share"))
 
 
 def majority_baseline(df: DataFrame, column: str) -> DataFrame:

@@ -307,6 +307,26 @@ def pca(spark: SparkSession, d: str) -> DataFrame:
     return _long(reduce_vectors(v, 8)[0], "_ref", vec="vec_reduced")
 
 
+@query("SELECT DISTINCT score_method AS method, _ref, len(v) AS n, round(v[1]::DOUBLE, 6) + 0.0 AS first FROM document_vectors WHERE score_method = 'simple' AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0")
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all methods stored by method; those of one method read back from their partition alone."""
+    v = _t(spark, d, "document_vectors").select(F.col("score_method").alias("method"), "_ref", F.col("v").cast("array<double>").alias("vec"))
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    tables.save_vectors(v.where("vec is not null and not exists(vec, x -> x is null or isnan(x))").distinct(), path)
+    held = tables.load_vectors(spark, path, "simple")
+    return held.select(F.lit("simple").alias("method"), "_ref", F.size("vec").cast("long").alias("n"), _r(F.get("vec", F.lit(0))).alias("first"))
+
+
+@query(f'WITH {_DOCS} SELECT word, "count" FROM tdf UNION ALL SELECT \'{tables.DOCUMENT_COUNTER}\', n FROM nn')
+def stored_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies exported as CSV with the counter's row, read again, and the counter put back as a row."""
+    docs = _docs(spark, d)
+    path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    tables.write_counts(counts.term_document_frequency(docs), docs.count(), path)
+    back, n = tables.read_counts(spark, path)
+    return back.unionAll(spark.createDataFrame([(tables.DOCUMENT_COUNTER, n)], back.schema))
+
+
 # --- clusters ------------------------------------------------------------------------------------------------------
 
 
