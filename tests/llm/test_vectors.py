@@ -71,6 +71,11 @@ def test_similar_pairs(spark, monkeypatch):
     monkeypatch.setattr(knn, "LEAF", 400)
     again = knn.similar_pairs(df).collect()
     assert len(again) == len({tuple(r) for r in again}) and len({tuple(r) for r in again} & expected) >= 0.98 * len(expected)
+    monkeypatch.undo()
+    monkeypatch.setattr(knn, "DIVIDE", 100)  # large blocks are divided into cells
+    monkeypatch.setattr(knn, "CELL", 40)
+    divided = {tuple(r) for r in knn.similar_pairs(df).collect()}
+    assert divided <= expected and len(divided) >= 0.98 * len(expected)
     assert knn.similar_pairs(df.limit(0)).count() == 0 and knn.similar_pairs(frame(spark, x[:1])).count() == 0
 
 
