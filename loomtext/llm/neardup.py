@@ -11,7 +11,9 @@ of the longer one. Method: SuperMinHash over the multiset of words, banding, ver
 4. Pairs of classes go out expanded to records, or as groups with their number of links.
 
 Bands: 40 of 8 slots. A pair of Jaccard similarity J (of multisets) is met with probability 1 - (1 - J^8)^40: 0.9999 at
-0.85, 0.996 at 0.776, 0.80 at 0.667, the least that a similarity of 0.8 allows (equal lengths, edits everywhere).
+0.85, 0.996 at 0.776, 0.80 at 0.667, the least that a similarity of 0.8 allows (equal lengths, edits everywhere). The
+shape is a parameter: unlike records of similarity j meet with about 40 j^8, so a collection of very many records that
+are much alike in their frequent words wants wider bands, and up to 64 of them.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def _profile(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _banded(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _banded(least: int, count: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, whole.num_columns - 1, rows=STEP):
@@ -88,10 +90,10 @@ def _banded(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 place = np.cumsum(keep) - 1
                 mine = keep[owner]
                 order = np.argsort(first)
-                sig = signatures(elements[mine], place[owner[mine]], len(first), BANDS * WIDTH)
-                keys = bands(sig, BANDS, WIDTH)
+                sig = signatures(elements[mine], place[owner[mine]], len(first), count * width)
+                keys = bands(sig, count, width)
                 who = c1[order]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(who, BANDS)), pa.array(np.repeat(n[order].astype(np.int32), BANDS))], ["key", "c1", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(who, count)), pa.array(np.repeat(n[order].astype(np.int32), count))], ["key", "c1", "n"])
 
     return run
 
@@ -120,9 +122,9 @@ def _needed(similarity: float) -> Column:
     return F.ceil(F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9))
 
 
-def _candidates(source: DataFrame, least: int, similarity: float) -> DataFrame:
+def _candidates(source: DataFrame, least: int, similarity: float, shape: tuple[int, int]) -> DataFrame:
     """Pairs (c1 < d1) of class hashes that share a band key and whose lengths allow the similarity."""
-    rows = source.mapInArrow(_banded(least), "key long, c1 long, n int").repartition("key")
+    rows = source.mapInArrow(_banded(least, *shape), "key long, c1 long, n int").repartition("key")
     same = Window.partitionBy("key")
     met = rows.withColumns({"m": F.count(F.lit(1)).over(same), "lo": F.min("c1").over(same), "hi": F.max("c1").over(same)}).where("m > 1 and lo <> hi")
     met = materialize(met.select("key", F.struct("c1", "n").alias("c")).distinct(), "met")
@@ -131,7 +133,7 @@ def _candidates(source: DataFrame, least: int, similarity: float) -> DataFrame:
     return two.where(fits).select("c1", "d1").distinct()
 
 
-def _class_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float, least: int) -> tuple[DataFrame, DataFrame]:
+def _class_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float, least: int, shape: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep; pairs: a, b, common, na, nb of class representatives)."""
     source = df.select(F.col(ident).cast("long").alias("id"), *[F.col(f) for f in fields]).where("id is not null")
     profile = materialize(source.mapInArrow(_profile(least), "id long, n int, c1 long, c2 long, p0 long, p1 long, p2 long, p3 long"), "profile")
@@ -142,7 +144,7 @@ def _class_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float
     def side(key: str, rep: str, n: str, p: str) -> DataFrame:
         return classes.select(F.col("c1").alias(key), F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"p{i}").alias(f"{p}{i}") for i in range(4)])
 
-    pairs = _candidates(source, least, similarity).join(side("c1", "ra", "na", "p"), "c1").join(side("d1", "rb", "nb", "q"), "d1")
+    pairs = _candidates(source, least, similarity, shape).join(side("c1", "ra", "na", "p"), "c1").join(side("d1", "rb", "nb", "q"), "d1")
     differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)), F.lit(0))
     pairs = pairs.where(differ <= F.col("na") + F.col("nb") - 2 * _needed(similarity))
     pairs = materialize(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "candidates")
@@ -155,11 +157,11 @@ def _class_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float
     return members, checked.where(F.col("common") >= _needed(similarity))
 
 
-def near_duplicate_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float = SIMILARITY, least: int = LEAST_WORDS, shape: tuple[int, int] = (BANDS, WIDTH)) -> DataFrame:
     """Pairs (ref_a, ref_b), ref_a < ref_b, of records at least ``similarity`` alike; exact copies count. Records with
     fewer than ``least`` words (null and empty fields have none) are in no pair; an id that comes again with the
     same words counts once. Empty input gives no rows."""
-    members, pairs = _class_pairs(df, ident, fields, similarity, least)
+    members, pairs = _class_pairs(df, ident, fields, similarity, least, shape)
     members = materialize(members.distinct(), "members")
     pairs = materialize(pairs.select("a", "b"), "pairs")
     copies = pairs_within(members, ["rep"], "id").select(F.col("a").alias("ref_a"), F.col("b").alias("ref_b"))
@@ -167,10 +169,10 @@ def near_duplicate_pairs(df: DataFrame, ident: str, fields: list[str], similarit
     return copies.unionAll(other.select(F.least("x", "y").alias("ref_a"), F.greatest("x", "y").alias("ref_b")).where("ref_a < ref_b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, ident: str, fields: list[str], similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, ident: str, fields: list[str], similarity: float = SIMILARITY, least: int = LEAST_WORDS, shape: tuple[int, int] = (BANDS, WIDTH)) -> DataFrame:
     """One row per record with enough words: (id, class_id: its class of exact copies, n_links: the number of other
     classes it is linked to, group_id: the least id of its group). A record like no other is its own group."""
-    members, pairs = _class_pairs(df, ident, fields, similarity, least)
+    members, pairs = _class_pairs(df, ident, fields, similarity, least, shape)
     members = materialize(members.distinct(), "members")
     pairs = materialize(pairs.select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
