@@ -19,7 +19,6 @@ to find the segments.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -103,24 +102,14 @@ def stable_ranges() -> tuple[tuple[int, int], ...]:
     return tuple((a, b) for a, b in out)
 
 
-def _klass(negated: bool) -> str:
-    return "[" + "^" * negated + "".join(rf"\u{a:04x}-\u{b:04x}" if b > a else rf"\u{a:04x}" for a, b in stable_ranges()) + "]"
-
-
-#: The stable stretches that nearly all texts consist of. The JVM tests a class range by range, so its
-#: quick check names only these; a text with other stable characters merely takes the longer way.
-FREQUENT = ((0x20, 0x7E), (0xBF, 0x131), (0x3B1, 0x3BC), (0x393, 0x394), (0x2013, 0x2014), (0x2018, 0x2019), (0x201C, 0x201D))
-
-
-def unstable(col: Column) -> Column:
-    """Quick check inside the JVM: may the text hold something that is not in its form yet?"""
-    klass = "[^" + "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in FREQUENT) + "]"
-    return col.contains("  ") | col.startswith(" ") | col.endswith(" ") | col.rlike(klass)
+def _unstable() -> str:
+    return "[^" + "".join(rf"\u{a:04x}-\u{b:04x}" if b > a else rf"\u{a:04x}" for a, b in stable_ranges()) + "]"
 
 
 @lru_cache(maxsize=1)
-def _segments() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    return re.compile(_klass(True)), re.compile(r"(?:\w|" + _klass(True) + ")*"), re.compile(r"[^\W\d_Ͱ-Ͽ]|[̀-ͯ]")
+def _segments() -> tuple[re.Pattern, re.Pattern]:
+    """(an unstable character, the rest of its word and of its segment)."""
+    return re.compile(_unstable()), re.compile(r"(?:\w|" + _unstable() + ")*")
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
@@ -151,7 +140,7 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii() or not text.isprintable():
-        unstable, run, _ = _segments()
+        unstable, run = _segments()
         out, done = [], 0
         m = unstable.search(text)
         while m:
@@ -175,20 +164,17 @@ def canonical(text: str | None) -> str | None:
 
 
 @F.arrow_udf(T.StringType())
-def _canonical_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([canonical(x) for x in texts.to_pylist()], pa.string())
+def _changed_udf(texts: pa.Array) -> pa.Array:
+    """The forms of the texts that are not in it yet; null for the others, which thus needn't come back."""
+    return pa.array([None if (form := canonical(x)) == x else form for x in texts.to_pylist()], pa.string())
 
 
 def canonical_text(col: Column) -> Column:
-    """Column form of ``canonical``. Texts that pass the quick check stay in the JVM; only the others go to Python.
-    Null gives null; an empty or blank text gives ''."""
-    slow = F.when(unstable(col), col)
-    return F.coalesce(_canonical_udf(slow), col)
+    """Column form of ``canonical``. Null gives null; an empty or blank text gives ''."""
+    return F.coalesce(_changed_udf(col), col)
 
 
 def fingerprint(col: Column) -> tuple[Column, Column]:
     """128 bits of a text as two longs, so that texts of a large collection can be grouped without moving them."""
     return F.xxhash64(col), F.xxhash64(F.lit(7919), col)
 
-
-assert sys.maxunicode == 0x10FFFF
