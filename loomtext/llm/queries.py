@@ -15,10 +15,11 @@ from loomtext.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from loomtext.llm.split import split_oversized
 from loomtext.llm.terms import distinctive_terms, marked_terms
 from loomtext.llm.tokens import decode_corpus, encode_corpus
+from loomtext.plans.shared import spread
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
