@@ -4,6 +4,7 @@ expressions; look-arounds are avoided, so the same patterns can be checked in SQ
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(col, f"{WS}+"), lambda x: x != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _ascii_tables() -> tuple[str, str, list[tuple[str, str]]]:
     """(characters, their ASCII counterparts, [(character, several letters)]), by decomposition; then characters to drop
     follow the first list without a counterpart."""
@@ -44,7 +50,15 @@ FROM_CHARS, TO_CHARS, SEVERAL = _ascii_tables()
 def unidecoder(col: Column) -> Column:
     """Latin letters with marks, compatibility forms, quotes, dashes and common Greek letters in ASCII; combining marks
     and characters without width go; other scripts stay."""
-    return F.translate(reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), SEVERAL, col), FROM_CHARS, TO_CHARS)
+
+
+    def several(c: Column) -> Column:
+        return reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), SEVERAL, c)
+
+    def slow(c: Column) -> Column:
+        return F.translate(F.when(c.rlike("[" + "".join(x for x, _ in SEVERAL) + "]"), several(c)).otherwise(c), FROM_CHARS, TO_CHARS)
+
+    return let(col, lambda c: F.when(F.octet_length(c) == F.length(c), c).otherwise(slow(c)))
 
 
 def dedash(col: Column) -> Column:
@@ -63,9 +77,14 @@ def titlecaps(col: Column) -> Column:
 
 def separated_parenthesis(col: Column, min_keep_length: int = 10) -> Column:
     """Content in parentheses leaves its sentence; what is long enough follows as a sentence of its own."""
-    rest = F.regexp_replace(col, rf"{WS}*\([^()]*\)", "")
-    kept = F.filter(F.regexp_extract_all(col, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.length(x) >= min_keep_length)
-    return F.when(F.size(kept) > 0, F.concat(rest, F.lit(" "), F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("."))), " "))).otherwise(rest)
+
+    def split(c: Column) -> Column:
+        kept = F.filter(F.regexp_extract_all(c, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.length(x) >= min_keep_length)
+        own = F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("."))), " ")
+        rest = F.regexp_replace(c, rf"{WS}*\([^()]*\)", "")
+        return let(own, lambda o: F.when(o != "", F.concat(rest, F.lit(" "), o)).otherwise(rest))
+
+    return let(col, lambda c: F.when(c.contains("("), split(c)).otherwise(c))
 
 
 #: Symbols and the words that stand for them.
@@ -80,7 +99,7 @@ def token_replacement(col: Column, symbols: tuple[tuple[str, str], ...] = SYMBOL
 
 def decaps_text(col: Column) -> Column:
     """Words of at most one capital in lower case; others (acronyms, mixed case) as they are."""
-    return F.array_join(F.transform(tokens(col), lambda w: F.when(F.length(F.regexp_replace(w, "[^A-Z]", "")) <= 1, F.lower(w)).otherwise(w)), " ")
+    return F.array_join(F.transform(tokens(col), lambda w: F.when(w.rlike("[A-Z].*[A-Z]"), w).otherwise(F.lower(w))), " ")
 
 
 #: English words of closed classes (articles, pronouns, prepositions, conjunctions, auxiliaries, adverbs).
@@ -97,7 +116,7 @@ SYMBOL = r"\A[^\p{L}\p{N}]+\z"
 
 def pos_tokenizer(col: Column, words: tuple[str, ...] = CLOSED_CLASS) -> Column:
     """Without words of closed classes, numbers and symbols; punctuation at the end of a word goes."""
-    bare = F.transform(tokens(col), lambda w: F.regexp_replace(w, r"[.,;:!?]+\z", ""))
+    bare = F.transform(tokens(col), lambda w: F.rtrim(w, F.lit(".,;:!?")))
     return F.array_join(F.filter(bare, lambda w: (w != "") & ~F.lower(w).isin(*words) & ~w.rlike(CARDINAL) & ~w.rlike(SYMBOL)), " ")
 
 

@@ -6,14 +6,14 @@ beyond that the join is shuffled, and adaptive execution splits the frequent wor
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.vector import dot, l2_normalize, packed, sums
+from loomtext.functions.vector import dot, l2_normalize, matrix, packed, sums
 from loomtext.operators.counts import inverse_document_frequency, term_document_frequency
 
 VOCABULARY_BYTES = 256 << 20
@@ -72,26 +72,50 @@ def score_unique_idf(docs: DataFrame, vocab: DataFrame, dim: int) -> DataFrame:
     return _weighted(docs, vocab, dim, True, True)
 
 
-def _without_common(dim: int) -> Callable[[pa.Table], pa.Table]:
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.column("row").combine_chunks()
-        m = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        if len(m) > 1:
-            top = np.linalg.svd(m, full_matrices=False)[2][0]
-            m = m - np.outer(m @ top, top)
-        v = m.sum(axis=0)
-        length = np.linalg.norm(v)
-        return pa.table({"_ref": t.column("_ref").slice(0, 1), "vec": pa.array([(v / length if length > 1e-12 else v * 0).tolist()])})
+def _deflated(m: np.ndarray) -> list[float]:
+    """Sum of the rows without their leading direction, at length one."""
+    if len(m) > 1:
+        top = np.linalg.eigh(m.T @ m)[1][:, -1]
+        m = m - np.outer(m @ top, top)
+    v = m.sum(axis=0)
+    length = np.linalg.norm(v)
+    return (v / length if length > 1e-12 else v * 0).tolist()
+
+
+def _without_common(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, rows = [], np.zeros((0, dim))
+        for last, b in _with_last(batches):
+            refs += b.column(0).to_pylist()
+            rows = np.concatenate([rows, matrix(b.column(1), dim)])
+            starts = [0] + [i for i in range(1, len(refs)) if refs[i] != refs[i - 1]] if refs else []
+            done = starts if last else starts[:-1]
+            ends = [*starts[1:], len(refs)]
+            vecs = [_deflated(rows[a:e]) for a, e in zip(done, ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([refs[a] for a in done], b.column(0).type), pa.array(vecs, pa.list_(pa.float64()))], ["_ref", "vec"])
+            at = len(refs) if last or not starts else starts[-1]
+            refs, rows = refs[at:], rows[at:]
 
     return run
 
 
+def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    held = None
+    for b in batches:
+        if held is not None:
+            yield False, held
+        held = b
+    if held is not None:
+        yield True, held
+
+
 def score_idf_common_component_removal(docs: DataFrame, vocab: DataFrame, dim: int) -> DataFrame:
-    """As unique_idf, after the leading direction of the document's word rows is taken out of them. A document's known
-    distinct words come together in one task each."""
+    """As unique_idf, after the leading direction of the document's word rows is taken out of them. The rows are sorted by
+    document, and a task holds those of a batch and of one document more."""
     rows = docs.select("_ref", F.explode(F.array_distinct("tokens")).alias("word")).join(_held(vocab, dim), "word")
     rows = rows.select("_ref", F.transform("vec", lambda x: x * F.col("n") * F.col("idf")).alias("row"))
-    done = rows.groupBy("_ref").applyInArrow(_without_common(dim), docs.select("_ref").schema.simpleString()[7:-1].replace(":", " ") + ", vec array<double>")
+    kind = docs.schema["_ref"].dataType.simpleString()
+    done = rows.repartition("_ref").sortWithinPartitions("_ref").mapInArrow(_without_common(dim), f"_ref {kind}, vec array<double>")
     zero = F.array_repeat(F.lit(0.0), dim)
     return docs.select("_ref").join(done, "_ref", "left").select("_ref", F.coalesce("vec", zero).alias("vec"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as tx
 from loomtext.operators import analyze, counts, embedding, explain, importing, metacluster, parse, phrases, predict, rows, scoring
 from loomtext.operators.reduce import reduce_vectors
-from loomtext.plans.shared import materialize, shared_dir
+from loomtext.plans.shared import materialize, shared_dir, spread
 from loomtext.sources import tables
 from loomtext.streaming.scoring import score_stream
 
@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _r(c: Column | str, digits: int = 6) -> Column:

@@ -60,6 +60,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, shuffled into as many partitions as there are cores where it has not half as many: a small table in one row
+    group would else be worked on by a single task. Tables of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it. On clusters whose machines don't share
     that path, pass the package with ``--py-files`` instead."""
