@@ -221,12 +221,26 @@ def described(members: DataFrame, right: DataFrame, desc: DataFrame, typical: in
     return out.select(F.col("right").alias("cluster_id"), "size", "mean_cosine", "typical", "stored_members", "stored_counts")
 
 
+def _dense(dim: int) -> Callable[[_Batches], _Batches]:
+    def run(batches: _Batches) -> _Batches:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                at, x = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+                owner = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+                rows = np.zeros((b.num_rows, dim))
+                np.add.at(rows, (owner, at), x)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "v"])
+
+    return run
+
+
 def hashed_vectors(df: DataFrame, ident: str, text: str, dim: int = 64) -> DataFrame:
     """(id, v) of texts: signed feature hashing of the terms, weighted by tf * ln(N / (d + 1)); for clustering texts that
     have no vectors yet. Texts without terms have none."""
-
-
     t = distinctive_terms(df, ident, text, None).select("id", F.xxhash64("word").alias("h"), "weight")
-    cell = t.groupBy("id", F.pmod("h", F.lit(dim)).cast("int").alias("at")).agg(F.sum(F.when(F.shiftright("h", 40).bitwiseAND(F.lit(1)) == 0, F.col("weight")).otherwise(-F.col("weight"))).alias("x"))
-    held = cell.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    signed = F.when(F.shiftright("h", 40).bitwiseAND(F.lit(1)) == 0, F.col("weight")).otherwise(-F.col("weight"))
+    cells = t.select("id", F.struct(F.pmod("h", F.lit(dim)).cast("int").alias("at"), signed.alias("x")).alias("c"))
+    held = cells.groupBy("id").agg(F.collect_list("c").alias("c"))
+    return held.select("id", F.col("c.at").alias("at"), F.col("c.x").alias("x")).mapInArrow(_dense(dim), "id long, v array<double>")

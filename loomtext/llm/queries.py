@@ -82,7 +82,7 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_text_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the parsed texts themselves, by hashed weighted features, held against the same labels."""
-    vectors = hashed_vectors(_table(spark, d, "parsed_documents"), "_ref", "text", 256)
+    vectors = hashed_vectors(_table(spark, d, "parsed_documents"), "_ref", "text", 256).withColumnRenamed("id", "_ref")
     members, right = labelled_clusters(vectors, _table(spark, d, "cluster_master_labels"), 12, dim=256, floor=0.0)
     return described(members, right, _table(spark, d, "cluster_desc"))
 
