@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.linkage import leaf_order
 from loomtext.functions.vector import cosine, dot, l2_normalize, matrix, norm, packed, sums
+from loomtext.plans.shared import materialize, small
 
 
 def members(vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def members(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 def centroid_distance(held: DataFrame, centroids: DataFrame) -> DataFrame:
     """(cluster_id, avg_centroid_distance): mean cosine distance of members to the centroid."""
     c = centroids.select("cluster_id", F.col("vec").alias("c"))
-    return held.join(F.broadcast(c), "cluster_id").groupBy("cluster_id").agg(F.avg(1 - cosine(F.col("vec"), F.col("c"))).alias("avg_centroid_distance"))
+    return held.join(small(c), "cluster_id").groupBy("cluster_id").agg(F.avg(1 - cosine(F.col("vec"), F.col("c"))).alias("avg_centroid_distance"))
 
 
 def dispersion(held: DataFrame, dim: int) -> DataFrame:
@@ -33,10 +34,10 @@ def dispersion(held: DataFrame, dim: int) -> DataFrame:
     (S.S - n) / (n (n - 1)) within a cluster and S.T / (n m) between two."""
     unit = held.where(norm(F.col("vec")) > 0).select("cluster_id", l2_normalize(F.col("vec")).alias("u"))
     added = unit.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), *sums(F.lit(1.0), F.col("u"), dim))
-    added = added.select("cluster_id", "n", packed(dim).alias("s"))
+    added = materialize(added.select("cluster_id", "n", packed(dim).alias("s")), "sums")
     a = added.select(F.col("cluster_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     b = added.select(F.col("cluster_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = a.join(F.broadcast(b), F.col("a") <= F.col("b"))
+    both = a.join(small(b), F.col("a") <= F.col("b"))
     s = dot(F.col("sa"), F.col("sb"))
     within = F.when(F.col("na") > 1, (s - F.col("na")) / (F.col("na") * (F.col("na") - 1)))
     return both.select("a", "b", (1 - F.when(F.col("a") == F.col("b"), within).otherwise(s / (F.col("na") * F.col("nb")))).alias("dispersion"))
@@ -105,7 +106,7 @@ def cluster_desc(vectors: DataFrame, labels: DataFrame, centroids: DataFrame, em
 def master_labels(originals: DataFrame, labels: DataFrame, order: DataFrame, columns: list[str]) -> DataFrame:
     """(_ref, cluster_id, dispersion_order, the named source columns) of every source record; -1 as the order of
     clusters without one."""
-    got = originals.select("_ref", *columns).join(labels.select("_ref", "cluster_id"), "_ref", "left").join(F.broadcast(order), "cluster_id", "left")
+    got = originals.select("_ref", *columns).join(labels.select("_ref", "cluster_id"), "_ref", "left").join(small(order), "cluster_id", "left")
     return got.select("_ref", "cluster_id", F.coalesce("dispersion_order", F.lit(-1)).alias("dispersion_order"), *columns)
 
 

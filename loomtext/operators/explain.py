@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.vector import cosine, l2_normalize, packed, sums
+from loomtext.plans.shared import materialize, small
 
 #: Score shares below this are dropped from an explanation.
 LEAST_SHARE = 0.005
@@ -21,13 +22,13 @@ def close_pairs(centroids: DataFrame, threshold: float) -> DataFrame:
     """(i, j, similarity) of centroids i < j with a cosine above ``threshold``. There is a row per cluster on each side."""
     a = centroids.select(F.col("cluster_id").alias("i"), F.col("vec").alias("x"))
     b = centroids.select(F.col("cluster_id").alias("j"), F.col("vec").alias("y"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") > threshold)
+    return a.join(small(b), F.col("i") < F.col("j")).select("i", "j", cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def pair_members(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(i, j, y, _ref): records of each pair's clusters, y = 0 for i and 1 for j."""
     sides = pairs.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("c"), F.lit(0).alias("y")), F.struct(F.col("j").alias("c"), F.lit(1).alias("y")))).alias("s")).select("i", "j", "s.c", "s.y")
-    return labels.select("_ref", F.col("cluster_id").alias("c")).join(F.broadcast(sides), "c").select("i", "j", "y", "_ref")
+    return labels.select("_ref", F.col("cluster_id").alias("c")).join(small(sides), "c").select("i", "j", "y", "_ref")
 
 
 def even_subset(held: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -36,10 +37,11 @@ def even_subset(held: DataFrame, n: int, seed: int = 0) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_ref").cast("string")))
     d = held.withColumn("k", key)
     sizes = held.groupBy("i", "j", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("i", "j").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("sides")).where("sides = 2")
+    sizes = materialize(sizes, "sizes")
     part = Window.partitionBy("i", "j", "y", F.substring("k", 1, 2)).orderBy("k", "_ref")
     d = d.withColumn("at", F.row_number().over(part)).where(F.col("at") <= n)
     d = d.withColumn("at", F.row_number().over(Window.partitionBy("i", "j", "y").orderBy("k", "_ref")))
-    return d.join(F.broadcast(sizes), ["i", "j"]).where(F.col("at") <= F.least("least", F.lit(n))).select("i", "j", "y", "_ref")
+    return d.join(small(sizes), ["i", "j"]).where(F.col("at") <= F.least("least", F.lit(n))).select("i", "j", "y", "_ref")
 
 
 def normalise_scores(scores: DataFrame) -> DataFrame:

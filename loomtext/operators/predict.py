@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.rank import global_rank
 from loomtext.functions.vector import dot, matrix
+from loomtext.plans.shared import materialize, small
 
 #: Rows of a class whose neighbours are sought in one block; larger classes are cut into blocks by hash.
 BLOCK = 4096
@@ -34,16 +35,16 @@ def majority_baseline(df: DataFrame, column: str) -> DataFrame:
 def label_encode(df: DataFrame, column: str, into: str = "y_truth") -> DataFrame:
     """Classes in order as 0 .. k-1; null rows are left out. The classes are few and ranked by themselves."""
     classes = df.select(F.col(column).alias("_y")).where("_y is not null").distinct()
-    coded = classes.select("_y", (F.row_number().over(Window.orderBy("_y")) - 1).alias(into))
-    return df.join(F.broadcast(coded), F.col(column) == F.col("_y")).drop("_y")
+    coded = materialize(classes.select("_y", (F.row_number().over(Window.orderBy("_y")) - 1).alias(into)), "classes")
+    return df.join(small(coded), F.col(column) == F.col("_y")).drop("_y")
 
 
 def stratified_folds(df: DataFrame, y: str = "y_truth", folds: int = 10, ident: str = "_ref") -> DataFrame:
     """``df`` with ``fold``: the records of each class, by id, in ``folds`` stretches of nearly equal length, the first
     ones a record longer; without shuffling."""
     ranked = global_rank(df, [ident], [y], "_rank")
-    sizes = ranked.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
-    d = ranked.join(F.broadcast(sizes), y)
+    sizes = materialize(ranked.groupBy(y).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    d = ranked.join(small(sizes), y)
     size, longer = F.floor(F.col("_n") / folds), F.col("_n") % folds
     edge = longer * (size + 1)
     fold = F.when(F.col("_rank") < edge, F.floor(F.col("_rank") / (size + 1))).otherwise(longer + F.floor((F.col("_rank") - edge) / F.greatest(size, F.lit(1))))
@@ -87,8 +88,8 @@ def _neighbours(k: int, dim: int) -> Callable[[pa.Table], pa.Table]:
 def class_neighbours(df: DataFrame, dim: int, k: int = 5, y: str = "y_truth") -> DataFrame:
     """(_ref, rank, near): the k nearest records of the same class by squared distance (ties: the least id). Exact. A class
     is cut into blocks by its size; a record asks in every block of its class, and the answers are merged."""
-    sizes = df.groupBy(y).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
-    d = df.select("_ref", y, "vec").join(F.broadcast(sizes), y)
+    sizes = materialize(df.groupBy(y).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")), "sizes")
+    d = df.select("_ref", y, "vec").join(small(sizes), y)
     held = d.select(y, F.pmod(F.xxhash64("_ref"), F.col("_k")).cast("int").alias("b"), F.lit(0).alias("c"), F.lit(False).alias("asks"), "_ref", "vec", "_k")
     held = held.withColumn("c", F.explode(F.expr("sequence(0, _k - 1)"))).drop("_k")
     asks = d.withColumn("b", F.explode(F.expr("sequence(0, _k - 1)"))).select(y, "b", F.pmod(F.xxhash64("_ref", F.lit(1)), F.col("_k")).cast("int").alias("c"), F.lit(True).alias("asks"), "_ref", "vec")
@@ -101,10 +102,11 @@ def smote(train: DataFrame, dim: int, k: int = 5, seed: int = 0) -> DataFrame:
     """(_ref, vec, y_truth) of the training rows and of made-up ones that bring every class to the size of the largest
     (Chawla et al. 2002): x + u (neighbour - x), u and neighbour drawn by hash. Made-up rows have negative ids. A class
     of one record stays."""
-    sizes = train.groupBy("y_truth").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(train.groupBy("y_truth").agg(F.count(F.lit(1)).alias("n")), "sizes")
     most = sizes.agg(F.max("n")).first()[0] or 0
-    near = class_neighbours(train, dim, k).groupBy("_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "near"))), lambda x: x["near"]).alias("nears"))
-    rows = train.join(F.broadcast(sizes), "y_truth").join(near, "_ref")
+    lacking = train.join(small(sizes.where(F.col("n") < most).select("y_truth")), "y_truth", "left_semi")  # the largest class needs no neighbours
+    near = class_neighbours(lacking, dim, k).groupBy("_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "near"))), lambda x: x["near"]).alias("nears"))
+    rows = lacking.join(small(sizes), "y_truth").join(near, "_ref")
     ranked = global_rank(rows, ["_ref"], ["y_truth"], "at")
     lack = F.lit(most) - F.col("n")
     times = F.floor(lack / F.col("n")) + F.when(F.col("at") < lack % F.col("n"), 1).otherwise(0)

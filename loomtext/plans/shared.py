@@ -54,7 +54,11 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+#: Rows of a table of classes or clusters that is broadcast, at most.
+FEW = 100_000
+
+
+def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     """``df`` with a broadcast hint when it has at most ``rows`` rows (counted), else as it is, for a shuffled join.
     Meant for narrow, materialised tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
