@@ -4,12 +4,13 @@ expressions; look-arounds are avoided, so the same patterns can be checked in SQ
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.let import let
+
 WS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 
 
@@ -23,11 +24,6 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(col, f"{WS}+"), lambda x: x != "")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _ascii_tables() -> tuple[str, str, list[tuple[str, str]]]:
     """(characters, their ASCII counterparts, [(character, several letters)]), by decomposition; then characters to drop
     follow the first list without a counterpart."""

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.let import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -18,14 +20,12 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """At length one; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def sums(coef: Column, vec: Column, dim: int) -> list[Column]:
