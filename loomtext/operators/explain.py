@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -53,19 +53,21 @@ def normalise_scores(scores: DataFrame) -> DataFrame:
     return d.select(F.col("i").alias("negative_class"), F.col("j").alias("positive_class"), "word", "score")
 
 
-def _ridge(features: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(t: pd.DataFrame) -> pd.DataFrame:
+def _ridge(features: int) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
         """Weighted ridge of one text's perturbations: which words raise the probability of class 1."""
-        words = sorted({w for held in t["held"] for w in held})
-        x = np.array([[w in held for w in words] for held in map(set, t["held"])], float)
-        left = x.mean(axis=1)
-        weight = np.sqrt(np.exp(-((1 - np.sqrt(left)) ** 2) / 0.25**2))
-        y = t["p"].to_numpy()
-        mean_x, mean_y = np.average(x, axis=0, weights=weight), np.average(y, weights=weight)
-        xc, yc = x - mean_x, y - mean_y
-        coef = np.linalg.solve((xc * weight[:, None]).T @ xc + np.eye(len(words)), (xc * weight[:, None]).T @ yc) if words else np.zeros(0)
+        held = [set(h or ()) for h in t.column("held").to_pylist()]
+        words = sorted(set().union(*held))
+        if not words:
+            return pa.table({"_ref": pa.array([], pa.int64()), "word": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        x = np.array([[w in h for w in words] for h in held], float)
+        weight = np.sqrt(np.exp(-((1 - np.sqrt(x.mean(axis=1))) ** 2) / 0.25**2))
+        y = t.column("p").to_numpy()
+        xc, yc = x - np.average(x, axis=0, weights=weight), y - np.average(y, weights=weight)
+        coef = np.linalg.solve((xc * weight[:, None]).T @ xc + np.eye(len(words)), (xc * weight[:, None]).T @ yc)
         top = np.argsort(-np.abs(coef), kind="stable")[:features]
-        return pd.DataFrame({"_ref": t["_ref"].iloc[0], "word": [words[i] for i in top], "score": coef[top]})
+        ref = t.column("_ref")[0].as_py()
+        return pa.table({"_ref": pa.array([ref] * len(top), pa.int64()), "word": pa.array([words[i] for i in top], pa.string()), "score": pa.array(coef[top])})
 
     return run
 
@@ -87,6 +89,6 @@ def explain_pair(texts: DataFrame, embedding: DataFrame, dim: int, i: int, j: in
     bent = bent.withColumn("held", F.filter("held", lambda w: (F.col("s") == 0) | (F.pmod(F.xxhash64(w, F.col("_ref"), F.col("s")), F.lit(1000)) / 1000.0 < share)))
     p = model.transform(vectors(bent, ["_ref", "s"])).select("_ref", "s", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
     rows = bent.join(p, ["_ref", "s"]).select("_ref", "held", "p")
-    scores = rows.groupBy("_ref").applyInPandas(_ridge(features), "_ref long, word string, score double")
+    scores = rows.groupBy("_ref").applyInArrow(_ridge(features), "_ref long, word string, score double")
     n = max(1, texts.count())
     return scores.groupBy(F.lit(i).alias("i"), F.lit(j).alias("j"), "word").agg((F.sum("score") / n).alias("score"))
