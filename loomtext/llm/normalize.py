@@ -12,8 +12,8 @@ The form of a text is defined by ``canonical``:
 Method: a quick check splits the text into stable stretches and unstable segments. A character is stable when it is
 a starter, is its own normal form and has no look-alike. Only the segments are normalised, with the word around
 them as boundary context (for composition and for the script of the word), and spliced into the unchanged rest.
-The quick check runs twice: as a regular expression inside the JVM, so that stable texts never leave it, and in Python
-to find the segments.
+The check is one search for a class of characters, made in Arrow batches: the same class as a regular expression of
+the JVM took four times as long. Only texts that changed come back from Python.
 """
 
 from __future__ import annotations
