@@ -39,6 +39,8 @@ PROBES = 3
 BLOCK = 32768
 #: A block of more vectors is divided once more inside its task, into cells of so many; a query visits so many cells.
 DIVIDE, CELL, VISITS = 6144, 512, 4
+#: Share of the nearest vectors whose leaves a neighbour search shall open, and the sampled queries that tell how many.
+RECALL, PILOT = 0.95, 512
 #: Four-bit codes: subspaces, codewords each, weight of the parallel error.
 SUBSPACES, WORDS, PARALLEL = 16, 16, 4.0
 
@@ -251,7 +253,26 @@ def _nearest_rows(index: Index, k: int, rerank: int) -> Callable[[pa.Table], pa.
     return run
 
 
-def _fitted(units: DataFrame, dim: int, sample: int) -> Index | None:
+def _probes(index: Index, sample: np.ndarray, k: int, least: int) -> int:
+    """So many leaves hold ``RECALL`` of the k nearest of sampled vectors, ``least`` at least. In a sample the nearest are
+    farther off than in the collection, so the number is rather too large."""
+    if len(index.leaves) <= least or len(sample) <= k:
+        return least
+    home = np.concatenate([index.nearest(sample[i : i + 8192], 1)[:, 0] for i in range(0, len(sample), 8192)])
+    asking = np.random.default_rng(7).choice(len(sample), min(PILOT, len(sample)), replace=False)
+    ranks = []
+    for at in range(0, len(asking), 64):
+        q = asking[at : at + 64]
+        cos = sample[q] @ sample.T
+        cos[np.arange(len(q)), q] = -np.inf
+        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        place = np.argsort(index.nearest(sample[q], len(index.leaves)), axis=1)
+        ranks.append(np.take_along_axis(place, home[near], axis=1))
+    return max(least, int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1)
+
+
+def _fitted(units: DataFrame, dim: int, sample: int, k: int = 0, least: int = 0) -> tuple[Index, int] | None:
+    """The index and, for a search of the ``k`` nearest, the number of leaves to open."""
     total = units.count()
     if not total:
         return None
@@ -259,7 +280,10 @@ def _fitted(units: DataFrame, dim: int, sample: int) -> Index | None:
     picked = units.where((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))) | F.lit(share == 1.0))
     table = picked.select("vec").toArrow()
     rows = np.concatenate([matrix(c, dim) for c in table.column("vec").chunks] or [np.zeros((0, dim), np.float32)])[:sample]
-    return Index(rows, total) if len(rows) else None
+    if not len(rows):
+        return None
+    index = Index(rows, total, LEAF)
+    return index, _probes(index, rows, k, least) if k else least
 
 
 def similar_pairs(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: int = 64, threshold: float = 0.97, sample: int = SAMPLE) -> DataFrame:
@@ -271,9 +295,10 @@ def similar_pairs(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: in
     members = units.select("h1", "h2", "id").distinct().join(classes.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"])
     members = materialize(members.select("id", "rep"), "members")
     copies = pairs_within(members, ["rep"], "id").select(F.col("a").alias("ref_a"), F.col("b").alias("ref_b"))
-    index = _fitted(classes.select("id", "vec"), dim, sample)
-    if index is None:
+    fitted = _fitted(classes.select("id", "vec"), dim, sample)
+    if fitted is None:
         return spark.createDataFrame([], "ref_a long, ref_b long")
+    index, _ = fitted
     rows = classes.select("id", "vec").mapInArrow(_laid_out(index, PROBES, threshold, 1), _SCHEMA)
     found = rows.groupBy("leaf", "i", "j").applyInArrow(_near_pairs(index, threshold), "a long, b long")
     found = materialize(found.distinct(), "near")
@@ -283,12 +308,14 @@ def similar_pairs(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: in
 
 def nearest_neighbours(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: int = 64, k: int = 10, every: int = 50, probes: int = 16, rerank: int = 400, sample: int = SAMPLE) -> DataFrame:
     """(id, rank, near, cosine): for every id divisible by ``every`` the k most similar other ids of the whole collection
-    (ties: the least id), searched in ``probes`` leaves. An id counts once. Queries of less than k other vectors get what
+    (ties: the least id), searched in ``probes`` leaves at least, and in as many as hold ``RECALL`` of the
+    neighbours in the sample. An id counts once. Queries of less than k other vectors get what
     there is."""
     units = materialize(unit_vectors(df, ident, vector, dim).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    index = _fitted(units, dim, sample)
-    if index is None:
+    fitted = _fitted(units, dim, sample, k, probes)
+    if fitted is None:
         return df.sparkSession.createDataFrame([], "id long, rank int, near long, cosine double")
+    index, probes = fitted
     rows = units.mapInArrow(_laid_out(index, probes, None, every), _SCHEMA)
     found = rows.groupBy("leaf", "i", "j").applyInArrow(_nearest_rows(index, k, rerank), "id long, near long, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "near")

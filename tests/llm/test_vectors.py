@@ -113,3 +113,18 @@ def test_neighbours_recall(spark):
         hits += len(set(np.argsort(-s)[:10].tolist()) & set(near.values()))
     assert hits >= 0.9 * 10 * len(got)
     assert knn.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_neighbours_recall_in_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 24)
+    monkeypatch.setattr(knn.Index.__init__, "__defaults__", (24, 11))
+    x, _ = planted(6000, noise=0.15)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert len(knn.Index(u, 6000).leaves) == 250
+    got = knn.nearest_neighbours(frame(spark, x), k=10).collect()
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:10].tolist()) & {r.near for r in got if r.id == q})
+    assert hits >= 0.9 * 10 * 120
