@@ -9,7 +9,9 @@ reranked on the exact vectors.
 
 For a threshold t the scan loses nothing within a leaf. Let x have the decoded form y, s = x.y and r the length of the
 rest of y. A query q with q.x = c >= t has q.y = c s + sqrt(1 - c^2) u.y with u orthogonal to x, so q.y >= t s -
-sqrt(1 - t^2) r (s > 0): pairs below that bound are cut. Only the choice of leaves can lose pairs.
+sqrt(1 - t^2) r (s > 0): pairs below that bound are cut. Nor does the choice of leaves lose any: the way from q to x of
+another leaf crosses the plane that bisects the two leaves, so one of them lies within half the angle arccos(t) of that
+plane. As every vector is a query in each leaf whose plane with its own is that near, one of the two meets the other.
 
 A leaf that would hold more than ``BLOCK`` vectors, by its share of the sample, is cut into blocks, and all pairs of its
 blocks are tasks of their own; a task with many vectors divides them into cells of its own. Exact copies are collapsed before and expanded afterwards.
@@ -34,8 +36,8 @@ from loomtext.plans.shared import materialize
 SAMPLE = 100_000
 #: Vectors a leaf shall hold; leaves there are at most; sampled vectors that a leaf needs.
 LEAF, LEAVES, PER_LEAF = 1024, 4096, 24
-#: Leaves in which a vector is a query besides being stored in the nearest.
-PROBES = 3
+#: Vectors a leaf shall hold where pairs are sought: the larger the leaves, the fewer a vector must visit.
+PAIR_LEAF = 4096
 BLOCK = 32768
 #: A block of more vectors is divided once more inside its task, into cells of so many; a query visits so many cells.
 DIVIDE, CELL, VISITS = 6144, 512, 4
@@ -78,6 +80,11 @@ class Index:
         part = np.argpartition(-cos, probes - 1, axis=1)[:, :probes]
         return np.take_along_axis(part, np.argsort(-np.take_along_axis(cos, part, axis=1), axis=1, kind="stable"), axis=1)
 
+    def apart(self) -> np.ndarray:
+        """Distances of the centroids, rounded up."""
+        square = (self.leaves * self.leaves).sum(axis=1)
+        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.leaves @ self.leaves.T, 0) + 1e-6)
+
     def _codewords(self, x: np.ndarray, left: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Per subspace 16 codewords: alternately each part takes the word of the least anisotropic loss (the parallel
         direction is that of the vector), and each word becomes the minimiser of the loss over the parts it got."""
@@ -134,9 +141,16 @@ _SCHEMA = "leaf int, i int, j int, id long, stored boolean, bound float, code bi
 _NAMES = ["leaf", "i", "j", "id", "stored", "bound", "code", "vec"]
 
 
+def _across(cos: np.ndarray, home: np.ndarray, apart: np.ndarray, sine: np.ndarray | float) -> np.ndarray:
+    """Which cells a vector is near to, queries x cells: the sine of its angle with the plane that bisects the cell and
+    its own is ``sine`` at most. ``cos`` holds its inner products with the centres, ``apart`` the centres' distances."""
+    return np.take_along_axis(cos, home[:, None], axis=1) - cos <= sine * apart[home] + 1e-5
+
+
 def _laid_out(index: Index, probes: int, threshold: float | None, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows for the leaves: each vector stored in its nearest, and as a query in ``probes`` (in the nearest the stored
-    row is the query too, when all vectors are queries). With ``every`` only ids divisible by it are queries."""
+    """Rows for the leaves: each vector stored in its nearest, and as a query in ``probes``, or with a threshold in all
+    that can hold one of its pairs (in the nearest the stored row is the query too, when all vectors are queries). With
+    ``every`` only ids divisible by it are queries."""
 
     def emit(leaf: np.ndarray, ids: np.ndarray, stored: bool, bound: np.ndarray, codes: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         blocks = index.blocks[leaf]
@@ -152,10 +166,13 @@ def _laid_out(index: Index, probes: int, threshold: float | None, every: int) ->
             ], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = None if threshold is None else index.apart()
+        # only where all are queries does one of a pair suffice
+        sine = 0.0 if threshold is None else math.sqrt((1 - threshold) / 2) if every == 1 else math.sqrt(1 - threshold**2)
         for whole in batches:
             for b in slices(whole, 1, 2 << 20):
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1), index.dim)
-                leaves = index.nearest(x, probes)
+                leaves = index.nearest(x, probes if threshold is None else 1)
                 codes, y = index.encode(x, leaves[:, 0])
                 if threshold is None:
                     bound = np.zeros(len(ids))
@@ -171,6 +188,14 @@ def _laid_out(index: Index, probes: int, threshold: float | None, every: int) ->
                     which = ask & (index.blocks[leaves[:, p]] > 1) if p == 0 and every == 1 else ask
                     if which.any():
                         yield from emit(leaves[which, p], ids[which], False, bound[which], none[which], x[which])
+                if threshold is not None:
+                    for at in range(0, len(ids), 1024):
+                        near = _across(x[at : at + 1024] @ index.leaves.T, leaves[at : at + 1024, 0], apart, sine) & ask[at : at + 1024, None]
+                        near[np.arange(len(near)), leaves[at : at + 1024, 0]] = False
+                        rows, to = np.nonzero(near)
+                        for some in range(0, len(rows), 16384):
+                            who = rows[some : some + 16384] + at
+                            yield from emit(to[some : some + 16384], ids[who], False, bound[who], none[who], x[who])
 
     return run
 
@@ -271,7 +296,7 @@ def _probes(index: Index, sample: np.ndarray, k: int, least: int) -> int:
     return max(least, int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1)
 
 
-def _fitted(units: DataFrame, dim: int, sample: int, k: int = 0, least: int = 0) -> tuple[Index, int] | None:
+def _fitted(units: DataFrame, dim: int, sample: int, leaf: int, k: int = 0, least: int = 0) -> tuple[Index, int] | None:
     """The index and, for a search of the ``k`` nearest, the number of leaves to open."""
     total = units.count()
     if not total:
@@ -282,7 +307,7 @@ def _fitted(units: DataFrame, dim: int, sample: int, k: int = 0, least: int = 0)
     rows = np.concatenate([matrix(c, dim) for c in table.column("vec").chunks] or [np.zeros((0, dim), np.float32)])[:sample]
     if not len(rows):
         return None
-    index = Index(rows, total, LEAF)
+    index = Index(rows, total, leaf)
     return index, _probes(index, rows, k, least) if k else least
 
 
@@ -295,11 +320,11 @@ def similar_pairs(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: in
     members = units.select("h1", "h2", "id").distinct().join(classes.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"])
     members = materialize(members.select("id", "rep"), "members")
     copies = pairs_within(members, ["rep"], "id").select(F.col("a").alias("ref_a"), F.col("b").alias("ref_b"))
-    fitted = _fitted(classes.select("id", "vec"), dim, sample)
+    fitted = _fitted(classes.select("id", "vec"), dim, sample, PAIR_LEAF)
     if fitted is None:
         return spark.createDataFrame([], "ref_a long, ref_b long")
     index, _ = fitted
-    rows = classes.select("id", "vec").mapInArrow(_laid_out(index, PROBES, threshold, 1), _SCHEMA)
+    rows = classes.select("id", "vec").mapInArrow(_laid_out(index, 1, threshold, 1), _SCHEMA)
     found = rows.groupBy("leaf", "i", "j").applyInArrow(_near_pairs(index, threshold), "a long, b long")
     found = materialize(found.distinct(), "near")
     wide = expand(expand(found, "a", members, "rep", "id", "x"), "b", members, "rep", "id", "y")
@@ -312,7 +337,7 @@ def nearest_neighbours(df: DataFrame, ident: str = "_ref", vector: str = "v", di
     neighbours in the sample. An id counts once. Queries of less than k other vectors get what
     there is."""
     units = materialize(unit_vectors(df, ident, vector, dim).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    fitted = _fitted(units, dim, sample, k, probes)
+    fitted = _fitted(units, dim, sample, LEAF, k, probes)
     if fitted is None:
         return df.sparkSession.createDataFrame([], "id long, rank int, near long, cosine double")
     index, probes = fitted

@@ -128,3 +128,15 @@ def test_neighbours_recall_in_many_leaves(spark, monkeypatch):
         s[q] = -9
         hits += len(set(np.argsort(-s)[:10].tolist()) & {r.near for r in got if r.id == q})
     assert hits >= 0.9 * 10 * 120
+
+
+def test_leaves_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(knn.Index.__init__, "__defaults__", (24, 11))
+    monkeypatch.setattr(knn, "PAIR_LEAF", 24, raising=False)
+    x, _ = planted(4000, noise=0.05)
+    rng = np.random.default_rng(6)
+    for i in range(0, 3000, 2):
+        x[i + 1] = x[i] + np.linalg.norm(x[i]) * 0.24 / 8 * rng.normal(size=64)
+    expected = brute_pairs(x.astype(np.float32).astype(float), 0.97)
+    found = {tuple(r) for r in knn.similar_pairs(frame(spark, x)).collect()}
+    assert len(expected) > 1000 and found == expected
