@@ -10,10 +10,10 @@ of the longer one. Method: SuperMinHash over the multiset of words, banding, ver
 3. The survivors are verified exactly on their words.
 4. Pairs of classes go out expanded to records, or as groups with their number of links.
 
-Bands: 40 of 8 slots. A pair of Jaccard similarity J (of multisets) is met with probability 1 - (1 - J^8)^40: 0.9999 at
-0.85, 0.996 at 0.776, 0.80 at 0.667, the least that a similarity of 0.8 allows (equal lengths, edits everywhere). The
-shape is a parameter: unlike records of similarity j meet with about 40 j^8, so a collection of very many records that
-are much alike in their frequent words wants wider bands, and up to 64 of them.
+Bands: 240 of 8 slots, drawn from a signature of 320. A pair of Jaccard similarity J (of multisets) is met with probability
+1 - (1 - J^8)^240 nearly: 0.9995 at 0.667, the least that a similarity of 0.8 allows (equal lengths, edits everywhere).
+The shape is a parameter: unlike records of similarity j meet with about 240 j^8. Fewer, narrower bands reach the same
+at the edge (64 of 5), but there unlike records meet with 64 j^5, a hundred times as often for j = 0.2.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from loomtext.llm.superminhash import bands, multiset_elements, signatures
 from loomtext.llm.words import mix, slices, word_hashes
 from loomtext.plans.shared import materialize, small
 
-BANDS, WIDTH = 40, 8
+#: Slots of a signature, at most; bands share them where they need more.
+SLOTS = 320
+BANDS, WIDTH = 240, 8
 SIMILARITY, LEAST_WORDS = 0.8, 20
 #: Most records that are broadcast to pick those to verify; beyond that the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -90,7 +92,7 @@ def _banded(least: int, count: int, width: int) -> Callable[[Iterator[pa.RecordB
                 place = np.cumsum(keep) - 1
                 mine = keep[owner]
                 order = np.argsort(first)
-                sig = signatures(elements[mine], place[owner[mine]], len(first), count * width)
+                sig = signatures(elements[mine], place[owner[mine]], len(first), min(count * width, SLOTS))
                 keys = bands(sig, count, width)
                 who = c1[order]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(who, count)), pa.array(np.repeat(n[order].astype(np.int32), count))], ["key", "c1", "n"])

@@ -64,11 +64,15 @@ def signatures(elements: np.ndarray, owner: np.ndarray, records: int, slots: int
 
 
 def bands(sig: np.ndarray, count: int, width: int) -> np.ndarray:
-    """records x count keys (int64): equal where all ``width`` slots of a band agree; the low 6 bits are the band."""
-    if count > 64:
-        raise ValueError("at most 64 bands")
+    """records x count keys (int64): equal where all ``width`` slots of a band agree; the low 8 bits are the band. Bands
+    that need more slots than there are take them in further orders."""
+    if count > 256:
+        raise ValueError("at most 256 bands")
+    rng, slots, each = np.random.default_rng(5), np.arange(sig.shape[1]), sig.shape[1] // width
+    rounds = [slots if i == 0 else rng.permutation(slots) for i in range(-(-count // each))]
+    taken = np.concatenate([x[: each * width].reshape(each, width) for x in rounds])[:count]
     key = np.zeros((len(sig), count), np.uint64)
     for i in range(width):
-        key = mix(key + sig[:, i : count * width : width].astype(np.uint64) + np.uint64(1))
-    key = (key & np.uint64(0xFFFFFFFFFFFFFFC0)) | np.arange(count, dtype=np.uint64)
+        key = mix(key + sig[:, taken[:, i]].astype(np.uint64) + np.uint64(1))
+    key = (key & np.uint64(0xFFFFFFFFFFFFFF00)) | np.arange(count, dtype=np.uint64)
     return key.view(np.int64)

@@ -105,3 +105,17 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long").repartition(5)
     assert rows(components(df, "a", "b")) == expected
     assert components(df.limit(0), "a", "b").count() == 0
+
+
+def test_pairs_at_the_edge(spark):
+    rnd = random.Random(6)
+    data = []
+    for k in range(300):
+        words = [f"r{k}x{i}" for i in range(100)]
+        other = words[:]
+        for i in rnd.sample(range(100), rnd.randint(18, 20)):
+            other[i] = f"new{k}x{i}"
+        data += [(2 * k, "", " ".join(words)), (2 * k + 1, "", " ".join(other))]
+    df = spark.createDataFrame(data, "_ref long, title string, abstract string")
+    found = {tuple(r) for r in neardup.near_duplicate_pairs(df, "_ref", ["title", "abstract"]).collect()}
+    assert found <= {(2 * k, 2 * k + 1) for k in range(300)} and len(found) >= 0.99 * 300
