@@ -14,7 +14,9 @@ another leaf crosses the plane that bisects the two leaves, so one of them lies
 plane. As every vector is a query in each leaf whose plane with its own is that near, one of the two meets the other.
 
 A leaf that would hold more than ``BLOCK`` vectors, by its share of the sample, is cut into blocks, and all pairs of its
-blocks are tasks of their own; a task with many vectors divides them into cells of its own. Exact copies are collapsed before and expanded afterwards.
+blocks are tasks of their own; a task with many vectors divides them into cells of its own, chosen by the same planes
+(those that ask from elsewhere are not asked in turn: for them the whole angle counts). Exact copies are collapsed before
+and expanded afterwards.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ LEAF, LEAVES, PER_LEAF = 1024, 4096, 24
 #: Vectors a leaf shall hold where pairs are sought: the larger the leaves, the fewer a vector must visit.
 PAIR_LEAF = 4096
 BLOCK = 32768
-#: A block of more vectors is divided once more inside its task, into cells of so many; a query visits so many cells.
-DIVIDE, CELL, VISITS = 6144, 512, 4
+#: A block of more vectors is divided once more inside its task, into cells of so many; a query visits those that it can
+#: have a pair in.
+DIVIDE, CELL = 6144, 512
 #: Share of the nearest vectors whose leaves a neighbour search shall open, and the sampled queries that tell how many.
 RECALL, PILOT = 0.95, 512
 #: Four-bit codes: subspaces, codewords each, weight of the parallel error.
@@ -200,24 +203,29 @@ def _laid_out(index: Index, probes: int, threshold: float | None, every: int) ->
     return run
 
 
-def _cells(x: np.ndarray, asking: np.ndarray, kept: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cells(x: np.ndarray, asking: np.ndarray, kept: np.ndarray, stored: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(queries, places in ``kept`` they are held against): all at once for a small block; a large one is divided into
-    cells, so that the work for a query doesn't grow with the block."""
+    cells, and a query goes to those that can hold one of its pairs."""
     if len(kept) <= DIVIDE:
         yield asking, np.arange(len(kept))
         return
     rng = np.random.default_rng(len(kept))
-    cells = len(kept) // CELL
+    cells = max(1, len(kept) // CELL)
     sample = x[kept[rng.choice(len(kept), min(len(kept), cells * 48), replace=False)]]
     centres = _kmeans(sample, cells, rng, 5)
+    square = (centres * centres).sum(axis=1)
+    apart = np.sqrt(np.maximum(square[:, None] + square - 2 * centres @ centres.T, 0) + 1e-6)
     home = np.concatenate([(x[kept[i : i + 8192]] @ centres.T).argmax(axis=1) for i in range(0, len(kept), 8192)])
-    visits = min(VISITS, cells)
-    goes = np.concatenate([np.argpartition(-(x[asking[i : i + 8192]] @ centres.T), visits - 1, axis=1)[:, :visits] for i in range(0, len(asking), 8192)])
-    order, who = np.argsort(home, kind="stable"), np.argsort(goes.ravel(), kind="stable")
-    edges, stops = np.searchsorted(home[order], np.arange(cells + 1)), np.searchsorted(goes.ravel()[who], np.arange(cells + 1))
+    sine = np.where(stored[asking], math.sqrt((1 - threshold) / 2), math.sqrt(1 - threshold**2))[:, None]
+    goes = np.zeros((len(asking), cells), bool)
+    for i in range(0, len(asking), 8192):
+        cos = x[asking[i : i + 8192]] @ centres.T
+        goes[i : i + 8192] = _across(cos, cos.argmax(axis=1), apart, sine[i : i + 8192])
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(cells + 1))
     for c in range(cells):
-        if edges[c] < edges[c + 1] and stops[c] < stops[c + 1]:
-            yield asking[who[stops[c] : stops[c + 1]] // visits], order[edges[c] : edges[c + 1]]
+        if edges[c] < edges[c + 1] and goes[:, c].any():
+            yield asking[goes[:, c]], order[edges[c] : edges[c + 1]]
 
 
 def _near_pairs(index: Index, threshold: float) -> Callable[[pa.Table], pa.Table]:
@@ -233,7 +241,7 @@ def _near_pairs(index: Index, threshold: float) -> Callable[[pa.Table], pa.Table
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(kept) and len(asking):
             codes = _unpacked(np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(kept), -1))
-            for q, part in _cells(x, asking, kept):
+            for q, part in _cells(x, asking, kept, stored, threshold):
                 y, limit, who = x[kept[part]], bound[kept[part]], ids[kept[part]]
                 for at in range(0, len(q), 512):
                     some = q[at : at + 512]

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from loomtext.llm import cluster, knn
+from loomtext.llm.vectors import binary
 
 
 def planted(n=600, k=5, dim=64, seed=1, noise=0.09):
@@ -140,3 +142,18 @@ def test_leaves_lose_no_pair(spark, monkeypatch):
     expected = brute_pairs(x.astype(np.float32).astype(float), 0.97)
     found = {tuple(r) for r in knn.similar_pairs(frame(spark, x)).collect()}
     assert len(expected) > 1000 and found == expected
+
+
+def test_cells_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(knn, "DIVIDE", 100)  # in this process: workers import the module anew
+    monkeypatch.setattr(knn, "CELL", 12)
+    x, _ = planted(3000, noise=0.03)
+    rng = np.random.default_rng(6)
+    for i in range(0, 3000, 2):
+        x[i + 1] = x[i] + np.linalg.norm(x[i]) * 0.235 / 8 * rng.normal(size=64)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = knn.Index(u, 3000, 4000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), binary(u)], ["id", "vec"])
+    got = knn._near_pairs(index, 0.97)(pa.Table.from_batches(knn._laid_out(index, 3, 0.97, 1)(iter([batch]))))
+    expected = brute_pairs(u.astype(float), 0.97)
+    assert len(expected) > 700 and set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)) == expected
