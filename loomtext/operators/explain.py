@@ -92,3 +92,14 @@ def explain_pair(texts: DataFrame, embedding: DataFrame, dim: int, i: int, j: in
     scores = rows.groupBy("_ref").applyInArrow(_ridge(features), "_ref long, word string, score double")
     n = max(1, texts.count())
     return scores.groupBy(F.lit(i).alias("i"), F.lit(j).alias("j"), "word").agg((F.sum("score") / n).alias("score"))
+
+
+def explain_pairs(members: DataFrame, embedding: DataFrame, dim: int, samples: int = 50, features: int = 50, trees: int = 50, seed: int = 0) -> DataFrame:
+    """(i, j, word, score) of every pair in ``members`` (i, j, y, _ref, tokens), each explained by a forest of its own.
+    There is a row per pair at the driver; a pair's texts are few."""
+    out = None
+    for r in members.select("i", "j").distinct().orderBy("i", "j").collect():
+        mine = members.where((F.col("i") == r.i) & (F.col("j") == r.j))
+        one = materialize(explain_pair(mine, embedding, dim, r.i, r.j, samples, features, trees, seed), "explained")
+        out = one if out is None else out.unionAll(one)
+    return members.sparkSession.createDataFrame([], "i int, j int, word string, score double") if out is None else out

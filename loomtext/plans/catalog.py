@@ -579,13 +579,15 @@ def lime_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lime_explain(spark: SparkSession, d: str) -> DataFrame:
-    """Words that tell the two largest stored clusters apart, from an even subset of their parsed texts."""
+    """Words that tell each two close stored clusters apart, from even subsets of their parsed texts."""
     labels = _t(spark, d, "cluster_master_labels").where("meta_labels is not null").select("_ref", F.col("meta_labels").alias("cluster_id")).distinct()
-    i, j = sorted(r.cluster_id for r in labels.groupBy("cluster_id").count().orderBy(F.desc("count"), "cluster_id").limit(2).collect())
-    pair = spark.createDataFrame([(i, j)], "i int, j int")
-    subset = explain.even_subset(explain.pair_members(labels, pair), 25)
+    v = _t(spark, d, "document_vectors").where("score_method = 'unique_IDF' and _ref is not null").select("_ref", F.col("v").cast("array<double>").alias("vec"))
+    usable = F.coalesce((F.size("vec") == DIM) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
+    held = labels.join(v.where(usable).groupBy("_ref").agg(F.min("vec").alias("vec")), "_ref")
+    pairs = materialize(explain.close_pairs(metacluster.centroids(held, DIM), CLOSE).select("i", "j"), "pairs")
+    subset = explain.even_subset(explain.pair_members(labels, pairs), 25)
     texts = _t(spark, d, "parsed_documents").groupBy("_ref").agg(F.max("text").alias("text"))
-    held = counts.document_tokens(texts, "_ref").join(F.broadcast(subset.select("_ref", "y")), "_ref")
-    emb = _toy(spark, d, counts.term_document_frequency(counts.document_tokens(texts, "_ref"))).select("word", "vec")
-    scores = explain.explain_pair(materialize(held, "held"), materialize(emb, "emb"), DIM, i, j, samples=30, trees=20)
-    return explain.normalise_scores(scores)
+    tokens = counts.document_tokens(texts, "_ref")
+    emb = _toy(spark, d, counts.term_document_frequency(tokens)).select("word", "vec")
+    members = materialize(tokens.join(F.broadcast(subset), "_ref"), "held")
+    return explain.normalise_scores(explain.explain_pairs(members, materialize(emb, "emb"), DIM))

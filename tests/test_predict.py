@@ -91,6 +91,17 @@ def test_explanations(spark):
     assert got["blue"] > 0 > got["red"]
 
 
+def test_every_close_pair_is_explained(spark):
+    words = ["red", "blue", "green"]
+    emb = spark.createDataFrame([(w, [float(w == x) for x in words]) for w in words], "word string, vec array<double>")
+    data = [(i, j, y, 10 * (i, j)[y] + k, [words[(i, j)[y]]]) for i, j in [(0, 1), (0, 2), (1, 2)] for y in (0, 1) for k in range(4)]
+    members = spark.createDataFrame(data, "i int, j int, y int, _ref long, tokens array<string>")
+    got = {(r.i, r.j, r.word): r.score for r in explain.explain_pairs(members, emb, 3, samples=10, trees=5).collect()}
+    assert {(i, j) for i, j, _ in got} == {(0, 1), (0, 2), (1, 2)}
+    assert all(got[i, j, words[j]] > 0 > got[i, j, words[i]] for i, j in [(0, 1), (0, 2), (1, 2)])
+    assert explain.explain_pairs(members.limit(0), emb, 3).count() == 0
+
+
 def test_whole_pipeline(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
