@@ -68,3 +68,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionAll(edges.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component")))
+
+
+def linked_rows(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, n_links, group_id) of every (id, rep) of ``members``: its class, the number of other classes that
+    ``pairs`` (a, b of classes, each pair once) links it to, and the least class that links lead to."""
+    ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    comp = components(pairs, "a", "b").select(F.col("id").alias("rep"), "component")
+    out = members.join(ends.hint("shuffle_hash"), "rep", "left").join(comp.hint("shuffle_hash"), "rep", "left")
+    return out.select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("group_id"))

@@ -10,10 +10,11 @@ of the longer one. Method: SuperMinHash over the multiset of words, banding, ver
 3. The survivors are verified exactly on their words.
 4. Pairs of classes go out expanded to records, or as groups with their number of links.
 
-Bands: 240 of 8 slots, drawn from a signature of 320. A pair of Jaccard similarity J (of multisets) is met with probability
-1 - (1 - J^8)^240 nearly: 0.9995 at 0.667, the least that a similarity of 0.8 allows (equal lengths, edits everywhere).
-The shape is a parameter: unlike records of similarity j meet with about 240 j^8. Fewer, narrower bands reach the same
-at the edge (64 of 5), but there unlike records meet with 64 j^5, a hundred times as often for j = 0.2.
+Bands: 64 of 7 slots. A pair of Jaccard similarity J (of multisets) is met with probability 1 - (1 - J^7)^64 nearly: 0.979
+at 0.667, the least that a similarity of 0.8 allows (equal lengths, edits everywhere). The shape is a parameter: unlike
+records of similarity j meet with about 64 j^7.
+
+A band key that a great part of the records holds is told from a bounded sample and spread over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -25,18 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.components import components
+from loomtext.llm.components import linked_rows
 from loomtext.llm.pairs import expand, pairs_within
 from loomtext.llm.superminhash import bands, multiset_elements, signatures
 from loomtext.llm.words import mix, slices, word_hashes
 from loomtext.plans.shared import materialize, small
 
+BANDS, WIDTH = 64, 7
 #: Slots of a signature, at most; bands share them where they need more.
-SLOTS = 320
-BANDS, WIDTH = 240, 8
+SLOTS = 512
 SIMILARITY, LEAST_WORDS = 0.8, 20
 #: Most records that are broadcast to pick those to verify; beyond that the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Records of the sample that tells hot band keys, at most; classes that hold a hot key in it, at least; tasks for each.
+SAMPLE, HOT, SALTS = 5_000, 64, 256
+#: Where in a row's key the number of words stands, and its greatest value: it stands for itself and all above.
+_AT, _MOST = 48, (1 << 15) - 1
 #: Records whose signatures are made at once.
 STEP = 2000
 
@@ -95,7 +100,8 @@ def _banded(least: int, count: int, width: int) -> Callable[[Iterator[pa.RecordB
                 sig = signatures(elements[mine], place[owner[mine]], len(first), min(count * width, SLOTS))
                 keys = bands(sig, count, width)
                 who = c1[order]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(who, count)), pa.array(np.repeat(n[order].astype(np.int32), count))], ["key", "c1", "n"])
+                keys |= np.minimum(n[order], _MOST).astype(np.int64)[:, None] << _AT
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(who, count))], ["row", "c1"])
 
     return run
 
@@ -124,12 +130,31 @@ def _needed(similarity: float) -> Column:
     return F.ceil(F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9))
 
 
-def _candidates(source: DataFrame, least: int, similarity: float, shape: tuple[int, int]) -> DataFrame:
+def _hot(source: DataFrame, total: int, least: int, shape: tuple[int, int]) -> DataFrame:
+    """The band keys that many of the sampled records hold; their number is bounded by the sample's size."""
+    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 20))
+    some = source.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < share).mapInArrow(_banded(least, *shape), "row long, c1 long")
+    return some.select(_key("row"), "c1").distinct().groupBy("key").count().where(F.col("count") >= HOT).select("key")
+
+
+def _key(row: str) -> Column:
+    return F.col(row).bitwiseAND(F.lit((1 << _AT) - 1)).alias("key")
+
+
+def _candidates(source: DataFrame, total: int, least: int, similarity: float, shape: tuple[int, int]) -> DataFrame:
     """Pairs (c1 < d1) of class hashes that share a band key and whose lengths allow the similarity."""
-    rows = source.mapInArrow(_banded(least, *shape), "key long, c1 long, n int").repartition("key")
-    same = Window.partitionBy("key")
-    met = rows.withColumns({"m": F.count(F.lit(1)).over(same), "lo": F.min("c1").over(same), "hi": F.max("c1").over(same)}).where("m > 1 and lo <> hi")
-    met = materialize(met.select("key", F.struct("c1", "n").alias("c")).distinct(), "met")
+    rows = source.mapInArrow(_banded(least, *shape), "row long, c1 long")
+    hot = [r.key for r in _hot(source, total, least, shape).collect()]
+    keyed = rows.withColumn("key", _key("row"))
+    if hot:
+        # rows of a hot key have partners for certain; the others of their task need not tell
+        keys = F.broadcast(source.sparkSession.createDataFrame([(k,) for k in hot], "key long").withColumn("hot", F.lit(True)))
+        keyed = keyed.join(keys, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("c1", F.lit(SALTS)))).drop("hot")
+        same, alone = Window.partitionBy("key", "salt"), F.col("salt").isNull()
+    else:
+        same, alone = Window.partitionBy("key"), F.lit(True)
+    met = keyed.withColumns({"lo": F.min("c1").over(same), "hi": F.max("c1").over(same)}).where((F.col("lo") != F.col("hi")) | ~alone)
+    met = materialize(met.select("key", F.struct("c1", F.shiftright("row", _AT).cast("int").alias("n")).alias("c")).distinct(), "met")
     two = pairs_within(met, ["key"], "c").selectExpr("a.c1 as c1", "b.c1 as d1", "a.n as na", "b.n as nb")
     fits = f"least(na, nb) >= greatest(na, nb) * {similarity} - 1e-9"
     return two.where(fits).select("c1", "d1").distinct()
@@ -146,7 +171,7 @@ def _class_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float
     def side(key: str, rep: str, n: str, p: str) -> DataFrame:
         return classes.select(F.col("c1").alias(key), F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"p{i}").alias(f"{p}{i}") for i in range(4)])
 
-    pairs = _candidates(source, least, similarity, shape).join(side("c1", "ra", "na", "p"), "c1").join(side("d1", "rb", "nb", "q"), "d1")
+    pairs = _candidates(source, profile.count(), least, similarity, shape).join(side("c1", "ra", "na", "p"), "c1").join(side("d1", "rb", "nb", "q"), "d1")
     differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)), F.lit(0))
     pairs = pairs.where(differ <= F.col("na") + F.col("nb") - 2 * _needed(similarity))
     pairs = materialize(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "candidates")
@@ -177,7 +202,4 @@ def near_duplicate_groups(df: DataFrame, ident: str, fields: list[str], similari
     members, pairs = _class_pairs(df, ident, fields, similarity, least, shape)
     members = materialize(members.distinct(), "members")
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = components(pairs, "a", "b").select(F.col("id").alias("rep"), "component")
-    out = members.join(ends.hint("shuffle_hash"), "rep", "left").join(comp.hint("shuffle_hash"), "rep", "left")
-    return out.select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("group_id"))
+    return linked_rows(members, pairs)

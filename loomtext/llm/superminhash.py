@@ -64,7 +64,7 @@ def signatures(elements: np.ndarray, owner: np.ndarray, records: int, slots: int
 
 
 def bands(sig: np.ndarray, count: int, width: int) -> np.ndarray:
-    """records x count keys (int64): equal where all ``width`` slots of a band agree; the low 8 bits are the band. Bands
+    """records x count keys (int64 of 48 bits): 40 bits of a hash of the ``width`` slots of a band, then 8 of the band. Bands
     that need more slots than there are take them in further orders."""
     if count > 256:
         raise ValueError("at most 256 bands")
@@ -74,5 +74,5 @@ def bands(sig: np.ndarray, count: int, width: int) -> np.ndarray:
     key = np.zeros((len(sig), count), np.uint64)
     for i in range(width):
         key = mix(key + sig[:, taken[:, i]].astype(np.uint64) + np.uint64(1))
-    key = (key & np.uint64(0xFFFFFFFFFFFFFF00)) | np.arange(count, dtype=np.uint64)
+    key = (key >> np.uint64(24) << np.uint64(8)) | np.arange(count, dtype=np.uint64)
     return key.view(np.int64)

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 from conftest import rows
+from pyspark.sql import functions as F
 
 from loomtext.llm import neardup
 from loomtext.llm.components import components
@@ -31,7 +32,7 @@ def test_signatures_estimate_similarity():
     h2, o2 = word_hashes([" ".join(shuffled)])
     assert (signatures(*multiset_elements(h2, o2), 1, 320)[0] == sig[0]).all()
     keys = bands(sig, 40, 8)
-    assert (keys[0] == keys[1]).all() and len({int(k) & 63 for k in keys[0]}) == 40
+    assert (keys[0] == keys[1]).all() and len({int(k) & 255 for k in keys[0]}) == 40 and keys.max() < 1 << 48
 
 
 def brute(data, similarity=0.8, least=20):
@@ -108,14 +109,32 @@ def test_components(spark):
 
 
 def test_pairs_at_the_edge(spark):
+    """One fifth of the words replaced, in records of several lengths: similarity 0.8 exactly."""
     rnd = random.Random(6)
-    data = []
-    for k in range(300):
-        words = [f"r{k}x{i}" for i in range(100)]
+    data, sizes = [], {}
+    for k in range(800):
+        n = (20, 50, 100, 200)[k % 4]
+        words = [f"r{k}x{i}" for i in range(n)]
         other = words[:]
-        for i in rnd.sample(range(100), rnd.randint(18, 20)):
+        for i in rnd.sample(range(n), n // 5):
             other[i] = f"new{k}x{i}"
         data += [(2 * k, "", " ".join(words)), (2 * k + 1, "", " ".join(other))]
+        sizes[2 * k] = n
     df = spark.createDataFrame(data, "_ref long, title string, abstract string")
     found = {tuple(r) for r in neardup.near_duplicate_pairs(df, "_ref", ["title", "abstract"]).collect()}
-    assert found <= {(2 * k, 2 * k + 1) for k in range(300)} and len(found) >= 0.99 * 300
+    assert found <= {(2 * k, 2 * k + 1) for k in range(800)}
+    for n in (20, 50, 100, 200):
+        assert sum(sizes[a] == n for a, _ in found) >= 0.95 * 200
+
+
+def test_hot_band_keys(spark, monkeypatch):
+    """Keys that many records hold are spread over tasks, with the same result; so are lengths beyond what a key holds."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    data = [(i, "", " ".join([*rnd.sample(base, 57), f"own{i}"])) for i in range(150)] + [(1000 + i, "", f"{i} " + "long text " * 20_000) for i in range(2)]
+    df = spark.createDataFrame(data, "_ref long, title string, abstract string")
+    assert neardup._hot(df.select(F.col("_ref").alias("id"), "title", "abstract"), 152, 20, (64, 7)).count() > 0
+    found = {tuple(r) for r in neardup.near_duplicate_pairs(df, "_ref", ["title", "abstract"]).collect()}
+    assert found == brute(data)
+    monkeypatch.setattr(neardup, "HOT", 1 << 30)
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df, "_ref", ["title", "abstract"]).collect()} == found
