@@ -5,7 +5,6 @@ vector of ``embeddings.vec_id`` r - 1. Vectors go out one element per row, round
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as tx
 from loomtext.operators import analyze, counts, embedding, explain, importing, metacluster, parse, phrases, predict, rows, scoring
 from loomtext.operators.reduce import reduce_vectors
-from loomtext.plans.shared import materialize, shared_dir, spread
+from loomtext.plans.shared import materialize, shared_path, spread
 from loomtext.sources import tables
 from loomtext.streaming.scoring import score_stream
 
@@ -107,11 +106,10 @@ def import_corpus(spark: SparkSession, d: str) -> DataFrame:
 def csv_source(spark: SparkSession, d: str) -> DataFrame:
     """Source rows written as CSV, one folder per source file, and read again."""
     src = _t(spark, d, "source_csv").select("_ref", "src_file", *[F.replace(F.col(c), F.lit("\r"), F.lit(" ")).alias(c) for c in ("title", "abstract")])
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    tables.write_csv(src.withColumn("origin", F.col("src_file")), path, ["origin"])
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).csv(path)
-    back = tables.require_columns(back, ["_ref", "title", "abstract"])
-    return back.select(F.col("_ref").cast("long"), "src_file", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))
+    path = shared_path(spark, "csv")
+    tables.write_csv(src.withColumnRenamed("src_file", "origin"), path, ["origin"])
+    back = tables.read_csv(spark, path, ["_ref", "title", "abstract"], folder="origin")
+    return back.select(F.col("_ref").cast("long"), F.col("origin").alias("src_file"), "title", "abstract")
 
 
 # --- phrases and parse ---------------------------------------------------------------------------------------------
@@ -287,7 +285,7 @@ QUERIES["score_common_component"] = _scored("IDF_common_component_removal")
 def score_stream_unique_idf(spark: SparkSession, d: str) -> DataFrame:
     """The same scores, of documents read as a stream of files."""
     _, vocab = _vocab(spark, d)
-    base = shared_dir(spark) + f"/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     docs = _t(spark, d, "documents")
     docs.select("doc_id", "text").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(docs.select("doc_id", "text").schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/in")
@@ -311,7 +309,7 @@ def pca(spark: SparkSession, d: str) -> DataFrame:
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all methods stored by method; those of one method read back from their partition alone."""
     v = _t(spark, d, "document_vectors").select(F.col("score_method").alias("method"), "_ref", F.col("v").cast("array<double>").alias("vec"))
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = shared_path(spark, "store")
     tables.save_vectors(v.where("vec is not null and not exists(vec, x -> x is null or isnan(x))").distinct(), path)
     held = tables.load_vectors(spark, path, "simple")
     return held.select(F.lit("simple").alias("method"), "_ref", F.size("vec").cast("long").alias("n"), _r(F.get("vec", F.lit(0))).alias("first"))
@@ -321,7 +319,7 @@ def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
 def stored_counts(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies exported as CSV with the counter's row, read again, and the counter put back as a row."""
     docs = _docs(spark, d)
-    path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    path = shared_path(spark, "counts")
     tables.write_counts(counts.term_document_frequency(docs), docs.count(), path)
     back, n = tables.read_counts(spark, path)
     return back.unionAll(spark.createDataFrame([(tables.DOCUMENT_COUNTER, n)], back.schema))

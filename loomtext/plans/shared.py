@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,32 +17,41 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset (as in
-    tests on one machine) a temporary folder is made."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset and everything
+    runs on this machine (as in tests) a temporary folder is made; elsewhere it is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         named = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, so a lost executor costs at most
-    the stage that reads it. The files go when the driver ends."""
+    the stage that reads it. The files go with ``release``, at the end of ``tables_released`` or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the tables that ``materialize`` wrote; no DataFrame that reads them may be used afterwards."""
-    for owner, path in list(_written):
+def release(spark: SparkSession | None = None, keep: int = 0) -> None:
+    """Delete what was written to the shared folder, but for the first ``keep`` paths; no DataFrame that reads the rest may
+    be used afterwards."""
+    for owner, path in _written[keep:]:
         if spark is None or owner is spark:
             _written.remove((owner, path))
             try:
@@ -51,6 +62,16 @@ def release(spark: SparkSession | None = None) -> None:
                 pass
 
 
+@contextmanager
+def tables_released(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder within the block is deleted at its end: run a query and save its rows in it."""
+    keep = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, keep)
+
+
 atexit.register(release)
 
 

@@ -21,14 +21,15 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str = "table")
     return df
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, glob: str = "*.csv") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, glob: str = "*.csv", folder: str | None = None) -> DataFrame:
     """CSV files with a header as columns of text, plus ``src_file``. Quoted newlines, doubled quotes and fields of any
-    length are read; an empty cell is ''. The files of a folder are those that match ``glob``."""
+    length are read; an empty cell is ''. The files of a folder are those that match ``glob``. ``folder`` names the
+    column that ``write_csv`` laid out as folders, if it did; its values come back as text."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).option("pathGlobFilter", glob)
     df = reader.csv(path)
-    df = require_columns(df, columns or [], f"CSV {path}")
-    picked = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in (columns or df.columns)]
-    return df.select(*picked, F.col("_metadata.file_name").alias("src_file"))
+    df = require_columns(df, [*(columns or []), *([folder] if folder else [])], f"CSV {path}")
+    picked = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in (columns or [c for c in df.columns if c != folder])]
+    return df.select(*picked, *([F.col(f"`{folder}`").cast("string").alias(folder)] if folder else []), F.col("_metadata.file_name").alias("src_file"))
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:

@@ -24,3 +24,9 @@ def test_core_does_not_name_llm():
     for p in (REPO / "loomtext").rglob("*.py"):
         if "llm" not in p.parts:
             assert "loomtext.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_a_broken_dependency_is_no_absence():
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__"
+    got = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True)
+    assert got.returncode and "regex" in got.stderr or not (REPO / "loomtext/llm").exists()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -22,6 +23,51 @@ def test_tables_go_to_the_named_folder(spark):
     assert not Path(files[0].removeprefix("file://")).exists() and not shared._written
 
 
+def test_only_a_local_master_has_a_temporary_folder(spark):
+    class Elsewhere:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return spark.sparkContext._jsc.sc()
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = {}
+
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        assert shared.shared_dir(Session()) == held.get().rstrip("/")
+
+    class Unset(Elsewhere):
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Unset
+
+        class getCheckpointDir:
+            @staticmethod
+            def isDefined():
+                return False
+
+    Session.sparkContext = Unset()
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
+def test_tables_are_released_after_a_block(spark):
+    before = list(shared._written)
+    with shared.tables_released(spark):
+        shared.materialize(spark.range(3), "probe")
+        (path,) = [p for _, p in shared._written[len(before):]]
+        assert Path(path.removeprefix("file://")).exists()
+    assert not Path(path.removeprefix("file://")).exists() and shared._written == before
+
+
 def test_broadcast_only_below_the_bound(spark):
     df = spark.range(10)
     plan = lambda d: d._jdf.queryExecution().logical().toString()
