@@ -66,24 +66,30 @@ def _parsed(df: DataFrame, raw: str, header: tuple[str, ...]) -> DataFrame:
     whole = ~F.col("quoting") & (count == len(header))
     d = _once(d, "fields", F.when(whole, F.struct(*[_value(F.get("cells", F.lit(i))).alias(h) for i, h in enumerate(header)])))
 
-    def fails(field: str, pattern: str) -> Column:
-        return ~F.coalesce(F.col(f"fields.`{field}`").rlike(pattern), F.lit(False))
+    def rule(fails: Column, reason: str, field: str | None, what: str) -> Column:
+        return F.when(fails, F.struct(F.lit(reason).alias("reason"), F.lit(field).cast("string").alias("field"), F.lit(what).alias("rule")))
 
-    def broken(field: str) -> Column:
-        return F.coalesce(F.col(f"fields.`{field}`").rlike(BROKEN), F.lit(False))
+    def cast_and_form(field: str, kind: str, pattern: str, what: str) -> list[Column]:
+        """A field must cast to its type; one that does must also have the form."""
+        text, number = F.col(f"fields.`{field}`"), F.col(f"fields.`{field}`").try_cast(kind)
+        return [rule(whole & number.isNull(), "value", field, f"no {kind}"), rule(whole & number.isNotNull() & ~text.rlike(pattern), "value", field, what)]
+
+    def clean(field: str) -> Column:
+        return rule(whole & F.coalesce(F.col(f"fields.`{field}`").rlike(BROKEN), F.lit(False)), "value", field, "broken characters")
 
-    value = fails("pmid", r"\A[0-9]{1,8}\z") | fails("year", r"\A(19|20)[0-9]{2}\z") | broken("abstract") | broken("specific aims")
     errors = F.array_compact(F.array(
-        F.when(F.col("quoting"), F.lit("quoting")),
-        F.when(~F.col("quoting") & (count != len(header)), F.lit("column_count")),
-        F.when(whole & value, F.lit("value")),
+        rule(F.col("quoting"), "quoting", None, "quotes out of place"),
+        rule(~F.col("quoting") & (count != len(header)), "column_count", None, f"not {len(header)} fields"),
+        *cast_and_form("pmid", "long", r"\A[0-9]{1,8}\z", "not 1 to 8 digits"),
+        *cast_and_form("year", "int", r"\A(19|20)[0-9]{2}\z", "no year of 19.. or 20.."),
+        clean("abstract"), clean("specific aims"),
     ))
     return _once(d, "errors", errors).select("row", "fields", "errors")
 
 
 def parse_records(df: DataFrame, raw: str = "raw", header: tuple[str, ...] = HEADER) -> DataFrame:
-    """``df`` with ``fields`` (struct of nullable texts, null where the row can't be split) and ``errors``, the reasons in
-    the order quoting, column_count, value; empty for a sound row. One carriage return at the very end belongs to the
+    """``df`` with ``fields`` (struct of nullable texts, null where the row can't be split) and ``errors``: one (reason, field,
+    rule) for each rule that fails, in the order quoting, column_count, value; empty for a sound row. One carriage return at the very end belongs to the
     line end. A null row has no fields (column_count), an empty one a single field. Other columns stay as they are; where
     one is called fields or errors, the new one is called parsed_..."""
     d = _parsed(df, raw, header)
@@ -100,5 +106,5 @@ def split_records(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame
     typed = {"pmid": "long", "year": "int"}
     cols = [(F.col(f"fields.`{h}`").try_cast(typed[h]) if h in typed else F.col(f"fields.`{h}`")).alias(_free(h.replace(" ", "_"), kept, "field_")) for h in HEADER]
     good = d.where(F.size("errors") == 0).select(*rest, *cols)
-    new = [F.get("errors", F.lit(0)).alias(_free("reason", [*kept, raw], "row_")), F.col("errors").alias(_free("errors", [*kept, raw], "row_"))]
+    new = [F.get("errors", F.lit(0))["reason"].alias(_free("reason", [*kept, raw], "row_")), F.col("errors").alias(_free("errors", [*kept, raw], "row_"))]
     return good, d.where(F.size("errors") > 0).select(*rest, F.col(f"row.`{raw}`"), *new)

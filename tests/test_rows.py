@@ -62,17 +62,27 @@ def test_against_machine(spark):
     got = {r.record_id: r for r in parse_records(df).collect()}
     for i, raw in enumerate(raws):
         reason, fields = machine(raw)
-        assert (got[i].errors or [None])[0] == reason, (raw, got[i].errors, reason)
+        assert (got[i].errors[0].reason if got[i].errors else None) == reason, (raw, got[i].errors, reason)
         if reason is None:
             assert list(got[i].fields) == fields, raw
 
 
+def test_every_rule_that_fails_is_told(spark):
+    raws = ["x,t,a\x01,b\ufffd,j,99", "+5,t,a,b,j,2001", "123456789,t,a,b,j,1850", '"',  "1,2", " 7,t,,,j,"]
+    got = [[(e.field, e.rule) for e in r.errors] for r in parse_records(spark.createDataFrame(list(enumerate(raws)), "i int, raw string")).orderBy("i").collect()]
+    form, year = "not 1 to 8 digits", "no year of 19.. or 20.."
+    assert got == [
+        [("pmid", "no long"), ("year", year), ("abstract", "broken characters"), ("specific aims", "broken characters")],
+        [("pmid", form)], [("pmid", form), ("year", year)], [(None, "quotes out of place")], [(None, "not 6 fields")], [("pmid", form), ("year", "no int")],
+    ]
+
+
 def test_split_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "own", SOUND, 7), (2, None, "1,2", None)], "record_id long, title string, raw string, extra int")
     good, bad = split_records(df)
     assert rows(good) == [(1, "own", 7, 12, 'a "t"', "x,y\nz", None, "J", 1999)]
     assert good.columns == ["record_id", "title", "extra", "pmid", "field_title", "abstract", "specific_aims", "journal", "year"]
-    assert rows(bad) == [(2, None, None, "1,2", "column_count", ["column_count"])]
+    assert rows(bad) == [(2, None, None, "1,2", "column_count", [("column_count", None, "not 6 fields")])]
     clash = df.withColumnRenamed("extra", "errors").withColumnRenamed("title", "Reason")
     assert parse_records(clash).columns == ["record_id", "Reason", "raw", "errors", "fields", "parsed_errors"]
     assert split_records(clash)[1].columns == ["record_id", "Reason", "errors", "raw", "row_reason", "row_errors"]
