@@ -1,20 +1,26 @@
 """Evaluation passages that stand in training texts (problem 9).
 
-A document leaks an item if its words hold ``RUN`` consecutive words of the item. Method: MinHash containment search with
-domains partitioned by size (Zhu et al. 2016), then exact containment of the shingle of ``RUN`` words.
+A document leaks an item if its words hold ``RUN`` consecutive words of the item. Method: MinHash containment search, then
+exact containment of the shingle of ``RUN`` words.
 
 The queries are the passages of ``RUN`` words of the items, as sets of five-word shingles (``RUN`` - 4 each). The domains
-are windows of the documents, laid so that every run of ``RUN`` words lies within one: a long document is many windows,
-a short one is a smaller window. Windows fall into partitions by their number of shingles; as a leaked passage is
-wholly contained, its Jaccard similarity with a window of u shingles is (RUN - 4) / u at least, and each partition takes
-the widest bands that miss such a pair with a probability of ``MISS`` at most. What meets a passage in a band is
-verified on the exact runs.
+are windows of the documents. A containment search over domains of several sizes has a partition for each size, as the
+Jaccard similarity that a contained query has with a domain of u shingles falls as (RUN - 4) / u and the number of hash
+functions must grow against it. Here all queries are of one size, so the windows are cut to that size: a contained passage
+is its window, their similarity is 1, and one hash function meets it for certain. It is also the cheapest size: windows
+that follow each other mostly share their minimum, so a text has about 0.22 keys a word, where windows of 20
+shingles need 14 functions and a key a word to miss one passage in a thousand.
+
+1. The passages of all items become a table of (key, run, item): the minimum of the shingles' hashes, the hash of the run.
+2. One scan of the documents, whatever the number of items: the windows' keys are held against those of the items. Where
+   the items have at most ``KEYS`` distinct ones (counted), these go along with the tasks; beyond that, keys and items' keys
+   are joined by a shuffle.
+3. The windows that met are joined with the passages on the exact runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.words import mix, slices, word_hashes
+from loomtext.plans.shared import materialize, small
 
 RUN, SHINGLE = 12, 5
-#: Runs that start in a window; its words are RUN - 1 more.
-STRIDE = 13
-HASHES, MISS = 24, 1e-3
-#: Passages that are held against the corpus at once: a larger evaluation set goes through in blocks.
-PASSAGES = 200_000
-_SET = RUN - SHINGLE + 1
-_WINDOW = STRIDE + RUN - 1 - SHINGLE + 1
-
-
-def _bands(most: int) -> tuple[int, int]:
-    """(bands, width) for windows of at most ``most`` shingles."""
-    s = min(1.0, _SET / most)
-    return next((HASHES // r, r) for r in (6, 4, 3, 2, 1) if (1 - s**r) ** (HASHES // r) <= MISS or r == 1)
-
-
-#: Upper bounds of the partitions' sizes and their bands.
-PARTITIONS = tuple((u, *_bands(u)) for u in (_SET, _SET * 3 // 2, _WINDOW))
+#: Distinct keys of items that go along with the tasks, at most (8 bytes each); passages that are broadcast, at most.
+KEYS, PASSAGES = 1_000_000, 500_000
+_Batches = Iterator[pa.RecordBatch]
 
 
 def _runs(words: np.ndarray, length: int) -> np.ndarray:
@@ -56,129 +49,82 @@ def _runs(words: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-_FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def _band_keys(sig: np.ndarray, width: int) -> np.ndarray:
-    key = np.zeros((len(sig), sig.shape[1] // width), np.uint64)
-    for i in range(width):
-        key = mix(key + sig[:, i::width])
-    return key
-
-
-class Passages:
-    """The passages of a block of items: their runs, with the items that hold them, and the bands per partition."""
-
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        hashes, offsets = word_hashes([t for _, t in items])
-        runs, owner, sigs = [], [], []
-        for (ident, _), a, b in zip(items, offsets[:-1], offsets[1:], strict=True):
-            r = _runs(hashes[a:b], RUN)
-            if len(r):
-                shingles = _runs(hashes[a:b], SHINGLE)
-                sets = np.lib.stride_tricks.sliding_window_view(shingles, _SET)
-                sigs.append(np.stack([(sets * f).min(axis=1) for f in _FACTORS], axis=1))
-                runs.append(r)
-                owner.append(np.full(len(r), ident, np.int64))
-        self.runs = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        order = np.argsort(self.runs, kind="stable")
-        self.runs, self.owner = self.runs[order], self.owner[order]
-        sig = np.concatenate(sigs) if sigs else np.zeros((0, HASHES), np.uint64)
-        self.index = []
-        for _, _, width in PARTITIONS:
-            keys = _band_keys(sig, width)
-            tables = []
-            for b in range(keys.shape[1]):
-                bits = np.zeros(1 << 20, bool)
-                bits[keys[:, b] >> np.uint64(44)] = True
-                tables.append((np.packbits(bits), np.unique(keys[:, b])))
-            self.index.append(tables)
-
-    def met(self, sig: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which windows (signatures, numbers of shingles) meet a passage in a band of their partition."""
-        found = np.zeros(len(sig), bool)
-        least = 0
-        for (most, _, width), tables in zip(PARTITIONS, self.index, strict=True):
-            at = np.flatnonzero((sizes > least) & (sizes <= most))
-            least = most
-            if not len(at):
-                continue
-            keys = _band_keys(sig[at], width)
-            hit = np.zeros(len(at), bool)
-            for b, (packed, table) in enumerate(tables):
-                bits = np.unpackbits(packed).view(bool)
-                some = np.flatnonzero(bits[keys[:, b] >> np.uint64(44)] & ~hit)
-                if len(some):
-                    k = keys[some, b]
-                    i = np.minimum(np.searchsorted(table, k), len(table) - 1)
-                    hit[some[table[i] == k]] = True
-            found[at[hit]] = True
-        return found
-
-
-def _windows(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, sizes, document, first word) of the windows of all documents that have RUN words."""
-    counts = np.diff(offsets)
-    docs = np.flatnonzero(counts >= RUN)
-    n = counts[docs]
-    blocks = -(-(n - RUN + 1) // STRIDE)
-    last = np.cumsum(blocks)
-    doc = np.repeat(np.arange(len(docs)), blocks)
-    nth = np.arange(int(last[-1]) if len(last) else 0) - np.repeat(last - blocks, blocks)
-    first = offsets[docs][doc] + nth * STRIDE
-    sizes = np.minimum(_WINDOW, n[doc] - SHINGLE + 1 - nth * STRIDE)
-    shingles = _runs(hashes, SHINGLE)
-    # positions of a window's shingles; those beyond its end repeat its first, which changes no minimum
-    at = np.arange(_WINDOW)[None, :]
-    values = shingles[first[:, None] + np.where(at < sizes[:, None], at, 0)]
-    sig = np.empty((len(first), HASHES), np.uint64)
-    for i, f in enumerate(_FACTORS):
-        sig[:, i] = (values * f).min(axis=1)
-    return sig, sizes, docs[doc], first
-
-
-def _leaks(passages: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least(values: np.ndarray, length: int) -> np.ndarray:
+    """Minimum of every ``length`` consecutive values; widths are doubled, and the last two overlap."""
+    out, width = values, 1
+    while width < length:
+        step = min(width, length - width)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        width += step
+    return out
+
+
+def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the text, key, hash of the run) of every run of ``RUN`` words."""
+    hashes, offsets = word_hashes(texts)
+    each = np.maximum(np.diff(offsets) - RUN + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), each)
+    start = offsets[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+    if not len(start):
+        return owner, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = mix(_least(_runs(hashes, SHINGLE), RUN - SHINGLE + 1))
+    return owner, keys[start].view(np.int64), _runs(hashes, RUN)[start].view(np.int64)
+
+
+def _passages(batches: _Batches) -> _Batches:
+    for whole in batches:
+        for b in slices(whole, 1, 2 << 20):
+            owner, key, run = _windows(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(run), b.column(0).take(pa.array(owner))], ["key", "run", "item"])
+
+
+def _met(keys: np.ndarray) -> Callable[[_Batches], _Batches]:
+    """(id, run) of the windows whose key is one of ``keys`` (sorted)."""
+
+    def run(batches: _Batches) -> _Batches:
+        some = np.zeros(1 << 24, bool)
+        some[keys.view(np.uint64) >> np.uint64(40)] = True
         for whole in batches:
             for b in slices(whole, 1, 2 << 20):
-                hashes, offsets = word_hashes(b.column(1).to_pylist())
-                sig, sizes, doc, first = _windows(hashes, offsets)
-                hit = passages.met(sig, sizes)
-                doc, first, sizes = doc[hit], first[hit], sizes[hit]
-                # exact: the runs that start in the windows met
-                each = sizes - (RUN - SHINGLE)
-                start = np.repeat(first, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                owner = np.repeat(doc, each)
-                h = _runs(hashes, RUN)[start]
-                lo, hi = np.searchsorted(passages.runs, h, "left"), np.searchsorted(passages.runs, h, "right")
-                times = hi - lo
-                at = np.repeat(lo, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                pairs = np.stack([ids[np.repeat(owner, times)], passages.owner[at]], axis=1).astype(np.int64)
-                pairs, runs = np.unique(pairs, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(runs)], ["id", "item", "runs"])
+                owner, key, runs = _windows(b.column(1).to_pylist())
+                at = np.flatnonzero(some[key.view(np.uint64) >> np.uint64(40)])
+                place = np.searchsorted(keys, key[at])
+                at = at[keys[np.minimum(place, len(keys) - 1)] == key[at]] if len(keys) else at[:0]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[at])), pa.array(runs[at])], ["id", "run"])
 
     return run
 
 
+def _stretches(batches: _Batches) -> _Batches:
+    """(id, key, runs): a row for each stretch of windows of the same key."""
+    for whole in batches:
+        for b in slices(whole, 1, 2 << 20):
+            owner, key, runs = _windows(b.column(1).to_pylist())
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(first)
+            ends = np.append(at[1:], len(key)) if len(at) else at
+            held = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends * 8]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(runs))])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[at])), pa.array(key[at]), held], ["id", "key", "runs"])
+
+
+def _unpacked(batches: _Batches) -> _Batches:
+    for b in batches:
+        runs = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.concatenate([np.zeros(0, np.int64), *runs]))], ["id", "run"])
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, runs): documents whose words hold at least 12 consecutive words of an item, with the number of such
     runs found. Null and short texts on either side leak nothing; a text that comes under several ids counts for each;
     an id that comes in several rows has its runs added."""
     corpus = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    parts, held, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal held, size
-        if held or not parts:
-            parts.append(corpus.mapInArrow(_leaks(Passages(held)), "id long, item long, runs long"))
-            held, size = [], 0
-
-    for row in items.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        held.append((row.i, row.t))
-        size += row.t.count(" ") + 1
-        if size >= PASSAGES:
-            flush()
-    flush()
-    return reduce(DataFrame.unionAll, parts).groupBy("id", "item").agg(F.sum("runs").alias("runs"))
+    asked = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    passages = materialize(asked.mapInArrow(_passages, "key long, run long, item long"), "passages")
+    keys = passages.select("key").distinct()
+    if keys.limit(KEYS + 1).count() <= KEYS:
+        met = corpus.mapInArrow(_met(np.sort(keys.toArrow().column("key").to_numpy())), "id long, run long")
+    else:
+        met = corpus.mapInArrow(_stretches, "id long, key long, runs binary").join(keys.hint("shuffle_hash"), "key", "left_semi").select("id", "runs").mapInArrow(_unpacked, "id long, run long")
+    return met.join(small(passages.select("run", "item"), PASSAGES), "run").groupBy("id", "item").agg(F.count(F.lit(1)).alias("runs"))
