@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.normalize import canonical_text, fingerprint
+from loomtext.llm.normalize import canonical_text, changed, fingerprint
 from loomtext.llm.pairs import expand, pairs_within
 from loomtext.plans.shared import materialize
 
@@ -25,14 +25,13 @@ def is_placeholder(col: F.Column) -> F.Column:
 
 def _fingerprints(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     """One row for each text that counts: field, ident, hashes of its form (c1, c2) and of its characters (r1, r2)."""
-
-    def one(c: str) -> DataFrame:
-        d = df.select(F.lit(c).alias("field"), F.col(ident).alias("id"), F.col(c).alias("raw"), canonical_text(F.col(c)).alias("form"))
-        d = d.where((F.col("form") != "") & ~is_placeholder(F.col("form")))
-        (c1, c2), (r1, r2) = fingerprint(F.col("form")), fingerprint(F.col("raw"))
-        return d.select("field", "id", c1.alias("c1"), c2.alias("c2"), r1.alias("r1"), r2.alias("r2"))
-
-    return reduce(DataFrame.unionAll, map(one, columns))
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in columns]))
+    d = df.select(F.col(ident).alias("id"), texts.alias("t")).select("id", "t.field", "t.raw").where("raw is not null")
+    # a generator of one row, below which no filter is pushed: the form is made once for each text
+    d = d.withColumn("new", changed(F.col("raw"))).select("id", "field", "raw", F.explode(F.array("new")).alias("new"))
+    d = d.select("id", "field", "raw", F.coalesce("new", "raw").alias("form")).where((F.col("form") != "") & ~is_placeholder(F.col("form")))
+    (c1, c2), (r1, r2) = fingerprint(F.col("form")), fingerprint(F.col("raw"))
+    return d.select("field", "id", c1.alias("c1"), c2.alias("c2"), r1.alias("r1"), r2.alias("r2"))
 
 
 def lookalike_pairs(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
@@ -49,3 +48,15 @@ def lookalike_pairs(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     pairs = expand(pairs, "a", held, "variant", "id", "x")
     pairs = expand(pairs, "b", held, "variant", "id", "y")
     return pairs.select("field", F.least("x", "y").alias("ref_a"), F.greatest("x", "y").alias("ref_b")).where("ref_a < ref_b").distinct()
+
+
+def lookalike_groups(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
+    """One row for each record and text that counts: (field, id, class_id: the least id whose text in the field looks the
+    same, n_links: records whose text looks the same but has other characters). No pairs are made. A record that comes
+    again with the same texts counts once."""
+    fp = materialize(_fingerprints(df, ident, columns).distinct(), "lookalike")
+    key, raw = ["field", "c1", "c2"], ["r1", "r2"]
+    variants = materialize(fp.groupBy(*key, *raw).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "variants")
+    classes = variants.groupBy(*key).agg(F.sum("n").alias("total"), F.min("least").alias("class_id"))
+    held = variants.join(classes, key).select(*key, *raw, "class_id", (F.col("total") - F.col("n")).alias("n_links"))
+    return fp.join(held, [*key, *raw]).select("field", "id", "class_id", "n_links")

@@ -10,10 +10,11 @@ The form of a text is defined by ``canonical``:
   Cyrillic letters of their own shape, and no more Latin ones of their own, Latin letters become Cyrillic.
 
 Method: a quick check splits the text into stable stretches and unstable segments. A character is stable when it is
-a starter, is its own normal form and has no look-alike. Only the segments are normalised, with the word around
-them as boundary context (for composition and for the script of the word), and spliced into the unchanged rest.
-The check is one search for a class of characters, made in Arrow batches: the same class as a regular expression of
-the JVM took four times as long. Only texts that changed come back from Python.
+a starter, is its own normal form, can't compose with one before it and has no look-alike; this class covers all planes.
+Cyrillic letters are stable in words of their own script that hold a letter of their own shape. Only the segments are
+normalised, with the word around them as boundary context (for composition and for the script of the word), and spliced
+into the unchanged rest. The check is one search for a class of characters, made in Arrow batches: the same class as a
+regular expression of the JVM took four times as long. Only texts that changed come back from Python.
 """
 
 from __future__ import annotations
@@ -27,16 +28,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cyrillic and Greek letters that have the shape of a Latin letter, in the order of the Latin letters.
-CYRILLIC = "АВСЕНІЈКМОРЅТУХԜ" + "асԁеһіјорԛѕѵԝху"
-CYRILLIC_AS = "ABCEHIJKMOPSTYXW" + "acdehijopqsvwxy"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "νοϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYX" + "vocj"
+#: Letters of other scripts that have the shape of a Latin letter, and those letters, by script. Of several for
+#: one Latin letter the first stands for it in a Cyrillic word.
+CYRILLIC = "АВСЕНІЈКМОРЅТУХԜ" + "асԁеһіјорԛѕѵԝху" + "ԌӀԚѴҮӏү"
+CYRILLIC_AS = "ABCEHIJKMOPSTYXW" + "acdehijopqsvwxy" + "GIQVYly"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "νορυϲϳ"
+GREEK_AS = "ABEZHIKMNOPTYX" + "vopucj"
+ARMENIAN = "ԼՕՍՏ" + "զհյոսցօ"
+ARMENIAN_AS = "LOUS" + "qhjnugo"
+COPTIC = "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ" + "ⲟⲣⲥⲭ"
+COPTIC_AS = "BHIKMNOPCTYX" + "opcx"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᎽᏃ"
+CHEROKEE_AS = "ABCDEGHJKLMPRSTVWYZ"
+LISU = "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ"
+LISU_AS = "ABCDEFGHIJKLMNOPRSTUVWXYZ"
 #: Hyphens as long as the ASCII one (the soft hyphen has no width).
 HYPHENS = "‐‑⁃﹣－"
 
-_TO_LATIN = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
-_TO_CYRILLIC = dict(zip(CYRILLIC_AS, CYRILLIC, strict=True))
+_TO_LATIN = dict(zip(CYRILLIC + GREEK + ARMENIAN + COPTIC + CHEROKEE + LISU, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + COPTIC_AS + CHEROKEE_AS + LISU_AS, strict=True))
+_TO_CYRILLIC = dict(zip(CYRILLIC_AS[::-1], CYRILLIC[::-1], strict=True))
 _CYRILLIC_SET, _HYPHEN_SET = set(CYRILLIC), set(HYPHENS)
 
 
@@ -76,25 +86,33 @@ def _decomposed(ch: str) -> str:
     return "".join(map(_decomposed, parts))
 
 
-def _stable(ch: str) -> bool:
+#: Blocks of letters that compose with the one before them by rule, and surrogates.
+_JAMO, _SURROGATES = ((0x1100, 0x11FF), (0xA960, 0xA97F), (0xD7B0, 0xD7FF)), (0xD800, 0xDFFF)
+_CYRILLIC_BLOCK = (0x400, 0x52F)
+
+
+def _stable(o: int) -> bool:
+    ch = chr(o)
     if ch == " ":
         return True
+    flat = unicodedata.normalize("NFD", ch)
     return (
-        _decomposed(ch) == unicodedata.normalize("NFD", ch)
+        _decomposed.__wrapped__(ch) == flat
         and unicodedata.is_normalized("NFC", ch)
         and unicodedata.combining(ch) == 0
         and not unicodedata.category(ch).startswith("M")
-        and ch not in _TO_LATIN
+        and (_CYRILLIC_BLOCK[0] <= o <= _CYRILLIC_BLOCK[1] or flat[0] not in _TO_LATIN)
     )
 
 
 @lru_cache(maxsize=1)
 def stable_ranges() -> tuple[tuple[int, int], ...]:
-    """Ranges of stable code points below U+2C00 (without Cyrillic, whose words need their script decided, and
-    the scripts that compose by context). All others count as unstable: they only take the longer way."""
-    ok = [o for o in range(0x20, 0x2C00) if (o < 0x400 or 0x1E00 <= o) and _stable(chr(o))]
+    """Ranges of stable code points, of all planes. Cyrillic letters are among them: their words are judged apart."""
     out: list[list[int]] = []
-    for o in ok:
+    apart = [_SURROGATES, *_JAMO]
+    for o in range(0x20, 0x110000):
+        if any(a <= o <= b for a, b in apart) or not _stable(o):
+            continue
         if out and out[-1][1] == o - 1:
             out[-1][1] = o
         else:
@@ -103,13 +121,22 @@ def stable_ranges() -> tuple[tuple[int, int], ...]:
 
 
 def _unstable() -> str:
-    return "[^" + "".join(rf"\u{a:04x}-\u{b:04x}" if b > a else rf"\u{a:04x}" for a, b in stable_ranges()) + "]"
+    return "[^" + "".join(rf"\U{a:08x}-\U{b:08x}" if b > a else rf"\U{a:08x}" for a, b in stable_ranges()) + "]"
+
+
+def _cyrillic_words() -> str:
+    """A place in a word of Cyrillic letters that may change: all of them have look-alikes, or another script is next to
+    them. A composed letter counts by its base."""
+    letter, block = r"[^\W\d_]", r"\u{:04x}-\u{:04x}".format(*_CYRILLIC_BLOCK)
+    alike = "".join(chr(o) for o in range(_CYRILLIC_BLOCK[0], _CYRILLIC_BLOCK[1] + 1) if unicodedata.normalize("NFD", chr(o))[0] in _CYRILLIC_SET)
+    other = rf"(?:(?![{block}]){letter})"
+    return rf"(?<!{letter})[{alike}]+(?!{letter})|[{block}](?={other})|{letter}(?<![{block}])(?=[{block}])"
 
 
 @lru_cache(maxsize=1)
 def _segments() -> tuple[re.Pattern, re.Pattern]:
-    """(an unstable character, the rest of its word and of its segment)."""
-    return re.compile(_unstable()), re.compile(r"(?:\w|" + _unstable() + ")*")
+    """(the start of an unstable segment, the rest of its word and of its segment)."""
+    return re.compile(_unstable() + "|" + _cyrillic_words()), re.compile(r"(?:\w|" + _unstable() + ")*")
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
@@ -164,14 +191,14 @@ def canonical(text: str | None) -> str | None:
 
 
 @F.arrow_udf(T.StringType())
-def _changed_udf(texts: pa.Array) -> pa.Array:
+def changed(texts: pa.Array) -> pa.Array:
     """The forms of the texts that are not in it yet; null for the others, which thus needn't come back."""
     return pa.array([None if (form := canonical(x)) == x else form for x in texts.to_pylist()], pa.string())
 
 
 def canonical_text(col: Column) -> Column:
     """Column form of ``canonical``. Null gives null; an empty or blank text gives ''."""
-    return F.coalesce(_changed_udf(col), col)
+    return F.coalesce(changed(col), col)
 
 
 def fingerprint(col: Column) -> tuple[Column, Column]:

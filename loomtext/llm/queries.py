@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.cluster import described, hashed_vectors, labelled_clusters, mislabelled
-from loomtext.llm.knn import nearest_neighbours, similar_pairs
+from loomtext.llm.knn import nearest_neighbours, similar_groups, similar_pairs
 from loomtext.llm.leaks import leaked_items
-from loomtext.llm.lookalike import canonical_columns, lookalike_pairs
+from loomtext.llm.lookalike import canonical_columns, lookalike_groups, lookalike_pairs
 from loomtext.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from loomtext.llm.split import split_oversized
 from loomtext.llm.terms import distinctive_terms, marked_terms
@@ -26,6 +27,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(_table(spark, d, "source_csv"), "_ref", ["title", "abstract"])
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_groups(_table(spark, d, "source_csv"), "_ref", ["title", "abstract"]).withColumnRenamed("id", "_ref")
+
+
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_columns(_table(spark, d, "source_csv").select("_ref", "title", "abstract"), ["title", "abstract"])
 
@@ -38,13 +43,13 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, d, "source_csv"), "_ref", ["title", "abstract"])
 
 
-#: In ln(N): a term is characteristic of a record when its weight is at least this. As ln(N / (d + 1)) < ln(N), it must
-#: stand there at least 4 times, so rarer pairs need not be scored.
-CHARACTERISTIC, AT_LEAST = 3.05, 4
+#: In ln(N): a term is characteristic of a record when its weight is at least this.
+CHARACTERISTIC = 3.05
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = distinctive_terms(_table(spark, d, "parsed_documents"), least=AT_LEAST)
+    # as ln(N / (d + 1)) < ln(N), a term of the record must stand there more often than the threshold
+    scored = distinctive_terms(_table(spark, d, "parsed_documents"), least=math.floor(CHARACTERISTIC) + 1)
     return scored.where(F.col("weight") >= CHARACTERISTIC * F.log(F.col("n_records").cast("double"))).select(F.col("id").alias("_ref"), "word")
 
 
@@ -67,9 +72,12 @@ def _unique_idf(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "document_vectors").where("score_method = 'unique_IDF'")
 
 
+def _stored_clusters(spark: SparkSession, d: str) -> int:
+    return _table(spark, d, "cluster_desc").select("cluster_id").where("cluster_id is not null").distinct().count()
+
+
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    k = _table(spark, d, "cluster_desc").select("cluster_id").where("cluster_id is not null").distinct().count()
-    return labelled_clusters(_unique_idf(spark, d), _table(spark, d, "cluster_master_labels"), k)
+    return labelled_clusters(_unique_idf(spark, d), _table(spark, d, "cluster_master_labels"), _stored_clusters(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +91,7 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 def p6_text_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the parsed texts themselves, by hashed weighted features, held against the same labels."""
     vectors = hashed_vectors(_table(spark, d, "parsed_documents"), "_ref", "text", 256).withColumnRenamed("id", "_ref")
-    members, right = labelled_clusters(vectors, _table(spark, d, "cluster_master_labels"), 12, dim=256, floor=0.0)
+    members, right = labelled_clusters(vectors, _table(spark, d, "cluster_master_labels"), _stored_clusters(spark, d), dim=256, floor=0.0)
     return described(members, right, _table(spark, d, "cluster_desc"))
 
 
@@ -91,6 +99,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_unique_idf(spark, d))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar_groups(_unique_idf(spark, d)).withColumnRenamed("id", "_ref")
+
+
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest_neighbours(_unique_idf(spark, d)).withColumnRenamed("id", "_ref")
 

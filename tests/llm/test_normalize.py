@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import normalize as nz
 from loomtext.llm import pairs as pr
-from loomtext.llm.lookalike import canonical_columns, lookalike_pairs
+from loomtext.llm.lookalike import _fingerprints, canonical_columns, lookalike_groups, lookalike_pairs
 from loomtext.llm.normalize import canonical, canonical_text
 from loomtext.llm.words import slices, word_hashes
 
 SAME = [
     ("ｔｒіａｌ", "trial"), ("café", "café"), ("a­b  c　", "ab c"), ("тeрапия", "терапия"), ("ﬁbro​sis", "fibrosis"), ("µ", "μ"),
     ("x‑y", "x-y"), ("е́", "é"), ("νirus", "virus"), ("≠", "≠"), ("ΑBC", "ABC"), ("Ⅲ", "III"), ("Å", "Å"), ("a\n\t b", "a b"), ("e​́", "é"), ("…", "..."), ("", " ​\n"),
+    ("օrgan", "organ"), ("cⲟde", "code"), ("ᎪBC", "ABC"), ("ꓮBC", "ABC"), ("ρrotein", "protein"), ("tυmor", "tumor"), ("Ά", "Á"), ("cжп", "сжп"), ("ԚꓴᎬꓢꓔ", "QUEST"), ("сор", "cop"), ("漢字 ﷺ", "漢字 صلى الله عليه وسلم"), ("豈", "豈"), ("각", "각"),
 ]
 DIFFERENT = ["Trial", "trial", "trіals", "naive", "naïve", "10⁵", "105", "10₅", "a-b", "a–b", "a—b", "“a”", '"a"', "α", "a", "β", "ß", "γ", "y", "δ", "κ", "k", "μ", "u", "рак", "pak"]
 
@@ -30,7 +31,7 @@ def test_same_and_different():
     assert canonical(None) is None
 
 
-TEXT = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcоеарЖя αβγ  ​́̈­ﬁ‐-ＡΑ각각≠")), max_size=30)
+TEXT = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcоеарЖяйѐїΆόօⲟᎪꓮ漢ハ豈가각 αβγ  ​́̈­ﬁ‐-ＡΑ각각≠")), max_size=30)
 
 
 @settings(max_examples=600, deadline=None)
@@ -56,6 +57,14 @@ def test_pairs(spark):
     got = lookalike_pairs(df, "_ref", ["title", "abstract"])
     assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
     assert lookalike_pairs(df.limit(0), "_ref", ["title", "abstract"]).count() == 0
+    links = {}
+    for f, a, b in expected:
+        links[f, a], links[f, b] = links.get((f, a), 0) + 1, links.get((f, b), 0) + 1
+    groups = {(r.field, r.id): r for r in lookalike_groups(df, "_ref", ["title", "abstract"]).collect()}
+    assert {k: r.n_links for k, r in groups.items() if r.n_links} == links and groups["title", 4].class_id == 1 and groups["abstract", 9].class_id == 8
+    assert lookalike_groups(df.limit(0), "_ref", ["title", "abstract"]).count() == 0
+    # the form of each text is made once, for both fields
+    assert _fingerprints(df, "_ref", ["title", "abstract"])._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     kept = canonical_columns(df, ["title"])
     assert kept.columns == df.columns and kept.where("_ref = 4").first().title == "A title"
 
