@@ -3,8 +3,8 @@
 Every pass over the vectors is one narrow job that returns sums per cluster, added up in the cluster; the driver holds
 only centroids and the seeding's candidates (their number depends on k alone). Seeding is k-means|| (Bahmani et al.
 2012): in each round the points race with exponential keys whose rate is their squared distance from the candidates so
-far, and the first ones become candidates; weighted by the points they attract they are clustered on the driver, from
-several starts, and the best starts are compared on all vectors. Points farther than ``floor`` from every mean
+far, and the first ones become candidates; weighted by the points they attract they are clustered from several starts, each a task of
+its own, and the best starts are compared on all vectors. Points farther than ``floor`` from every mean
 direction belong to no cluster and don't pull one.
 """
 
@@ -23,12 +23,15 @@ from loomtext.llm.words import mix, slices
 from loomtext.plans.shared import materialize
 
 ROUNDS, OVERSAMPLING, STARTS, TRIES, COMPARED, SETTLE, MOST_PASSES, STILL = 5, 8, 60, 5, 6, 3, 30, 1e-4
+#: Inner products that a task holds at once; starts are fewer for more clusters, down to so many.
+PRODUCTS, FEWEST_STARTS = 1 << 23, 6
 _Batches = Iterator[pa.RecordBatch]
 
 
-def _blocks(batches: _Batches, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: _Batches, dim: int, against: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors, so many that their products with ``against`` others fit a task."""
     for whole in batches:
-        for b in slices(whole, 1):
+        for b in slices(whole, 1, rows=max(64, PRODUCTS // max(1, against))):
             yield b.column(0).to_numpy(), matrix(b.column(1), dim)
 
 
@@ -37,7 +40,7 @@ def _race(candidates: np.ndarray, seed: int, first: int) -> Callable[[_Batches],
 
     def run(batches: _Batches) -> _Batches:
         keys, rows = np.zeros(0), np.zeros((0, dim), np.float32)
-        for ids, x in _blocks(batches, dim):
+        for ids, x in _blocks(batches, dim, len(candidates)):
             far = np.maximum(1 - (x @ candidates.T).max(axis=1), 0) if len(candidates) else np.ones(len(x))
             u = (mix(ids.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(np.float64) + 1) / 2.0**64
             with np.errstate(divide="ignore"):
@@ -60,7 +63,7 @@ def _sums(sets: list[np.ndarray], floor: float) -> Callable[[_Batches], _Batches
         n = [np.zeros(len(c), np.int64) for c in sets]
         near = [np.zeros(len(c)) for c in sets]
         total = [np.zeros((len(c), dim)) for c in sets]
-        for _, x in _blocks(batches, dim):
+        for _, x in _blocks(batches, dim, max(map(len, sets))):
             for i, c in enumerate(sets):
                 cos = x @ c.T
                 best = cos.argmax(axis=1)
@@ -113,14 +116,39 @@ def _start(points: np.ndarray, weight: np.ndarray, k: int, floor: float, rng: np
         with_it = np.maximum(near, points[tries] @ points.T)
         best = int((with_it @ weight).argmax())  # of a few draws the one that helps most
         c, near = np.vstack([c, points[tries[best]]]), with_it[best]
+    rows = max(64, PRODUCTS // k)
+
+    def nearest(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(cos.argmax(axis=1), cos.max(axis=1)) for i in range(0, len(points), rows) for cos in [points[i : i + rows] @ c.T]]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
     for _ in range(25):
-        cos = points @ c.T
-        best, near = cos.argmax(axis=1), cos.max(axis=1)
+        best, near = nearest(c)
         w = weight * (near >= floor)
+        order = np.argsort(best, kind="stable")
+        got, first = np.unique(best[order], return_index=True)
         sums = np.zeros(c.shape)
-        np.add.at(sums, best, points * w[:, None])
+        sums[got] = np.add.reduceat(points[order] * w[order][:, None], first)
         c = _directions(sums, np.bincount(best, w, k), c)
-    return float((weight * np.where((near := (points @ c.T).max(axis=1)) >= floor, near, 0)).sum()), c
+    near = nearest(c)[1]
+    return float((weight * np.where(near >= floor, near, 0)).sum()), c
+
+
+def _started(points: np.ndarray, weight: np.ndarray, k: int, floor: float, seed: int) -> Callable[[_Batches], _Batches]:
+    def run(batches: _Batches) -> _Batches:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                score, c = _start(points, weight, k, floor, np.random.default_rng((seed, i)))
+                yield pa.RecordBatch.from_arrays([pa.array([score]), binary(c.astype(np.float32).reshape(1, -1))], ["score", "centres"])
+
+    return run
+
+
+def _starts(vectors: DataFrame, points: np.ndarray, weight: np.ndarray, k: int, floor: float, seed: int) -> list[np.ndarray]:
+    """Centroids of every start, the best first. Starts are tasks, so the driver does none of their work."""
+    n = max(FEWEST_STARTS, min(STARTS, STARTS * 100 // k))
+    rows = vectors.sparkSession.range(0, n, 1, n).mapInArrow(_started(points, weight, k, floor, seed), "score double, centres binary").collect()
+    return [np.frombuffer(r.centres, np.float32).reshape(k, -1) for r in sorted(rows, key=lambda r: -r.score)]
 
 
 def spherical_kmeans(vectors: DataFrame, k: int, dim: int, floor: float = -2.0, seed: int = 7) -> np.ndarray:
@@ -138,14 +166,11 @@ def spherical_kmeans(vectors: DataFrame, k: int, dim: int, floor: float = -2.0,
     # a candidate stands for the mean direction of the points it attracts, which is less noisy than a point
     points, _, sums = _pass(vectors, [candidates], -2.0)[0]
     candidates = _directions(sums, points, candidates)
-    rng = np.random.default_rng(seed)
     k = min(k, len(candidates))
-    starts = sorted((_start(candidates, points + 1e-9, k, floor, rng) for _ in range(STARTS)), key=lambda x: -x[0])
     sets: list[np.ndarray] = []
-    for _, c in starts:
-        if not any(np.allclose(np.sort((c @ s.T).max(axis=1)), 1, atol=1e-3) for s in sets):
+    for c in _starts(vectors, candidates, points + 1e-9, k, floor, seed):
+        if len(sets) < COMPARED and not any(np.allclose(np.sort((c @ s.T).max(axis=1)), 1, atol=1e-3) for s in sets):
             sets.append(c)
-    sets = sets[:COMPARED]
     for step in range(MOST_PASSES):
         got = _pass(vectors, sets, floor)
         moved = [_directions(sums, n, c) for c, (n, _, sums) in zip(sets, got, strict=True)]
@@ -164,7 +189,7 @@ def _assigned(centroids: np.ndarray, floor: float) -> Callable[[_Batches], _Batc
     dim = centroids.shape[1]
 
     def run(batches: _Batches) -> _Batches:
-        for ids, x in _blocks(batches, dim):
+        for ids, x in _blocks(batches, dim, len(centroids)):
             cos = x @ centroids.T
             best = cos.argmax(axis=1)
             cos = cos[np.arange(len(x)), best]
