@@ -4,6 +4,7 @@ expressions; look-arounds are avoided, so the same patterns can be checked in SQ
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,22 +99,47 @@ def decaps_text(col: Column) -> Column:
     return F.array_join(F.transform(tokens(col), lambda w: F.when(w.rlike("[A-Z].*[A-Z]"), w).otherwise(F.lower(w))), " ")
 
 
-#: English words of closed classes (articles, pronouns, prepositions, conjunctions, auxiliaries, adverbs).
-CLOSED_CLASS = tuple(
-    "a about above after again against all also although am among an and any are as at be because been before being between both but by can "
-    "could did do does during each either few for from further had has have having he her here him his how however i if in into is it its may "
-    "might more most must my neither no nor not of off on once only or other our out over own per same shall she should since so some such than "
-    "that the their them then there these they this those though through thus to under until up upon us very via was we were what when where "
-    "whereas whether which while who whom whose why will with within without would yet you your".split()
-)
+#: English words of closed classes, by the names of the word classes that can be left out.
+WORD_CLASSES = {
+    "pronoun": "anyone each either he her here him i it me neither none one she some such that them there these they this those us we what which who whom you".split(),
+    "possessive": "his its my our their whose your".split(),
+    "verb": "am are be been being can could did do does had has have having is may might must shall should was were will would".split(),
+    "adverb": "again also before how however more most not now off once only out so then thus too up very when where why yet".split(),
+    "adjective": "all any both few many other own same several".split(),
+    "connector": (
+        "a about above after against although among an and as at because between but by during for from further if in into nor of on or over per since than the though "
+        "through to under until upon via whereas whether while with within without no"
+    ).split(),
+}
+#: The classes whose words are told by their form, and those that only a tagger can tell.
+BY_FORM, BY_TAGGER = ("punctuation", "symbol", "cardinal"), ("unknown",)
+POS_CLASSES = (*WORD_CLASSES, *BY_FORM, *BY_TAGGER)
 CARDINAL = r"\A[+-]?[0-9][0-9.,/:%-]*\z"
+PUNCTUATION = r"""\A[.,;:!?'"()\[\]{}-]+\z"""
 SYMBOL = r"\A[^\p{L}\p{N}]+\z"
 
 
-def pos_tokenizer(col: Column, words: tuple[str, ...] = CLOSED_CLASS) -> Column:
-    """Without words of closed classes, numbers and symbols; punctuation at the end of a word goes."""
-    bare = F.transform(tokens(col), lambda w: F.rtrim(w, F.lit(".,;:!?")))
-    return F.array_join(F.filter(bare, lambda w: (w != "") & ~F.lower(w).isin(*words) & ~w.rlike(CARDINAL) & ~w.rlike(SYMBOL)), " ")
+def closed_words(blacklist: Sequence[str] = POS_CLASSES) -> list[str]:
+    return sorted({w for c in blacklist for w in WORD_CLASSES.get(c, ())})
+
+
+def pos_tokenizer(col: Column, blacklist: Sequence[str] = POS_CLASSES) -> Column:
+    """Without words of the word classes in ``blacklist``. Closed classes are told by their words, numbers, symbols and
+    punctuation by their form; with ``punctuation`` it also goes from the ends of words. ValueError for another class."""
+    unknown = [c for c in blacklist if c not in POS_CLASSES]
+    if unknown:
+        raise ValueError(f"unknown word classes {unknown}; there are {list(POS_CLASSES)}")
+    forms = {"cardinal": lambda w: w.rlike(CARDINAL), "punctuation": lambda w: w.rlike(PUNCTUATION), "symbol": lambda w: w.rlike(SYMBOL) & ~w.rlike(PUNCTUATION)}
+    bare = (lambda w: F.rtrim(w, F.lit(".,;:!?"))) if "punctuation" in blacklist else (lambda w: w)
+    words = closed_words(blacklist)
+
+    def kept(w: Column) -> Column:
+        out = w != ""
+        if words:
+            out = out & ~F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(*words)
+        return reduce(lambda c, f: c & ~forms[f](w), [f for f in BY_FORM if f in blacklist], out)
+
+    return F.array_join(F.filter(F.transform(tokens(col), bare), kept), " ")
 
 
 #: The chain by name; acronyms and dictionaries need tables and are in ``operators.parse``.

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.let import once
+
 #: The header of the source files.
 HEADER = ("pmid", "title", "abstract", "specific aims", "journal", "year")
 _ESCAPE, _MARK, _CUT = "\x01", "\x01\x02", "\x01\x03"
@@ -35,12 +37,6 @@ def _fields(pieces: Column) -> Column:
     return F.transform(F.split(F.array_join(escaped, '"'), _CUT), lambda x: F.replace(x, F.lit(_MARK), F.lit(_ESCAPE)))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is computed once per row. A plain projection would be copied into every later use, and
-    a filter on it pushed below; a generator of one row is not."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _value(raw: Column) -> Column:
     """The text of a raw field; an empty field without quotes is null."""
     quoted = raw.startswith('"')
@@ -59,12 +55,12 @@ def _parsed(df: DataFrame, raw: str, header: tuple[str, ...]) -> DataFrame:
     d = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     text = F.col(f"row.`{raw}`")
     line = F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
-    d = _once(d, "pieces", F.split(line, '"'))
-    d = _once(d, "quoting", F.coalesce(_bad_quoting(F.col("pieces")), F.lit(False)))
-    d = _once(d, "cells", F.when(~F.col("quoting"), _fields(F.col("pieces"))))
+    d = once(d, "pieces", F.split(line, '"'))
+    d = once(d, "quoting", F.coalesce(_bad_quoting(F.col("pieces")), F.lit(False)))
+    d = once(d, "cells", F.when(~F.col("quoting"), _fields(F.col("pieces"))))
     count = F.when(text.isNull(), 0).otherwise(F.size("cells"))
     whole = ~F.col("quoting") & (count == len(header))
-    d = _once(d, "fields", F.when(whole, F.struct(*[_value(F.get("cells", F.lit(i))).alias(h) for i, h in enumerate(header)])))
+    d = once(d, "fields", F.when(whole, F.struct(*[_value(F.get("cells", F.lit(i))).alias(h) for i, h in enumerate(header)])))
 
     def rule(fails: Column, reason: str, field: str | None, what: str) -> Column:
         return F.when(fails, F.struct(F.lit(reason).alias("reason"), F.lit(field).cast("string").alias("field"), F.lit(what).alias("rule")))
@@ -84,7 +80,7 @@ def _parsed(df: DataFrame, raw: str, header: tuple[str, ...]) -> DataFrame:
         *cast_and_form("year", "int", r"\A(19|20)[0-9]{2}\z", "no year of 19.. or 20.."),
         clean("abstract"), clean("specific aims"),
     ))
-    return _once(d, "errors", errors).select("row", "fields", "errors")
+    return once(d, "errors", errors).select("row", "fields", "errors")
 
 
 def parse_records(df: DataFrame, raw: str = "raw", header: tuple[str, ...] = HEADER) -> DataFrame:

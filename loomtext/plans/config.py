@@ -16,8 +16,14 @@ class Import:
 
 @dataclass(frozen=True)
 class Parse:
-    functions: tuple[str, ...] = ("unidecoder", "dedash", "titlecaps", "separated_parenthesis", "token_replacement", "decaps_text", "pos_tokenizer")
+    functions: tuple[str, ...] = ("unidecoder", "dedash", "titlecaps", "replace_acronyms", "separated_parenthesis", "replace_from_dictionary", "token_replacement", "decaps_text", "pos_tokenizer")
     min_keep_length: int = 10
+    acronym_prefix: str = ""
+    acronym_suffix: str = "ABBR"
+    dictionary: str = ""  # a CSV file with columns phrase and term
+    dictionary_prefix: str = ""
+    dictionary_suffix: str = "_MeSH"
+    pos_blacklist: tuple[str, ...] = ("pronoun", "verb", "adjective", "punctuation", "possessive", "symbol", "cardinal", "connector", "adverb", "unknown")
 
 
 @dataclass(frozen=True)

@@ -23,8 +23,15 @@ def phrase(spark: SparkSession, out: str, config: Config) -> None:
 
 def parse_corpus(spark: SparkSession, out: str, config: Config) -> None:
     corpus = spark.read.parquet(f"{out}/corpus").withColumnRenamed(config.import_data.target, "text")
-    with_phrases = parse.replace_acronyms(corpus, spark.read.parquet(f"{out}/abbreviations"), "_ref", prefix="PHRASE")
-    parsed = parse.parse_chain(with_phrases, config.parse.functions, options={"separated_parenthesis": {"min_keep_length": config.parse.min_keep_length}})
+    p = config.parse
+    known = {"replace_acronyms": spark.read.parquet(f"{out}/abbreviations")}
+    if p.dictionary:
+        known["replace_from_dictionary"] = tables.read_csv(spark, p.dictionary, ["phrase", "term"])
+    options = {
+        "separated_parenthesis": {"min_keep_length": p.min_keep_length}, "pos_tokenizer": {"blacklist": p.pos_blacklist},
+        "replace_acronyms": {"prefix": p.acronym_prefix, "suffix": p.acronym_suffix}, "replace_from_dictionary": {"prefix": p.dictionary_prefix, "suffix": p.dictionary_suffix},
+    }
+    parsed = parse.parse_chain(corpus, p.functions, options=options, tables=known)
     tables.save_tables({"parsed": parsed}, out)
 
 

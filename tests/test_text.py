@@ -63,10 +63,36 @@ def test_abbreviations(spark):
     assert phrases.dedupe_abbreviations(held.limit(0)).count() == 0
 
 
-def test_acronyms_and_dictionary(spark):
-    held = spark.createDataFrame([("heart rate", "HR", 3), ("hot rod", "HR", 1)], "phrase string, abbr string, count long")
-    docs = spark.createDataFrame([(1, "the HR of HR"), (2, None), (3, "")], "_ref long, text string")
-    assert rows(parse.replace_acronyms(docs, held, "_ref", prefix="PHRASE")) == [(1, "the PHRASE_heart_rate of PHRASE_heart_rate"), (2, ""), (3, "")]
-    words = spark.createDataFrame([("heart attack", "Infarction"), ("heart", "Heart"), (None, "x")], "phrase string, term string")
-    docs = spark.createDataFrame([(1, "a Heart attack of heart"), (2, None)], "_ref long, text string")
-    assert rows(parse.replace_from_dictionary(docs, words)) == [(1, "a Infarction_MeSH of Heart_MeSH"), (2, None)]
+def test_acronyms_and_dictionary(spark, monkeypatch):
+    held = spark.createDataFrame([("heart rate", "HR", 3), ("hot rod", "HR", 1), (None, "X", 1), ("no abbr", None, 2)], "phrase string, abbr string, count long")
+    docs = spark.createDataFrame([(1, "the HR of  HR hr"), (2, None), (3, ""), (4, "Heart Rate\nheart"), (5, "slow heart rate rate")], "_ref long, text string")
+    words = spark.createDataFrame([("heart attack", "Infarction"), ("heart", "Heart"), ("heart attack of", "Long one"), ("of heart", "zz"), (None, "x"), ("x", None), ("heart", "Zed"), ("", "empty")], "phrase string, term string")
+    more = spark.createDataFrame([(1, "a Heart attack of heart"), (2, None), (3, " "), (4, "heart attack heart"), (5, "attack of heart heart")], "_ref long, text string")
+    for rows_ in (parse.DICTIONARY_ROWS, 0):  # with the tasks, and joined by a shuffle
+        monkeypatch.setattr(parse, "DICTIONARY_ROWS", rows_)
+        got = parse.replace_acronyms(docs, held, prefix="PHRASE", suffix="")
+        assert rows(got) == [(1, "the PHRASE_heart_rate of PHRASE_heart_rate hr"), (2, None), (3, ""), (4, "PHRASE_heart_rate heart"), (5, "slow PHRASE_heart_rate rate")]
+        got = parse.replace_from_dictionary(more, words)
+        assert rows(got) == [(1, "a Long_one_MeSH Heart_MeSH"), (2, None), (3, ""), (4, "Infarction_MeSH Heart_MeSH"), (5, "attack zz_MeSH Heart_MeSH")]
+        assert parse.replace_from_dictionary(more, words.limit(0)).where("text = 'heart attack heart'").count() == 1
+    assert rows(parse.replace_acronyms(docs, held).where("_ref = 5")) == [(5, "slow heart_rate_ABBR rate")]
+
+
+def test_tables_within_the_chain(spark):
+    held = spark.createDataFrame([("heart rate", "HR", 3)], "phrase string, abbr string, count long")
+    words = spark.createDataFrame([("heart attack", "Infarction")], "phrase string, term string")
+    docs = spark.createDataFrame([(1, "The HR (heart attack cases).")], "_ref long, text string")
+    chain = ["replace_acronyms", "separated_parenthesis", "replace_from_dictionary", "pos_tokenizer"]
+    got = parse.parse_chain(docs, chain, tables={"replace_acronyms": held, "replace_from_dictionary": words})
+    assert rows(got) == [(1, "heart_rate_ABBR Infarction_MeSH cases")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(parse.parse_chain(docs, chain[:2] + chain[3:])) == [(1, "HR heart attack cases")]
+
+
+def test_word_classes(spark):
+    text = "The cell, of 12 mice; was -- & very fast."
+    assert one(spark, lambda c: tx.pos_tokenizer(c, ["cardinal"]), text) == ["The cell, of mice; was -- & very fast."]
+    assert one(spark, lambda c: tx.pos_tokenizer(c, ["verb", "adverb", "symbol"]), text) == ["The cell, of 12 mice; -- fast."]
+    assert one(spark, lambda c: tx.pos_tokenizer(c, ["punctuation", "connector"]), text) == ["cell 12 mice was & very fast"]
+    with pytest.raises(ValueError, match="word classes"):
+        tx.pos_tokenizer(F.lit("x"), ["noun"])
