@@ -95,7 +95,7 @@ def cluster_desc(vectors: DataFrame, labels: DataFrame, centroids: DataFrame, em
     intra_document_dispersion (-1 where off), word2vec_description."""
     held = members(vectors, labels)
     counts = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("counts"))
-    spread = dispersion(held, dim).cache() if compute_dispersion else None
+    spread = materialize(dispersion(held, dim), "spread") if compute_dispersion else None
     intra = spread.where("a = b").select(F.col("a").alias("cluster_id"), F.col("dispersion").alias("intra")) if spread is not None else None
     out = counts.join(dispersion_order(spread, counts), "cluster_id").join(centroid_distance(held, centroids), "cluster_id", "left")
     out = out.join(intra, "cluster_id", "left") if intra is not None else out.withColumn("intra", F.lit(-1.0))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.rank import global_rank
-from loomtext.functions.vector import dot, matrix
+from loomtext.functions.vector import dot, matrix, sums
 from loomtext.plans.shared import materialize, small
 
 #: Rows of a class whose neighbours are sought in one block; larger classes are cut into blocks by hash.
@@ -60,27 +60,36 @@ def centroid_predict(train: DataFrame, test: DataFrame, dim: int) -> DataFrame:
 
 
 def forest_predict(train: DataFrame, test: DataFrame, trees: int = 200, seed: int = 0) -> DataFrame:
-    """(_ref, y_pred) of a random forest on (_ref, vec, y_truth)."""
+    """(_ref, y_pred, y_prob: probability of each class from 0) of a random forest on (_ref, vec, y_truth)."""
     fit = RandomForestClassifier(featuresCol="f", labelCol="y_truth", numTrees=trees, seed=seed)
     model = fit.fit(train.select("y_truth", array_to_vector("vec").alias("f")))
-    return model.transform(test.select("_ref", array_to_vector("vec").alias("f"))).select("_ref", F.col("prediction").cast("int").alias("y_pred"))
+    found = model.transform(test.select("_ref", array_to_vector("vec").alias("f")))
+    return found.select("_ref", F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("y_prob"))
 
 
 def _neighbours(k: int, dim: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         ids, query = t.column("_ref").to_numpy(), t.column("asks").to_numpy()
         x = matrix(t.column("vec").combine_chunks(), dim)
-        stored = np.flatnonzero(~query)
-        a, b, d = [], [], []
-        for q in np.flatnonzero(query):
-            far = np.round(((x[stored] - x[q]) ** 2).sum(axis=1), 12)
-            far[ids[stored] == ids[q]] = np.inf
-            best = np.lexsort((ids[stored], far))[:k]
-            best = best[np.isfinite(far[best])]
-            a += [ids[q]] * len(best)
-            b += ids[stored][best].tolist()
-            d += far[best].tolist()
-        return pa.table({"_ref": pa.array(a, pa.int64()), "near": pa.array(b, pa.int64()), "d": pa.array(d, pa.float64())})
+        x = x - x.mean(axis=0)  # distances stay, and cancel less in the products
+        kept, asking = np.flatnonzero(~query), np.flatnonzero(query)
+        square, stored = (x * x).sum(axis=1), x[kept]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(asking), 256):
+            q = asking[at : at + 256]
+            rough = square[q, None] + square[kept] - 2 * x[q] @ stored.T
+            rough[ids[kept] == ids[q][:, None]] = np.inf
+            few = min(k, len(kept))
+            # those as near as the k-th by the products, but for their error, are measured exactly
+            edge = np.partition(rough, few - 1, axis=1)[:, few - 1] if few else np.zeros(len(q))
+            a, b = np.nonzero((rough <= edge[:, None] + 1e-9 * (1 + square[q, None] + square[kept])) & np.isfinite(rough))
+            d = np.round(((stored[b] - x[q][a]) ** 2).sum(axis=1), 12)
+            order = np.lexsort((ids[kept][b], d, a))
+            a, b, d = a[order], b[order], d[order]
+            first = np.searchsorted(a, np.arange(len(q)))
+            best = np.arange(len(a)) - first[a] < k
+            out.append((ids[q][a[best]], ids[kept][b[best]], d[best]))
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("_ref", "near", "d"), zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -120,9 +129,9 @@ def smote(train: DataFrame, dim: int, k: int = 5, seed: int = 0) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, predictor: Callable[[DataFrame, DataFrame], DataFrame], folds: int = 10, oversample: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(_ref, fold, y_truth, y_pred): every row of (_ref, vec, y_truth) predicted once, by a model that hasn't seen its
-    fold; only training rows are oversampled. A row without a prediction is an error."""
-    held = stratified_folds(df.select("_ref", "vec", "y_truth"), folds=folds).cache()
+    """(_ref, fold, y_truth, y_pred, and what else the predictor gives): every row of (_ref, vec, y_truth) predicted once, by
+    a model that hasn't seen its fold; only training rows are oversampled. A row without a prediction is an error."""
+    held = materialize(stratified_folds(df.select("_ref", "vec", "y_truth"), folds=folds), "folds")
     parts = []
     for i in range(folds):
         train, test = held.where(F.col("fold") != i), held.where(F.col("fold") == i)
@@ -132,6 +141,37 @@ def cross_validate(df: DataFrame, predictor: Callable[[DataFrame, DataFrame], Da
     return out.withColumn("y_pred", F.when(F.col("y_pred").isNull(), F.raise_error(F.lit("a row was not predicted"))).otherwise(F.col("y_pred")))
 
 
+def _nearest_mean(classes: list[int], means: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(classes, np.int32)
+        for b in batches:
+            fold = b.column("fold").to_numpy()
+            x, pred = matrix(b.column("vec"), next(iter(means.values())).shape[1]), np.zeros(b.num_rows, np.int32)
+            for f in np.unique(fold):
+                c, at = means[int(f)], np.flatnonzero(fold == f)
+                pred[at] = names[np.nan_to_num(np.round((c * c).sum(axis=1) - 2 * x[at] @ c.T, 9), nan=np.inf).argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column("_ref"), b.column("fold"), b.column("y_truth"), pa.array(pred)], ["_ref", "fold", "y_truth", "y_pred"])
+
+    return run
+
+
+def centroid_cross_validate(df: DataFrame, dim: int, folds: int = 10) -> DataFrame:
+    """(_ref, fold, y_truth, y_pred) as of ``cross_validate`` with ``centroid_predict``. The sums of every fold and class
+    are made once; a fold's class means are those of all rows without its own, and all rows are predicted in one pass."""
+    held = materialize(stratified_folds(df.select("_ref", "vec", "y_truth"), folds=folds), "folds")
+    added = held.groupBy("fold", "y_truth").agg(F.count(F.lit(1)).alias("n"), *sums(F.lit(1.0), F.col("vec"), dim)).collect()  # a row per fold and class
+    classes = sorted({r.y_truth for r in added})
+    n, total = np.zeros((folds, len(classes), 1)), np.zeros((folds, len(classes), dim))
+    for r in added:
+        at = r.fold, classes.index(r.y_truth)
+        n[at], total[at] = r.n, r[3:]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        means = (total.sum(axis=0) - total) / (n.sum(axis=0) - n)  # NaN where a class lies wholly in the fold
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    rows = held.select("_ref", "fold", "y_truth", "vec")
+    return rows.mapInArrow(_nearest_mean(classes, {f: means[f] for f in range(folds)}), f"_ref {kinds['_ref']}, fold int, y_truth {kinds['y_truth']}, y_pred int")
+
+
 def fold_metrics(predicted: DataFrame, average: str = "binary") -> DataFrame:
     """(fold, accuracy, f1): F1 of class 1 (binary) or the mean of the classes' F1 (macro); a class that is neither there
     nor predicted counts 0."""

@@ -1,7 +1,7 @@
 """The queries of the core operators over the tables of a folder, and the SQL that checks them.
 
-A toy embedding makes the scorers checkable without training: the word at rank r by (document frequency, word) has the
-vector of ``embeddings.vec_id`` r - 1. Vectors go out one element per row, rounded to six digits."""
+A toy embedding makes the scorers checkable without training: the word at rank r by (document frequency, word) has vector
+number r - 1 of ``embeddings`` by ``vec_id``, and they begin anew when there are no more. Vectors go out one element per row, rounded to six digits."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
+from loomtext.functions.rank import global_rank
 from loomtext.operators import analyze, counts, embedding, explain, importing, metacluster, parse, phrases, predict, rows, scoring
 from loomtext.operators.reduce import reduce_vectors
 from loomtext.plans.shared import materialize, shared_path, spread
@@ -150,14 +151,14 @@ def abbreviations_top(spark: SparkSession, d: str) -> DataFrame:
 @query(_PART + " SELECT p_partkey, 'see ' || replace('PHRASE ' || long.phrase, ' ', '_') || ' of many' AS text FROM p JOIN long USING (abbr)")
 def parse_acronyms(spark: SparkSession, d: str) -> DataFrame:
     docs = _initials(spark, d).select("p_partkey", F.concat(F.lit("see "), F.col("abbr"), F.lit(" of  many")).alias("text"))
-    return parse.replace_acronyms(docs, abbreviations_dedupe(spark, d), "p_partkey", prefix="PHRASE")
+    return parse.replace_acronyms(docs, abbreviations_dedupe(spark, d), "p_partkey", prefix="PHRASE", suffix="")
 
 
 @query("SELECT p_partkey, 'a ' || replace(p_name, ' ', '_') || '_MeSH for all' AS text FROM part")
 def parse_dictionary(spark: SparkSession, d: str) -> DataFrame:
     part = _t(spark, d, "part")
     docs = part.select("p_partkey", F.concat(F.lit("a "), F.initcap("p_name"), F.lit(" for all")).alias("text"))
-    return parse.replace_from_dictionary(docs, part.select(F.col("p_name").alias("phrase"), F.col("p_name").alias("term")).distinct())
+    return parse.replace_from_dictionary(docs, part.select(F.col("p_name").alias("phrase"), F.col("p_name").alias("term")).distinct(), ident="p_partkey")
 
 
 def _parsed(name: str) -> _Query:
@@ -184,16 +185,46 @@ _PARSED_SQL = {
     "separated_parenthesis": f"concat_ws(' ', regexp_replace(text, '{tx.WS}*\\([^()]*\\)', '', 'g'), CASE WHEN len(list_filter(regexp_extract_all(text, '\\(([^()]*)\\)', 1), lambda x: length(x) >= 10)) > 0 THEN array_to_string(list_transform(list_filter(regexp_extract_all(text, '\\(([^()]*)\\)', 1), lambda x: length(x) >= 10), lambda x: x || '.'), ' ') END)",
     "token_replacement": "regexp_replace(" + reduce(lambda c, x: f"replace({c}, {_lit(x[0])}, {_lit(x[1])})", tx.SYMBOLS, "text") + ", ' +', ' ', 'g')",
     "decaps_text": f"array_to_string(list_transform({_TOKENS}, lambda w: CASE WHEN length(regexp_replace(w, '[^A-Z]', '', 'g')) <= 1 THEN lower(w) ELSE w END), ' ')",
-    "pos_tokenizer": f"array_to_string(list_filter(list_transform({_TOKENS}, lambda w: regexp_replace(w, '[.,;:!?]+\\z', '')), lambda w: w <> '' AND lower(w) NOT IN ({', '.join(map(_lit, tx.CLOSED_CLASS))}) AND NOT regexp_matches(w, '{tx.CARDINAL}') AND NOT regexp_matches(w, '{tx.SYMBOL}')), ' ')",
+    "pos_tokenizer": f"array_to_string(list_filter(list_transform({_TOKENS}, lambda w: regexp_replace(w, '[.,;:!?]+\\z', '')), lambda w: w <> '' AND lower(w) NOT IN ({', '.join(map(_lit, tx.closed_words()))}) AND NOT regexp_matches(w, '{tx.CARDINAL}') AND NOT regexp_matches(w, '{tx.SYMBOL}')), ' ')",
 }
 for _name in tx.CHAIN:
     QUERIES[f"parse_{_name}"] = _parsed(_name)
     SQL[f"parse_{_name}"] = f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_PARSED_SQL[_name]} END AS text FROM documents"
 
 
-@query()
+#: Tables of the chain in the query: (phrase, abbreviation, count) and (phrase, term), of phrases of two words.
+_CHAIN = ("unidecoder", "dedash", "titlecaps", "replace_acronyms", "separated_parenthesis", "replace_from_dictionary", "token_replacement", "decaps_text", "pos_tokenizer")
+_ABBREVIATIONS = (("pregnant women", "IFX", 3), ("young women", "IFX", 1), ("study staff", "XRL", 2))
+_DICTIONARY = (("adverse events", "Adverse Event"), ("older adults", "Aged"), ("biopsy samples", "Biopsy"), ("risk of", "Risk"))
+
+
+def _replaced_sql(entries: list[tuple[str, str]], own: list[tuple[str, str]]) -> str:
+    """Phrases of two words, none of which begins as another ends, and single words in their own case, by tokens."""
+    pairs = [(*map(_lit, p.split()), _lit(t)) for p, t in entries]
+    cases = " ".join([f"WHEN lower(t[i]) = {a} AND lower(t[i + 1]) = {b} THEN {x}" for a, b, x in pairs] + [f"WHEN i > 1 AND lower(t[i - 1]) = {a} AND lower(t[i]) = {b} THEN NULL" for a, b, _ in pairs] + [f"WHEN t[i] = {_lit(w)} THEN {_lit(x)}" for w, x in own])
+    return f"array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE {cases} ELSE t[i] END), lambda x: x IS NOT NULL), ' ')"
+
+
+def _chain_sql() -> str:
+    tables_ = {
+        "replace_acronyms": _replaced_sql([("pregnant women", "pregnant_women_ABBR"), ("study staff", "study_staff_ABBR")], [("IFX", "pregnant_women_ABBR"), ("XRL", "study_staff_ABBR")]),
+        "replace_from_dictionary": _replaced_sql([(p, t.replace(" ", "_") + "_MeSH") for p, t in _DICTIONARY], []),
+    }
+    steps, before = [], "(SELECT doc_id, text FROM documents)"
+    for i, name in enumerate(_CHAIN):
+        if name in tables_:
+            before = f"(SELECT doc_id, text, {_TOKENS} AS t FROM {before})"
+        value = tables_.get(name) or _PARSED_SQL[name].replace("replace(text, 'tion', 't-' || chr(10) || ' ion')", "text")
+        steps.append(f"s{i} AS MATERIALIZED (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {value} END AS text FROM {before})")
+        before = f"s{i}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, text FROM {before}"
+
+
+@query(_chain_sql())
 def parse_whole_chain(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_chain(_t(spark, d, "documents").select("doc_id", "text"))
+    """All nine functions in the order of the shipped configuration."""
+    known = {"replace_acronyms": spark.createDataFrame(_ABBREVIATIONS, "phrase string, abbr string, count long"), "replace_from_dictionary": spark.createDataFrame(_DICTIONARY, "phrase string, term string")}
+    return parse.parse_chain(_t(spark, d, "documents").select("doc_id", "text"), _CHAIN, tables=known, ident="doc_id")
 
 
 # --- counts, embeddings, scores ------------------------------------------------------------------------------------
@@ -203,8 +234,8 @@ tok AS (SELECT _ref, unnest(tokens) AS word FROM docs),
 tdf AS (SELECT word, count(DISTINCT _ref) AS "count" FROM tok GROUP BY word),
 nn AS (SELECT count(*) AS n FROM docs)"""
 _TOY = f"""{_DOCS},
-e AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, embedding::DOUBLE[] AS vec FROM embeddings),
-toy AS (SELECT word, vec, "count" FROM (SELECT *, row_number() OVER (ORDER BY "count" DESC, word) AS r FROM tdf) JOIN e USING (r)),
+e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, embedding::DOUBLE[] AS vec FROM embeddings),
+toy AS (SELECT word, vec, "count" FROM (SELECT *, (row_number() OVER (ORDER BY "count" DESC, word) - 1) % (SELECT count(*) FROM embeddings) AS r FROM tdf) JOIN e USING (r)),
 w AS (SELECT word, vec, row_number() OVER (ORDER BY "count" DESC, word) AS r FROM toy QUALIFY r <= 2),
 dw AS (SELECT toy.word, toy.vec, exp(sum(least(0.0, -(CASE WHEN w.r = 1 THEN 1.0 ELSE 0.5 END) * list_dot_product(toy.vec, w.vec)))) AS n FROM toy, w GROUP BY ALL),
 vocab AS (SELECT word, vec, dw.n AS n, ln(nn.n / ("count" + 1.0)) AS idf FROM dw JOIN tdf USING (word), nn)"""
@@ -215,10 +246,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _toy(spark: SparkSession, d: str, tdf: DataFrame) -> DataFrame:
-    """(word, vec); only as many words are ranked as there are vectors."""
-    vectors = _t(spark, d, "embeddings").select(F.row_number().over(Window.orderBy("vec_id")).alias("r"), F.col("embedding").cast("array<double>").alias("vec"))
-    top = tdf.orderBy(F.desc("count"), "word").limit(vectors.count())
-    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("count"), "word")))
+    """(word, vec, count) of every word."""
+    vectors = global_rank(_t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), ["vec_id"], into="r")
+    ranked = global_rank(tdf.withColumn("less", -F.col("count")), ["less", "word"], into="at").withColumn("r", F.col("at") % vectors.count())
     return ranked.join(vectors, "r").select("word", "vec", "count")
 
 
@@ -485,7 +515,7 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 
 def _predicted(spark: SparkSession, d: str, dim: int) -> DataFrame:
     cut = _truth(spark, d).withColumn("vec", F.slice("vec", 1, dim))
-    return predict.cross_validate(cut, lambda a, b: predict.centroid_predict(a, b, dim), FOLDS)
+    return predict.centroid_cross_validate(cut, dim, FOLDS)
 
 
 def _predicted_sql(dim: int, name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from loomtext.functions.text import tokens
-from loomtext.operators.scoring import METHODS
+from loomtext.operators.scoring import METHODS, hold
 
 
 def score_stream(docs: DataFrame, vocab: DataFrame, dim: int, sink: Callable[[DataFrame, int], None], method: str = "unique_IDF", ident: str = "_ref", text: str = "text") -> DataStreamWriter:
@@ -19,8 +19,10 @@ def score_stream(docs: DataFrame, vocab: DataFrame, dim: int, sink: Callable[[Da
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; there are {sorted(METHODS)}")
 
+    known = hold(vocab, dim) or vocab
+
     def each(batch: DataFrame, number: int) -> None:
         held = batch.select(F.col(ident).alias("_ref"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-        sink(METHODS[method](held, vocab, dim).select(F.lit(method).alias("method"), "_ref", "vec"), number)
+        sink(METHODS[method](held, known, dim).select(F.lit(method).alias("method"), "_ref", "vec"), number)
 
     return docs.writeStream.foreachBatch(each)

@@ -66,7 +66,12 @@ def test_cross_validation(spark, labelled):
     df = df.where("y_truth < 2")
     got = predict.cross_validate(df, lambda a, b: predict.centroid_predict(a, b, 3), 3)
     assert got.count() == 42 and got.where("y_truth = y_pred").count() > 38
+    once = predict.centroid_cross_validate(df, 3, 3)
+    assert rows(once) == rows(got.select(once.columns)) and predict.centroid_cross_validate(df.limit(0), 3, 3).count() == 0
+    alone = df.unionAll(spark.createDataFrame([(90, [9.0, 9.0, 9.0], 2)], df.schema))
+    assert predict.centroid_cross_validate(alone, 3, 3).where("_ref = 90").first().y_pred in (0, 1)
     forest = predict.cross_validate(df, lambda a, b: predict.forest_predict(a, b, 5), 2, lambda t: predict.smote(t, 3, 2))
+    assert all(np.isclose(sum(r.y_prob), 1) and np.argmax(r.y_prob) == r.y_pred for r in forest.collect())
     assert forest.count() == 42 and forest.where("y_truth = y_pred").count() > 36
     meta = predict.meta_features([df, df.withColumnRenamed("_ref", "_ref")])
     assert {len(r.vec) for r in meta.collect()} == {6}

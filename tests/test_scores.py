@@ -58,6 +58,24 @@ def test_common_component(spark, toy):
     assert abs(vec(got, 0) @ top) < 1e-9 and not vec(got, 2).any()
 
 
+def test_large_vocabularies_are_joined_by_a_shuffle(spark, toy, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 90)))) for i in range(50)] + [(90, None), (91, "unknown only"), (92, "w1 " * 3000)]
+    docs = counts.document_tokens(spark.createDataFrame(texts, "_ref long, text string"), "_ref")
+    emb = spark.createDataFrame([(w, rng.normal(size=6).tolist()) for w in words[:50]], "word string, vec array<double>")
+    vocab = scoring.scoring_vocabulary(emb, counts.term_document_frequency(docs), 53, {"w3": 0.2})
+    for name, method in scoring.METHODS.items():
+        monkeypatch.undo()
+        near = {r._ref: r.vec for r in method(docs, vocab, 6).collect()}
+        monkeypatch.setattr(scoring, "VOCABULARY_BYTES", 100)
+        far = {r._ref: r.vec for r in method(docs, vocab, 6).collect()}
+        assert set(near) == set(far) == {r[0] for r in texts}
+        assert all(np.allclose(near[i], far[i], atol=1e-7) for i in near), name
+    monkeypatch.undo()
+    assert scoring.METHODS["simple"](docs, vocab.limit(0), 6).where("exists(vec, x -> x <> 0)").count() == 0
+
+
 def test_counts_and_idf(spark, toy):
     docs, _ = toy
     assert rows(counts.term_frequency(docs)) == [("bird", 1), ("cat", 2), ("dog", 2), ("fish", 1)]
