@@ -1,8 +1,9 @@
 """Splitting texts of too many tokens at natural boundaries (problem 10).
 
 Method: balanced targets. From the tokens of a text the least number of pieces follows; targets of equal length are
-placed, each is moved to the strongest boundary near it (paragraph, then sentence, then word end), and when a piece
-would exceed the limit one piece is added and the targets are placed anew. A piece repeats the end of the one before.
+placed, each is moved to the strongest boundary near it (paragraph, then sentence, then word end; where there is none near,
+to the nearest in all that the piece may hold), and when a piece would exceed the limit one piece is added and the targets
+are placed anew. A piece repeats the end of the one before.
 
 Units are the words of the tokenizer's pattern, whose numbers of tokens add up; words of many tokens are cut into units
 of at most ``UNIT`` tokens, so a text without any boundary is cut too. The pieces without their overlaps, put together,
@@ -80,7 +81,12 @@ def _cuts(units: list[str], ends: np.ndarray, limit: int, overlap: int) -> list[
                 if high < low:
                     low = high = max(last + 1, min(int(np.searchsorted(ends, target)), most, len(units) - 1))
                 # the strongest; of equal ones the nearest to the target
-                cut = max(range(low, high + 1), key=lambda u: (_strength(units[u - 1], units[u]), -abs(float(ends[u]) - target)))
+                near = lambda u: -abs(float(ends[u]) - target)
+                cut = max(range(low, high + 1), key=lambda u: (_strength(units[u - 1], units[u]), near(u)))
+                if not _strength(units[cut - 1], units[cut]):
+                    # a piece of the overlap alone would not get on: what ends behind it is taken
+                    wide = [u for u in range(last + 1, min(most, len(units) - 1) + 1) if ends[u] - ends[start] > overlap and _strength(units[u - 1], units[u])]
+                    cut = max(wide, key=near, default=cut)
             if ends[cut] - ends[start] > limit or cut <= last:
                 break
             out.append((start, cut))
@@ -104,11 +110,21 @@ def split_text(text: str, tokens: _Tokens, limit: int = LIMIT, overlap: int = OV
         counts = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
     ends = np.concatenate([[0], np.cumsum(counts)])
     chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
-    out, done = [], 0
-    for a, b in _cuts(words, ends, limit, overlap):
-        out.append((int(chars[a]), int(chars[b]), int(ends[b] - ends[a]), int(ends[done] - ends[a]) if done else 0))
-        done = b
-    return out
+    allowed = limit
+    while True:
+        out, done, most = [], 0, 0
+        for a, b in _cuts(words, ends, allowed, overlap):
+            # units of a word that is cut may encode to other tokens together than one by one: what counts is the text
+            while a < done and len(tokens.encode(text[chars[a] : chars[done]])) > overlap:
+                a += 1
+            start, end = int(chars[a]), int(chars[b])
+            n = len(tokens.encode(text[start:end]))
+            most = max(most, n)
+            out.append((start, end, n, len(tokens.encode(text[start : int(chars[done])])) if done else 0))
+            done = b
+        if most <= limit:
+            return out
+        allowed -= most - limit
 
 
 def _split(ranks: bytes, limit: int, overlap: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -66,9 +66,9 @@ def test_pieces(spark):
         t, pieces = texts[i], sorted(pieces, key=lambda r: r.piece)
         assert [p.piece for p in pieces] == list(range(len(pieces))) and pieces[0].start == 0 and pieces[-1].end == len(t)
         for a, b in zip([None, *pieces], pieces, strict=False):
-            assert b.text == t[b.start : b.end] and len(own.encode_ordinary(b.text)) <= 1024 and b.n_tokens <= 1024 and b.n_repeated <= 64
+            assert b.text == t[b.start : b.end] and len(own.encode_ordinary(b.text)) == b.n_tokens <= 1024 and b.n_repeated <= 64
             if a is not None:
-                assert a.start < b.start <= a.end < b.end
+                assert a.start < b.start <= a.end < b.end and len(own.encode_ordinary(t[b.start : a.end])) == b.n_repeated
                 if t.startswith(("alpha", "word", "beta")):
                     assert b.n_repeated >= 48 and (t[a.end : a.end + 1].isspace() or t[a.end - 1].isspace())
         if "para" in t:  # where there are paragraph ends near, they are taken
@@ -80,3 +80,16 @@ def test_pieces(spark):
     assert sp.split_oversized(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sp.split_oversized(df, limit=64, overlap=64)
+
+
+def test_far_boundaries_are_taken(spark):
+    """A stretch without a boundary is cut only where no piece could end outside of it."""
+    rnd = random.Random(3)
+    stretch = "".join(rnd.choice("acgt") for _ in range(1200))
+    texts = [made(rnd, n).replace("para.\n\n", "para") + " " + stretch + " " + made(rnd, m).replace("para.\n\n", "para") for n, m in ((300, 300), (420, 300), (100, 500), (500, 60), (10, 900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sp.split_oversized(df).collect()
+    assert {r.id for r in found} == set(range(5))
+    for r in found:
+        t = texts[r.id]
+        assert r.n_tokens <= 1024 and (r.end == len(t) or t[r.end].isspace() or t[r.end - 1].isspace())
