@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.vector import cosine, l2_normalize, packed, sums
+from loomtext.functions.trees import fit_forest, forest_shares
+from loomtext.functions.vector import cosine, matrix
 from loomtext.plans.shared import materialize, small
 
 #: Score shares below this are dropped from an explanation.
@@ -53,53 +52,53 @@ def normalise_scores(scores: DataFrame) -> DataFrame:
     return d.select(F.col("i").alias("negative_class"), F.col("j").alias("positive_class"), "word", "score")
 
 
-def _ridge(features: int) -> Callable[[pa.Table], pa.Table]:
+def _ridge(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weighted ridge of one text's perturbations x (1 where a word is left in) on the probabilities p: how each word raises
+    them. It is solved over the perturbations, which are few, not over the words."""
+    weight = np.sqrt(np.exp(-((1 - np.sqrt(x.mean(axis=1))) ** 2) / 0.25**2))
+    xc, pc = x - np.average(x, axis=0, weights=weight), p - np.average(p, weights=weight)
+    root = np.sqrt(weight)
+    xw = xc * root[:, None]
+    return xw.T @ np.linalg.solve(xw @ xw.T + np.eye(len(x)), root * pc)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _explained(dim: int, samples: int, features: int, trees: int, seed: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        """Weighted ridge of one text's perturbations: which words raise the probability of class 1."""
-        held = [set(h or ()) for h in t.column("held").to_pylist()]
-        words = sorted(set().union(*held))
-        if not words:
-            return pa.table({"_ref": pa.array([], pa.int64()), "word": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        x = np.array([[w in h for w in words] for h in held], float)
-        weight = np.sqrt(np.exp(-((1 - np.sqrt(x.mean(axis=1))) ** 2) / 0.25**2))
-        y = t.column("p").to_numpy()
-        xc, yc = x - np.average(x, axis=0, weights=weight), y - np.average(y, weights=weight)
-        coef = np.linalg.solve((xc * weight[:, None]).T @ xc + np.eye(len(words)), (xc * weight[:, None]).T @ yc)
-        top = np.argsort(-np.abs(coef), kind="stable")[:features]
-        ref = t.column("_ref")[0].as_py()
-        return pa.table({"_ref": pa.array([ref] * len(top), pa.int64()), "word": pa.array([words[i] for i in top], pa.string()), "score": pa.array(coef[top])})
+        t = t.combine_chunks().sort_by([("_ref", "ascending"), ("y", "ascending"), ("word", "ascending")])
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        ref, y, words = t.column("_ref").to_numpy(), t.column("y").to_numpy(), t.column("word").to_pylist()
+        vecs = matrix(t.column("vec").combine_chunks(), dim)
+        edges = np.append(np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (y[1:] != y[:-1])])), len(ref))
+        texts = list(zip(edges[:-1], edges[1:], strict=True))
+        forest = fit_forest(_unit(np.array([vecs[a:b].sum(axis=0) for a, b in texts])), y[edges[:-1]].astype(np.int64), 2, trees, seed)
+        total: dict[str, float] = {}
+        for a, b in texts:
+            if words[a] is None:
+                continue
+            rng = np.random.default_rng((seed, int(ref[a]) % (1 << 63)))
+            # each copy has its own share of words left; copy 0 is whole
+            x = (rng.random((samples, b - a)) < rng.random((samples, 1))).astype(float)
+            x[0] = 1
+            coef = _ridge(x, forest_shares(forest, _unit(x @ vecs[a:b]))[:, 1].astype(np.float64))
+            for k in np.argsort(-np.abs(coef), kind="stable")[:features]:
+                total[words[a + k]] = total.get(words[a + k], 0.0) + float(coef[k])
+        names = sorted(total)
+        return pa.table({"i": pa.array([i] * len(names), pa.int32()), "j": pa.array([j] * len(names), pa.int32()), "word": pa.array(names, pa.string()), "score": pa.array([total[w] / len(texts) for w in names], pa.float64())})
 
     return run
 
 
-def explain_pair(texts: DataFrame, embedding: DataFrame, dim: int, i: int, j: int, samples: int = 50, features: int = 50, trees: int = 50, seed: int = 0) -> DataFrame:
-    """(i, j, word, score) of the texts (_ref, y, tokens) of one pair: a forest learns the pair from sums of distinct words'
-    vectors; each text is taken ``samples`` times with words left out by hash, the forest's probabilities are explained
-    by its words, and the scores are added over the texts and divided by their number."""
-
-    def vectors(d: DataFrame, keys: list[str]) -> DataFrame:
-        rows = d.select(*keys, F.explode_outer("held").alias("word")).join(embedding.select("word", "vec"), "word", "left")
-        return rows.groupBy(*keys).agg(*sums(F.lit(1.0), F.col("vec"), dim)).select(*keys, array_to_vector(l2_normalize(packed(dim))).alias("f"))
-
-    d = texts.select("_ref", F.col("y").cast("double").alias("y"), F.array_distinct("tokens").alias("held"))
-    model = RandomForestClassifier(featuresCol="f", labelCol="y", numTrees=trees, seed=seed).fit(vectors(d, ["_ref", "y"]))
-    bent = d.select("_ref", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"), "held")
-    # each copy has its own share of words left; copy 0 is whole
-    share = F.pmod(F.xxhash64("_ref", "s", F.lit(seed)), F.lit(1000)) / 1000.0
-    bent = bent.withColumn("held", F.filter("held", lambda w: (F.col("s") == 0) | (F.pmod(F.xxhash64(w, F.col("_ref"), F.col("s")), F.lit(1000)) / 1000.0 < share)))
-    p = model.transform(vectors(bent, ["_ref", "s"])).select("_ref", "s", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-    rows = bent.join(p, ["_ref", "s"]).select("_ref", "held", "p")
-    scores = rows.groupBy("_ref").applyInArrow(_ridge(features), "_ref long, word string, score double")
-    n = max(1, texts.count())
-    return scores.groupBy(F.lit(i).alias("i"), F.lit(j).alias("j"), "word").agg((F.sum("score") / n).alias("score"))
-
-
-def explain_pairs(members: DataFrame, embedding: DataFrame, dim: int, samples: int = 50, features: int = 50, trees: int = 50, seed: int = 0) -> DataFrame:
-    """(i, j, word, score) of every pair in ``members`` (i, j, y, _ref, tokens), each explained by a forest of its own.
-    There is a row per pair at the driver; a pair's texts are few."""
-    out = None
-    for r in members.select("i", "j").distinct().orderBy("i", "j").collect():
-        mine = members.where((F.col("i") == r.i) & (F.col("j") == r.j))
-        one = materialize(explain_pair(mine, embedding, dim, r.i, r.j, samples, features, trees, seed), "explained")
-        out = one if out is None else out.unionAll(one)
-    return members.sparkSession.createDataFrame([], "i int, j int, word string, score double") if out is None else out
+def explain_pairs(members: DataFrame, embedding: DataFrame, dim: int, samples: int = 25, features: int = 50, trees: int = 50, seed: int = 0) -> DataFrame:
+    """(i, j, word, score) of every pair of clusters in ``members`` (i, j, y, _ref, tokens), each pair a task of its own: a
+    forest of extremely randomised trees learns the pair from sums of distinct words' vectors; each text is taken
+    ``samples`` times with words left out, the forest's probabilities are explained by its words, and the scores are
+    added over the texts and divided by their number. A pair's texts are few (see ``even_subset``). Words without a vector
+    count as zeros."""
+    words = members.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "y", F.col("_ref").cast("long").alias("_ref"), F.explode_outer(F.array_distinct("tokens")).alias("word"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    rows = words.join(embedding.select("word", "vec"), "word", "left").select("i", "j", "y", "_ref", "word", F.coalesce("vec", zero).alias("vec"))
+    return rows.groupBy("i", "j").applyInArrow(_explained(dim, samples, features, trees, seed), "i int, j int, word string, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -13,11 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.rank import global_rank
+from loomtext.functions.trees import Tree, fit_tree, forest_shares
 from loomtext.functions.vector import dot, matrix, sums
 from loomtext.plans.shared import materialize, small
 
 #: Rows of a class whose neighbours are sought in one block; larger classes are cut into blocks by hash.
 BLOCK = 4096
+#: Bytes of training vectors, and of a forest, that go along with the tasks, at most; trees that a task grows.
+TRAIN_BYTES, FOREST_BYTES, TREES = 64 << 20, 256 << 20, 25
 
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:
@@ -59,12 +63,46 @@ def centroid_predict(train: DataFrame, test: DataFrame, dim: int) -> DataFrame:
     return test.select("_ref", F.array_min(F.array(*score))["y"].alias("y_pred"))
 
 
+def _grown(x: np.ndarray, y: np.ndarray, classes: int, trees: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                forest = [fit_tree(x, y, classes, np.random.default_rng((seed, t))) for t in range(i * TREES, min(trees, (i + 1) * TREES))]
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(forest)], pa.binary())], ["block", "forest"])
+
+    return run
+
+
+def _voted(forest: list[Tree], dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shares = forest_shares(forest, matrix(b.column(1), dim)).astype(np.float64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shares) + 1, dtype=np.int32) * shares.shape[1]), pa.array(shares.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares.argmax(axis=1).astype(np.int32)), lists], ["_ref", "y_pred", "y_prob"])
+
+    return run
+
+
 def forest_predict(train: DataFrame, test: DataFrame, trees: int = 200, seed: int = 0) -> DataFrame:
-    """(_ref, y_pred, y_prob: probability of each class from 0) of a random forest on (_ref, vec, y_truth)."""
-    fit = RandomForestClassifier(featuresCol="f", labelCol="y_truth", numTrees=trees, seed=seed)
-    model = fit.fit(train.select("y_truth", array_to_vector("vec").alias("f")))
-    found = model.transform(test.select("_ref", array_to_vector("vec").alias("f")))
-    return found.select("_ref", F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("y_prob"))
+    """(_ref, y_pred, y_prob: probability of each class from 0) of a forest on (_ref, vec, y_truth), classes 0 .. k - 1.
+    Extremely randomised trees, grown side by side in tasks, while the training rows and the forest, by their counted
+    size, are within ``TRAIN_BYTES`` and ``FOREST_BYTES``; beyond that a random forest that Spark grows on all rows."""
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.max("y_truth").alias("top")).first()
+    dim, classes = size["dim"] or 1, (size["top"] or 0) + 1
+    if size["n"] and (size["n"] * dim * 8 > TRAIN_BYTES or size["n"] * trees * (32 + 8 * classes) > FOREST_BYTES):
+        fit = RandomForestClassifier(featuresCol="f", labelCol="y_truth", numTrees=trees, seed=seed)
+        model = fit.fit(train.select("y_truth", array_to_vector("vec").alias("f")))
+        found = model.transform(test.select("_ref", array_to_vector("vec").alias("f")))
+        return found.select("_ref", F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("y_prob"))
+    schema = f"_ref {test.schema['_ref'].dataType.simpleString()}, y_pred int, y_prob array<double>"
+    if not size["n"]:
+        return train.sparkSession.createDataFrame([], schema)
+    held = train.select("y_truth", "vec").toArrow().combine_chunks()
+    x, y = matrix(held.column("vec").chunk(0), dim), held.column("y_truth").to_numpy().astype(np.int64)
+    blocks = -(-trees // TREES)
+    grown = train.sparkSession.range(0, blocks, 1, blocks).mapInArrow(_grown(x, y, classes, trees, seed), "block long, forest binary").collect()
+    forest = [t for r in sorted(grown, key=lambda r: r.block) for t in pickle.loads(r.forest)]  # noqa: S301 - made by the tasks above
+    return test.select("_ref", "vec").mapInArrow(_voted(forest, dim), schema)
 
 
 def _neighbours(k: int, dim: int) -> Callable[[pa.Table], pa.Table]:
@@ -120,8 +158,9 @@ def smote(train: DataFrame, dim: int, k: int = 5, seed: int = 0) -> DataFrame:
     lack = F.lit(most) - F.col("n")
     times = F.floor(lack / F.col("n")) + F.when(F.col("at") < lack % F.col("n"), 1).otherwise(0)
     made = ranked.withColumn("times", times.cast("int")).where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)")))
-    h = F.xxhash64("_ref", "copy", F.lit(seed))
-    made = made.withColumn("near", F.get("nears", F.pmod(h, F.size("nears")).cast("int"))).withColumn("u", F.pmod(F.xxhash64("_ref", "copy", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_ref").cast("string"), F.col("copy").cast("string")))
+    digits = lambda start: F.conv(F.substring(digest, start, 7), 16, 10).cast("long")
+    made = made.withColumn("near", F.get("nears", (digits(1) % F.size("nears")).cast("int"))).withColumn("u", digits(9) / float(1 << 28))
     other = train.select(F.col("_ref").alias("near"), F.col("vec").alias("w"))
     ident = -1 - (F.col("_ref") * most + F.col("copy"))
     made = made.join(other, "near").select(ident.alias("_ref"), F.zip_with("vec", "w", lambda a, b: a + F.col("u") * (b - a)).alias("vec"), "y_truth")

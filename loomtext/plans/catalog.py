@@ -16,7 +16,7 @@ from loomtext.functions import text as tx
 from loomtext.functions.rank import global_rank
 from loomtext.operators import analyze, counts, embedding, explain, importing, metacluster, parse, phrases, predict, rows, scoring
 from loomtext.operators.reduce import reduce_vectors
-from loomtext.plans.shared import materialize, shared_path, spread
+from loomtext.plans.shared import materialize, shared_path, small, spread
 from loomtext.sources import tables
 from loomtext.streaming.scoring import score_stream
 
@@ -326,7 +326,9 @@ def score_stream_unique_idf(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def word2vec(spark: SparkSession, d: str) -> DataFrame:
-    return _long(embedding.fit_embedding(_t(spark, d, "parsed_documents"), "_ref", size=16, min_count=10, epochs=1, partitions=8), "word")
+    """With the parameters of the shipped configuration, the texts in as many parts as there are cores."""
+    texts = _t(spark, d, "parsed_documents").where("_ref is not null").groupBy("_ref").agg(F.max("text").alias("text"))
+    return _long(embedding.fit_embedding(texts, "_ref", partitions=spark.sparkContext.defaultParallelism), "word")
 
 
 @query()
@@ -556,21 +558,35 @@ def smote_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return predict.class_neighbours(_truth(spark, d), DIM)
 
 
-@query()
+_SMOTE = """WITH v AS (SELECT vec_id AS r, label AS y, embedding::DOUBLE[] AS vec FROM embeddings),
+sz AS (SELECT y, count(*) AS n FROM v GROUP BY y), mx AS (SELECT max(n) AS most FROM sz),
+nb AS (SELECT r, list(near ORDER BY rank) AS nears FROM (SELECT a.r, b.r AS near, row_number() OVER (PARTITION BY a.r ORDER BY round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), b.r) AS rank FROM v a JOIN v b ON a.y = b.y AND a.r <> b.r) WHERE rank <= 5 GROUP BY r),
+rk AS (SELECT v.r, v.y, vec, nears, n, most, row_number() OVER (PARTITION BY v.y ORDER BY v.r) - 1 AS at FROM v JOIN sz USING (y) JOIN nb USING (r), mx WHERE n < most),
+tm AS (SELECT *, (most - n) // n + CASE WHEN at < (most - n) % n THEN 1 ELSE 0 END AS times FROM rk),
+cp AS (SELECT *, unnest(range(1, times + 1)) AS copy FROM tm WHERE times > 0),
+dg AS (SELECT *, md5('0:' || r || ':' || copy) AS h FROM cp),
+pk AS (SELECT *, nears[(('0x' || substr(h, 1, 7))::BIGINT % len(nears))::BIGINT + 1] AS near, ('0x' || substr(h, 9, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM dg),
+made AS (SELECT -1 - (pk.r * most + copy) AS _ref, pk.y, list_transform(list_zip(pk.vec, w.vec), lambda z: z[1] + u * (z[2] - z[1])) AS vec FROM pk JOIN v w ON w.r = pk.near),
+al AS (SELECT r AS _ref, y, vec FROM v UNION ALL SELECT * FROM made)
+SELECT _ref, y AS y_truth, (ix - 1)::INTEGER AS dim, round(vec[ix], 6) + 0.0 AS value FROM al, range(1, 65) g(ix)"""
+
+
+@query(_SMOTE)
 def smote(spark: SparkSession, d: str) -> DataFrame:
-    return predict.smote(_truth(spark, d), DIM)
+    return _long(predict.smote(_truth(spark, d), DIM), "_ref", "y_truth")
 
 
 @query()
 def forest_predict(spark: SparkSession, d: str) -> DataFrame:
-    return predict.cross_validate(_truth(spark, d), lambda a, b: predict.forest_predict(a, b, trees=20), 3, lambda t: predict.smote(t, DIM))
+    return predict.cross_validate(_truth(spark, d), predict.forest_predict, 10, lambda t: predict.smote(t, DIM))
 
 
 @query()
 def meta_predict(spark: SparkSession, d: str) -> DataFrame:
+    """The halves of the vectors stand for two methods."""
     v = _truth(spark, d)
-    features = predict.meta_features([v, v.withColumn("vec", F.slice("vec", 1, 8))]).join(v.select("_ref", "y_truth"), "_ref")
-    return predict.cross_validate(features, lambda a, b: predict.forest_predict(a, b, trees=10), 3)
+    halves = [v.withColumn("vec", F.slice("vec", at, DIM // 2)) for at in (1, DIM // 2 + 1)]
+    return predict.cross_validate(predict.meta_features(halves).join(v.select("_ref", "y_truth"), "_ref"), predict.forest_predict, 10)
 
 
 # --- explanations --------------------------------------------------------------------------------------------------
@@ -617,5 +633,5 @@ def lime_explain(spark: SparkSession, d: str) -> DataFrame:
     texts = _t(spark, d, "parsed_documents").groupBy("_ref").agg(F.max("text").alias("text"))
     tokens = counts.document_tokens(texts, "_ref")
     emb = _toy(spark, d, counts.term_document_frequency(tokens)).select("word", "vec")
-    members = materialize(tokens.join(F.broadcast(subset), "_ref"), "held")
+    members = tokens.join(small(materialize(subset, "subset")), "_ref")
     return explain.normalise_scores(explain.explain_pairs(members, materialize(emb, "emb"), DIM))

@@ -32,11 +32,12 @@ class Embed:
     window: int = 5
     min_count: int = 10
     epochs: int = 30
-    skip_gram: int = 1
+    skip_gram: int = 0
     hierarchical_softmax: int = 1
     negative: int = 0
-    sample: float = 0.0
+    sample: float = 1e-5
     seed: int = 0
+    partitions: int = 0  # 0: as many as there are cores
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,16 @@ class Analyze:
     master_columns: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Explain:
+    closeness: float = 0.6
+    texts: int = 25
+    samples: int = 25
+    features: int = 50
+    trees: int = 50
+    seed: int = 0
+
+
 @dataclass(frozen=True)
 class Predict:
     column: str = "label"
@@ -83,6 +94,7 @@ class Config:
     score: Score = field(default_factory=Score)
     metacluster: Metacluster = Metacluster()
     analyze: Analyze = Analyze()
+    explain: Explain = Explain()
     predict: Predict = Predict()
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.operators import analyze, counts, embedding, importing, metacluster, parse, phrases, predict, reduce, scoring
+from loomtext.operators import analyze, counts, embedding, explain, importing, metacluster, parse, phrases, predict, reduce, scoring
 from loomtext.plans.config import Config
+from loomtext.plans.shared import materialize, small
 from loomtext.sources import tables
 
 
@@ -18,7 +19,7 @@ def import_data(spark: SparkSession, sources: list[str], out: str, config: Confi
 
 def phrase(spark: SparkSession, out: str, config: Config) -> None:
     found = phrases.dedupe_abbreviations(phrases.abbreviation_pairs(spark.read.parquet(f"{out}/corpus"), config.import_data.target))
-    tables.save_tables({"abbreviations": found}, out)
+    tables.save_reports({"abbreviations": found}, out)
 
 
 def parse_corpus(spark: SparkSession, out: str, config: Config) -> None:
@@ -37,7 +38,7 @@ def parse_corpus(spark: SparkSession, out: str, config: Config) -> None:
 
 def embed(spark: SparkSession, out: str, config: Config) -> None:
     e = config.embed
-    model = embedding.fit_embedding(spark.read.parquet(f"{out}/parsed"), "_ref", "text", e.size, e.window, e.min_count, e.epochs, e.skip_gram, e.hierarchical_softmax, e.negative, e.sample, e.seed)
+    model = embedding.fit_embedding(spark.read.parquet(f"{out}/parsed"), "_ref", "text", e.size, e.window, e.min_count, e.epochs, e.skip_gram, e.hierarchical_softmax, e.negative, e.sample, e.seed, e.partitions or spark.sparkContext.defaultParallelism)
     tables.save_tables({"embedding": model}, out)
 
 
@@ -68,9 +69,20 @@ def report(spark: SparkSession, out: str, config: Config) -> None:
     vectors = tables.load_vectors(spark, f"{out}/vectors", config.metacluster.method)
     a = config.analyze
     desc = analyze.cluster_desc(vectors, held["labels"], held["centroids"], held["embedding"], config.embed.size, a.compute_dispersion, a.topn)
-    tables.save_tables({"cluster_desc": desc}, out)
+    tables.save_reports({"cluster_desc": desc}, out)
     order = spark.read.parquet(f"{out}/cluster_desc").select("cluster_id", "dispersion_order")
-    tables.save_tables({"cluster_master_labels": analyze.master_labels(held["originals"], held["labels"], order, list(a.master_columns))}, out)
+    tables.save_reports({"cluster_master_labels": analyze.master_labels(held["originals"], held["labels"], order, list(a.master_columns))}, out)
+
+
+def explain_clusters(spark: SparkSession, out: str, config: Config) -> None:
+    """The words that tell every two close clusters apart."""
+    e = config.explain
+    held = tables.load_tables(spark, out, ["centroids", "labels", "embedding", "parsed"])
+    pairs = materialize(explain.close_pairs(held["centroids"], e.closeness).select("i", "j"), "pairs")
+    subset = materialize(explain.even_subset(explain.pair_members(held["labels"], pairs), e.texts, e.seed), "subset")
+    members = counts.document_tokens(held["parsed"], "_ref").join(small(subset), "_ref")
+    found = explain.explain_pairs(members, held["embedding"], config.embed.size, e.samples, e.features, e.trees, e.seed)
+    tables.save_reports({"cluster_LIME": explain.normalise_scores(found)}, out)
 
 
 def predict_column(spark: SparkSession, out: str, config: Config) -> None:
@@ -82,12 +94,16 @@ def predict_column(spark: SparkSession, out: str, config: Config) -> None:
     done: dict[str, DataFrame] = {}
     for m, vectors in stored.items():
         over = (lambda t: predict.smote(t, dim)) if p.use_smote else None
-        done[m] = predict.cross_validate(vectors.join(truth, "_ref"), lambda a, b: predict.forest_predict(a, b, p.trees), p.folds, over)
+        done[m] = materialize(predict.cross_validate(vectors.join(truth, "_ref"), lambda a, b: predict.forest_predict(a, b, p.trees), p.folds, over), "predicted")
     if p.use_meta:
         features = predict.meta_features(list(stored.values())).join(truth, "_ref")
-        done["meta"] = predict.cross_validate(features, lambda a, b: predict.forest_predict(a, b, p.trees), p.folds)
+        done["meta"] = materialize(predict.cross_validate(features, lambda a, b: predict.forest_predict(a, b, p.trees), p.folds), "predicted")
     table = predict.prediction_table(done, originals, list(p.extra_columns))
-    tables.save_tables({f"{p.column}_prediction": table, f"{p.column}_disagreement": predict.disagreement(table, list(done))}, out)
+    tables.save_reports({f"{p.column}_prediction": table}, out)
+    held = spark.read.parquet(f"{out}/{p.column}_prediction")
+    tables.save_reports({f"{p.column}_disagreement": predict.disagreement(held, list(done))}, out)
+    for m, found in done.items():
+        tables.save_tables({f"{p.column}_probabilities_{m}": found}, out)
 
 
-STAGES = {"phrase": phrase, "parse": parse_corpus, "embed": embed, "score": score, "metacluster": cluster, "analyze": report, "predict": predict_column}
+STAGES = {"phrase": phrase, "parse": parse_corpus, "embed": embed, "score": score, "metacluster": cluster, "analyze": report, "explain": explain_clusters, "predict": predict_column}

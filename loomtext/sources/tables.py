@@ -55,6 +55,15 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).option("header", True).option("escape", '"').csv(path)
 
 
+def save_reports(reports: dict[str, DataFrame], path: str) -> None:
+    """Named reports as tables, and as CSV under ``reports``. Lists are written as their elements between spaces."""
+    save_tables(reports, path)
+    for name in reports:
+        df = reports[name].sparkSession.read.parquet(f"{path}/{name}")
+        flat = [F.array_join(F.col(f"`{f.name}`").cast("array<string>"), " ").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f"`{f.name}`") for f in df.schema]
+        write_csv(df.select(*flat), f"{path}/reports/{name}")
+
+
 def write_counts(counts: DataFrame, n: int, path: str) -> None:
     """(word, count), most frequent first, with the document counter's row."""
     counter = counts.sparkSession.createDataFrame([(DOCUMENT_COUNTER, n)], "word string, count long")

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from loomtext.functions import trees
 from loomtext.operators import explain, predict
 from loomtext.plans import pipeline
-from loomtext.plans.config import Analyze, Config, Embed, Import, Metacluster, Parse, Predict, Score
+from loomtext.sources import tables
+from loomtext.plans.config import Analyze, Config, Embed, Explain, Import, Metacluster, Parse, Predict, Score
 
 
 def test_classes(spark):
@@ -61,7 +63,7 @@ def test_smote(spark, labelled, monkeypatch):
     assert len({r._ref for r in made}) == len(made)
 
 
-def test_cross_validation(spark, labelled):
+def test_cross_validation(spark, labelled, monkeypatch):
     _, _, df = labelled
     df = df.where("y_truth < 2")
     got = predict.cross_validate(df, lambda a, b: predict.centroid_predict(a, b, 3), 3)
@@ -71,6 +73,11 @@ def test_cross_validation(spark, labelled):
     alone = df.unionAll(spark.createDataFrame([(90, [9.0, 9.0, 9.0], 2)], df.schema))
     assert predict.centroid_cross_validate(alone, 3, 3).where("_ref = 90").first().y_pred in (0, 1)
     forest = predict.cross_validate(df, lambda a, b: predict.forest_predict(a, b, 5), 2, lambda t: predict.smote(t, 3, 2))
+    whole = predict.forest_predict(df.limit(0), df)
+    assert whole.count() == 0 and whole.columns == ["_ref", "y_pred", "y_prob"]
+    monkeypatch.setattr(predict, "TRAIN_BYTES", 10)
+    large = predict.forest_predict(df, df, 10).join(df, "_ref")
+    assert large.where("y_truth = y_pred").count() > 38 and large.columns[:3] == ["_ref", "y_pred", "y_prob"]
     assert all(np.isclose(sum(r.y_prob), 1) and np.argmax(r.y_prob) == r.y_pred for r in forest.collect())
     assert forest.count() == 42 and forest.where("y_truth = y_pred").count() > 36
     meta = predict.meta_features([df, df.withColumnRenamed("_ref", "_ref")])
@@ -91,9 +98,32 @@ def test_explanations(spark):
     s = spark.createDataFrame([(0, 1, "a", 3.0), (0, 1, "b", -1.0), (0, 1, "c", 0.001)], "i int, j int, word string, score double")
     assert rows(explain.normalise_scores(s)) == [(0, 1, "a", 75.0), (0, 1, "b", -25.0)]
     emb = spark.createDataFrame([("red", [1.0, 0.0]), ("blue", [0.0, 1.0]), ("the", [0.1, 0.1])], "word string, vec array<double>")
-    texts = spark.createDataFrame([(i, i % 2, ["the", "blue" if i % 2 else "red"]) for i in range(12)], "_ref long, y int, tokens array<string>")
-    got = {r.word: r.score for r in explain.explain_pair(texts, emb, 2, 0, 1, samples=20, trees=10).collect()}
-    assert got["blue"] > 0 > got["red"]
+    texts = spark.createDataFrame([(0, 1, i, i % 2, ["the", "unknown", "blue" if i % 2 else "red"]) for i in range(12)] + [(0, 1, 50, 1, [])], "i int, j int, _ref long, y int, tokens array<string>")
+    got = {r.word: r.score for r in explain.explain_pairs(texts, emb, 2, samples=20, trees=10).collect()}
+    assert got["blue"] > 0 > got["red"] and abs(got["unknown"]) < min(got["blue"], -got["red"])
+
+
+def test_ridge_over_perturbations_equals_that_over_words():
+    rng = np.random.default_rng(3)
+    x, p = (rng.random((30, 7)) < 0.5).astype(float), rng.random(30)
+    x[0] = 1
+    w = np.sqrt(np.exp(-((1 - np.sqrt(x.mean(axis=1))) ** 2) / 0.25**2))
+    xc, pc = x - np.average(x, axis=0, weights=w), p - np.average(p, weights=w)
+    assert np.allclose(explain._ridge(x, p), np.linalg.solve((xc * w[:, None]).T @ xc + np.eye(7), (xc * w[:, None]).T @ pc))
+
+
+def test_randomised_trees():
+    rng = np.random.default_rng(1)
+    c, y = rng.normal(size=(4, 12)), rng.integers(0, 4, 600)
+    x = c[y] + 0.8 * rng.normal(size=(600, 12))
+    forest = trees.fit_forest(x[:400], y[:400], 4, 40, 2)
+    assert (trees.forest_shares(forest, x[:400]).argmax(axis=1) == y[:400]).mean() > 0.99
+    shares = trees.forest_shares(forest, x[400:])
+    assert (shares.argmax(axis=1) == y[400:]).mean() > 0.8 and np.allclose(shares.sum(axis=1), 1)
+    order = rng.permutation(400)
+    assert np.allclose(trees.forest_shares(trees.fit_forest(x[:400][order], y[:400][order], 4, 40, 2), x[400:]), shares)
+    alike = trees.fit_tree(np.ones((5, 3)), np.array([0, 1, 1, 0, 1]), 2, rng)
+    assert np.allclose(alike.shares_of(np.zeros((2, 3))), [[0.4, 0.6]] * 2)
 
 
 def test_every_close_pair_is_explained(spark):
@@ -117,7 +147,7 @@ def test_whole_pipeline(spark, tmp_path):
         lines.append(f'"{b} {i}","{" ".join((a + " ") * 4)} Heart Rate (HR) study",J{i % 2}')
     (src / "a.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
     out = str(tmp_path / "out")
-    config = Config(Import(), Parse(functions=("unidecoder", "decaps_text")), Embed(size=6, min_count=5, epochs=2), Score(methods=("unique_IDF", "simple"), reduced=True, components=2), Metacluster(m=20, kn=3), Analyze(True, 3, ("journal",)), Predict("journal", ("unique_IDF", "simple"), 2, 5, True, True, ("title",)))
+    config = Config(Import(), Parse(functions=("unidecoder", "decaps_text")), Embed(size=6, min_count=5, epochs=4, sample=0.0), Score(methods=("unique_IDF", "simple"), reduced=True, components=2), Metacluster(m=20, kn=3), Analyze(True, 3, ("journal",)), Explain(-1.0, samples=10, trees=5), Predict("journal", ("unique_IDF", "simple"), 2, 5, True, True, ("title",)))
     pipeline.import_data(spark, [str(src)], out, config)
     for stage in pipeline.STAGES.values():
         stage(spark, out, config)
@@ -127,3 +157,8 @@ def test_whole_pipeline(spark, tmp_path):
     table = spark.read.parquet(f"{out}/journal_prediction")
     assert table.count() == 40 and set(table.columns) == {"_ref", "y_truth", "unique_IDF", "simple", "meta", "title"}
     assert table.where("y_truth = meta").count() > 30
+    assert spark.read.parquet(f"{out}/cluster_LIME").count() > 0
+    assert all(np.isclose(sum(r.y_prob), 1) for r in spark.read.parquet(f"{out}/journal_probabilities_meta").collect())
+    reports = {p.name for p in (tmp_path / "out" / "reports").iterdir()}
+    assert reports == {"abbreviations", "cluster_desc", "cluster_master_labels", "cluster_LIME", "journal_prediction", "journal_disagreement"}
+    assert tables.read_csv(spark, f"{out}/reports/cluster_master_labels", ["_ref", "journal"]).count() == 40

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from loomtext.functions.word2vec import huffman
 from loomtext.operators import counts, embedding, scoring
 from loomtext.operators.reduce import reduce_vectors
 from loomtext.plans import config
@@ -94,13 +95,31 @@ def test_downsampling(spark, toy):
 
 
 def test_embedding_modes_and_norm(spark):
-    df = spark.createDataFrame([(i, "alpha beta gamma " * 5) for i in range(6)], "_ref long, text string")
-    for bad in ({"skip_gram": 0}, {"negative": 5}, {"hierarchical_softmax": 2}):
+    rng = np.random.default_rng(2)
+    topics = [[f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]]
+    texts = [(i, " ".join(rng.choice(topics[i % 2], 30))) for i in range(80)] + [(900, None), (901, ""), (902, "rare words")]
+    df = spark.createDataFrame(texts, "_ref long, text string")
+    for bad in ({"skip_gram": 2}, {"negative": 5}, {"hierarchical_softmax": 2}, {"hierarchical_softmax": 0}):
         with pytest.raises(ValueError):
             embedding.fit_embedding(df, "_ref", **bad)
-    got = embedding.fit_embedding(df, "_ref", size=4, min_count=2, epochs=1).collect()
-    assert {r.word for r in got} == {"alpha", "beta", "gamma"}
-    assert all(math.isclose(np.linalg.norm(r.vec), 1, rel_tol=1e-6) for r in got)
+    for mode in ({"skip_gram": 0}, {"skip_gram": 1}, {"skip_gram": 0, "hierarchical_softmax": 0, "negative": 5}, {"skip_gram": 1, "hierarchical_softmax": 0, "negative": 5, "partitions": 3}, {"skip_gram": 0, "sample": 0.05, "partitions": 2}):
+        given = {"size": 8, "min_count": 5, "epochs": 12, "sample": 0.0} | mode
+        got = {r.word: np.array(r.vec) for r in embedding.fit_embedding(df, "_ref", **given).collect()}
+        assert set(got) == {w for t in topics for w in t} and all(math.isclose(np.linalg.norm(v), 1, rel_tol=1e-5) for v in got.values())
+        within = np.mean([got[f"a{i}"] @ got[f"a{j}"] + got[f"b{i}"] @ got[f"b{j}"] for i in range(8) for j in range(i)]) / 2
+        across = np.mean([got[f"a{i}"] @ got[f"b{j}"] for i in range(8) for j in range(8)])
+        assert within > across + 0.3, (mode, within, across)
+    same = [embedding.fit_embedding(df, "_ref", size=4, min_count=5, epochs=1).orderBy("word").collect() for _ in range(2)]
+    assert same[0] == same[1]
+    assert embedding.fit_embedding(df.limit(0), "_ref").count() == 0
+
+
+def test_huffman_ways():
+    nodes, codes = huffman(np.array([8.0, 4, 2, 1, 1]))
+    assert [int((r >= 0).sum()) for r in nodes] == [1, 2, 3, 4, 4]
+    ways = {tuple((n, c) for n, c in zip(a, b, strict=True) if n >= 0) for a, b in zip(nodes.tolist(), codes.tolist(), strict=True)}
+    assert len(ways) == 5 and nodes.max() == 3
+    assert huffman(np.array([3.0]))[0].shape == (1, 0)
 
 
 def test_reduced_vectors(spark):
