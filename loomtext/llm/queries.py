@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm import normalize
 from loomtext.llm.cluster import described, hashed_vectors, labelled_clusters, mislabelled
 from loomtext.llm.knn import nearest_neighbours, similar_groups, similar_pairs
 from loomtext.llm.leaks import leaked_items
@@ -40,7 +42,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_groups(_table(spark, d, "source_csv"), "_ref", ["title", "abstract"])
+    return near_duplicate_groups(_table(spark, d, "source_csv"), "_ref", ["title", "abstract"]).withColumnRenamed("id", "_ref")
 
 
 #: In ln(N): a term is characteristic of a record when its weight is at least this.
@@ -104,7 +106,8 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_neighbours(_unique_idf(spark, d)).withColumnRenamed("id", "_ref")
+    near = nearest_neighbours(_unique_idf(spark, d)).withColumnRenamed("id", "_ref")
+    return near.withColumn("cosine", F.round("cosine", 3) + 0.0)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -156,13 +159,65 @@ _UNITS = """WITH ok AS (SELECT DISTINCT _ref AS r, v::DOUBLE[] AS v FROM documen
 u AS (SELECT r, v, sqrt(list_dot_product(v, v)) AS n FROM ok)"""
 
 
+def _form(text: str) -> str:
+    """A text's form in SQL, by rules of single characters: every letter that looks like a Latin one is that letter, in
+    Cyrillic words too, which tells the same texts apart and together as the operator's form does."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    alike = normalize.CYRILLIC + normalize.GREEK + "\u2010\u2011\u00b5" + wide
+    plain = normalize.CYRILLIC_AS + normalize.GREEK_AS + "--\u03bc" + "".join(chr(ord(c) - 0xFEE0) for c in wide)
+    parts = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\u2026": "..."}
+    flat = reduce(lambda c, x: f"replace({c}, '{x[0]}', '{x[1]}')", parts.items(), text)
+    shown = f"regexp_replace({flat}, '[\\x00-\\x08\\x0e-\\x1b\\x7f-\\x{{84}}\\x{{86}}-\\x{{9f}}\\p{{Cf}}\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g')"
+    spaced = f"trim(regexp_replace({shown}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+    return f"nfc_normalize(translate({spaced}, '{alike.replace(chr(39), chr(39) * 2)}', '{plain.replace(chr(39), chr(39) * 2)}'))"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(lower({_form(text)}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_ALIKE = f"""WITH t AS (SELECT 'title' AS field, _ref, title AS raw, {_form('title')} AS form FROM source_csv UNION ALL SELECT 'abstract', _ref, abstract, {_form('abstract')} FROM source_csv),
+f AS (SELECT DISTINCT field, _ref, raw, form FROM t WHERE raw IS NOT NULL AND form <> '' AND lower(form) <> 'n/a' AND NOT regexp_full_match(form, '\\[[^\\]]*\\]'))"""
+_LEAKED = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS run FROM d WHERE len(w) >= 12),
+ir AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS run FROM i WHERE len(w) >= 12),
+leaked AS (SELECT doc_id, item_id, count(*) AS runs FROM dr JOIN ir USING (run) GROUP BY doc_id, item_id)"""
+#: Words of records with their number of occurrence; pairs of different multisets by what they have in common.
+_NEAR = f"""WITH RECURSIVE r AS (SELECT DISTINCT _ref AS id, {_words("concat_ws(' ', title, abstract)")} AS w FROM source_csv WHERE _ref IS NOT NULL),
+k AS (SELECT id, list_sort(w) AS w, len(w) AS n FROM r WHERE len(w) >= 20),
+members AS (SELECT id, min(id) OVER (PARTITION BY w) AS rep FROM k), c AS (SELECT DISTINCT k.id, w, n FROM k JOIN members m ON m.rep = k.id AND m.id = k.id),
+e AS (SELECT id, n, unnest(list_transform(range(1, len(w) + 1), lambda x: w[x] || ' ' || (x - list_position(w, w[x])))) AS e FROM c),
+df AS (SELECT e, count(*) AS f FROM e GROUP BY e), o AS (SELECT id, n, e, row_number() OVER (PARTITION BY id ORDER BY f, e) AS pos FROM e JOIN df USING (e)),
+hd AS (SELECT id, n, e FROM o WHERE pos <= n - ceil(n * 0.8 - 1e-9) + 1),
+met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM hd x JOIN hd y ON x.e = y.e AND x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9),
+pairs AS (SELECT a, b FROM (SELECT a, b, x.n AS na, y.n AS nb, count(*) AS common FROM met JOIN e x ON x.id = a JOIN e y ON y.id = b AND y.e = x.e GROUP BY ALL) WHERE common >= 0.8 * greatest(na, nb) - 1e-9)"""
+
+
+_LINKED = """ends AS (SELECT a AS rep, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT DISTINCT rep, rep AS low FROM members UNION SELECT ends.other, reach.low FROM reach JOIN ends ON ends.rep = reach.rep),
+grp AS (SELECT rep, min(low) AS group_id FROM reach GROUP BY rep),
+lnk AS (SELECT rep, count(*) AS n FROM ends GROUP BY rep)
+SELECT id AS _ref, rep AS class_id, coalesce(n, 0)::BIGINT AS n_links, group_id FROM members JOIN grp USING (rep) LEFT JOIN lnk USING (rep)"""
+
+
 def _part(seen: str, row: str, column: str) -> str:
     return f"CASE WHEN {seen} > 0 THEN {seen} * ln({seen} * total / (({row}) * ({column}))) ELSE 0.0 END"
 
 
 def oracle_sql() -> dict[str, str]:
     g = " + ".join([_part("c", "length", "occ"), _part("(occ - c)", "total - length", "occ"), _part("(length - c)", "length", "total - occ"), _part("(total - length - (occ - c))", "total - length", "total - occ")])
+    similar = _UNITS.replace("WITH ok", "WITH RECURSIVE ok") + """, members AS (SELECT r AS id, min(r) OVER (PARTITION BY f) AS rep FROM (SELECT r, list_transform(v, lambda x: (x / n)::FLOAT) AS f FROM u)),
+c AS (SELECT DISTINCT u.* FROM u JOIN members ON rep = r), pairs AS (SELECT a.r AS a, b.r AS b FROM c a JOIN c b ON a.r < b.r AND list_dot_product(a.v, b.v) >= 0.97 * a.n * b.n)"""
     return {
+        "p1_found": _ALIKE + " SELECT DISTINCT a.field, least(a._ref, b._ref) AS ref_a, greatest(a._ref, b._ref) AS ref_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.raw <> b.raw AND a._ref < b._ref",
+        "p1_groups": _ALIKE + ", v AS (SELECT field, form, raw, count(*) AS n, min(_ref) AS low FROM f GROUP BY ALL), g AS (SELECT field, form, sum(n) AS total, min(low) AS class_id FROM v GROUP BY ALL) SELECT f.field, _ref, class_id, (total - n)::BIGINT AS n_links FROM f JOIN v ON f.field = v.field AND f.form = v.form AND f.raw = v.raw JOIN g ON f.field = g.field AND f.form = g.form",
+        "p2_found": _NEAR + " SELECT a.id AS ref_a, b.id AS ref_b FROM members a JOIN members b ON a.rep = b.rep AND a.id < b.id UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM pairs JOIN members x ON x.rep = a JOIN members y ON y.rep = b",
+        "p2_groups": _NEAR + ", " + _LINKED,
+        "p7_groups": similar + ", " + _LINKED,
+        "p7_neighbours": _UNITS.replace("SELECT DISTINCT _ref AS r, v::DOUBLE[] AS v FROM", "SELECT _ref AS r, min(v::DOUBLE[]) AS v FROM").replace("len(list_filter(v, lambda x: x <> 0)) > 0)", "len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY _ref)")
+        + " SELECT _ref, rank::INTEGER AS rank, near, round(cosine, 3) + 0.0 AS cosine FROM (SELECT a.r AS _ref, b.r AS near, list_dot_product(a.v, b.v) / (a.n * b.n) AS cosine, row_number() OVER (PARTITION BY a.r ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 7) DESC, b.r) AS rank FROM u a JOIN u b ON a.r % 50 = 0 AND a.r <> b.r) WHERE rank <= 10",
+        "p9_found": _LEAKED + " SELECT doc_id, item_id FROM leaked",
+        "p9_report": _LEAKED + " SELECT item_id, count(*) AS documents, sum(runs)::BIGINT AS runs FROM leaked GROUP BY item_id",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
         "p7_found": _UNITS + " SELECT a.r AS ref_a, b.r AS ref_b FROM u a JOIN u b ON a.r < b.r AND list_dot_product(a.v, b.v) >= 0.97 * a.n * b.n",
         "p3_found": f"WITH {_RECORDS} SELECT _ref, word FROM tc JOIN wc USING (word), nn WHERE c * ln(n / (d + 1.0)) >= {CHARACTERISTIC} * ln(n)",
