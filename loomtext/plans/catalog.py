@@ -561,12 +561,12 @@ def smote_neighbours(spark: SparkSession, d: str) -> DataFrame:
 _SMOTE = """WITH v AS (SELECT vec_id AS r, label AS y, embedding::DOUBLE[] AS vec FROM embeddings),
 sz AS (SELECT y, count(*) AS n FROM v GROUP BY y), mx AS (SELECT max(n) AS most FROM sz),
 nb AS (SELECT r, list(near ORDER BY rank) AS nears FROM (SELECT a.r, b.r AS near, row_number() OVER (PARTITION BY a.r ORDER BY round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), b.r) AS rank FROM v a JOIN v b ON a.y = b.y AND a.r <> b.r) WHERE rank <= 5 GROUP BY r),
-rk AS (SELECT v.r, v.y, vec, nears, n, most, row_number() OVER (PARTITION BY v.y ORDER BY v.r) - 1 AS at FROM v JOIN sz USING (y) JOIN nb USING (r), mx WHERE n < most),
-tm AS (SELECT *, (most - n) // n + CASE WHEN at < (most - n) % n THEN 1 ELSE 0 END AS times FROM rk),
-cp AS (SELECT *, unnest(range(1, times + 1)) AS copy FROM tm WHERE times > 0),
-dg AS (SELECT *, md5('0:' || r || ':' || copy) AS h FROM cp),
+rk AS (SELECT v.r, v.y, vec, nears, n, most, row_number() OVER (PARTITION BY v.y ORDER BY v.r) - 1 AS pos FROM v JOIN sz USING (y) JOIN nb USING (r), mx WHERE n < most),
+tm AS (SELECT *, (most - n) // n + CASE WHEN pos < (most - n) % n THEN 1 ELSE 0 END AS times FROM rk),
+cp AS (SELECT *, unnest(range(1, times + 1)) AS cpy FROM tm WHERE times > 0),
+dg AS (SELECT *, md5('0:' || r || ':' || cpy) AS h FROM cp),
 pk AS (SELECT *, nears[(('0x' || substr(h, 1, 7))::BIGINT % len(nears))::BIGINT + 1] AS near, ('0x' || substr(h, 9, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM dg),
-made AS (SELECT -1 - (pk.r * most + copy) AS _ref, pk.y, list_transform(list_zip(pk.vec, w.vec), lambda z: z[1] + u * (z[2] - z[1])) AS vec FROM pk JOIN v w ON w.r = pk.near),
+made AS (SELECT -1 - (pk.r * most + cpy) AS _ref, pk.y, list_transform(list_zip(pk.vec, w.vec), lambda z: z[1] + u * (z[2] - z[1])) AS vec FROM pk JOIN v w ON w.r = pk.near),
 al AS (SELECT r AS _ref, y, vec FROM v UNION ALL SELECT * FROM made)
 SELECT _ref, y AS y_truth, (ix - 1)::INTEGER AS dim, round(vec[ix], 6) + 0.0 AS value FROM al, range(1, 65) g(ix)"""
 
