@@ -215,7 +215,7 @@ c AS (SELECT DISTINCT u.* FROM u JOIN members ON rep = r), pairs AS (SELECT a.r
         "p2_groups": _NEAR + ", " + _LINKED,
         "p7_groups": similar + ", " + _LINKED,
         "p7_neighbours": _UNITS.replace("SELECT DISTINCT _ref AS r, v::DOUBLE[] AS v FROM", "SELECT _ref AS r, min(v::DOUBLE[]) AS v FROM").replace("len(list_filter(v, lambda x: x <> 0)) > 0)", "len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY _ref)")
-        + " SELECT _ref, rank::INTEGER AS rank, near, round(cosine, 3) + 0.0 AS cosine FROM (SELECT a.r AS _ref, b.r AS near, list_dot_product(a.v, b.v) / (a.n * b.n) AS cosine, row_number() OVER (PARTITION BY a.r ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 7) DESC, b.r) AS rank FROM u a JOIN u b ON a.r % 50 = 0 AND a.r <> b.r) WHERE rank <= 10",
+        + " SELECT _ref, rank::INTEGER AS rank, near, round(round(cosine, 7), 3) + 0.0 AS cosine FROM (SELECT a.r AS _ref, b.r AS near, list_dot_product(a.v, b.v) / (a.n * b.n) AS cosine, row_number() OVER (PARTITION BY a.r ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 7) DESC, b.r) AS rank FROM u a JOIN u b ON a.r % 50 = 0 AND a.r <> b.r) WHERE rank <= 10",
         "p9_found": _LEAKED + " SELECT doc_id, item_id FROM leaked",
         "p9_report": _LEAKED + " SELECT item_id, count(*) AS documents, sum(runs)::BIGINT AS runs FROM leaked GROUP BY item_id",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
