@@ -85,11 +85,15 @@ def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Partitions of a table that is spread, at most: more of them are parallel enough.
+SPREAD = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, shuffled into as many partitions as there are cores where it has not half as many: a small table in one row
-    group would else be worked on by a single task. Tables of many files are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    """``df``, shuffled into as many partitions as there are cores where it has not half as many and ``SPREAD`` at most: a
+    small table in one row group would else be worked on by a single task. Larger tables are left as they are."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if 2 * parts <= cores and parts <= SPREAD else df
 
 
 def ship(spark: SparkSession) -> None:
