@@ -105,19 +105,23 @@ def _stable(o: int) -> bool:
     )
 
 
+#: Stretches of code points that are stable one and all, so they need no look: ideographs, syllables, private and free planes.
+_ALL_STABLE = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xE000, 0xF8FF), (0x20000, 0x2F7FF), (0x2FA20, 0xDFFFF), (0xF0000, 0x10FFFF))
+
+
 @lru_cache(maxsize=1)
 def stable_ranges() -> tuple[tuple[int, int], ...]:
     """Ranges of stable code points, of all planes. Cyrillic letters are among them: their words are judged apart."""
-    out: list[list[int]] = []
-    apart = [_SURROGATES, *_JAMO]
-    for o in range(0x20, 0x110000):
-        if any(a <= o <= b for a, b in apart) or not _stable(o):
-            continue
-        if out and out[-1][1] == o - 1:
-            out[-1][1] = o
-        else:
-            out.append([o, o])
-    return tuple((a, b) for a, b in out)
+    out = [list(x) for x in _ALL_STABLE]
+    skipped = sorted([*_ALL_STABLE, _SURROGATES, *_JAMO])
+    for a, b in zip([0x20, *[b + 1 for _, b in skipped]], [*[a for a, _ in skipped], 0x110000], strict=True):
+        for o in range(a, b):
+            if _stable(o):
+                if out[-1][1] == o - 1:
+                    out[-1][1] = o
+                else:
+                    out.append([o, o])
+    return tuple(sorted((a, b) for a, b in out))
 
 
 def _unstable() -> str:
@@ -134,11 +138,12 @@ def _cyrillic_words() -> str:
 
 
 @lru_cache(maxsize=1)
-def _segments() -> tuple[re.Pattern, re.Pattern]:
-    """(the start of an unstable segment, the rest of its word and of its segment)."""
-    return re.compile(_unstable() + "|" + _cyrillic_words()), re.compile(r"(?:\w|" + _unstable() + ")*")
+def _segments() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """(the start of an unstable segment, the same where there are Cyrillic letters, the rest of its word and segment)."""
+    return re.compile(_unstable()), re.compile(_unstable() + "|" + _cyrillic_words()), re.compile(r"(?:\w|" + _unstable() + ")*")
 
 
+_CYRILLIC_LETTER = re.compile("[\u0400-\u052f]")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 
 
@@ -167,7 +172,9 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii() or not text.isprintable():
-        unstable, run = _segments()
+        unstable, in_cyrillic, run = _segments()
+        if _CYRILLIC_LETTER.search(text):  # a search of its own, as it is much cheaper than looking around at every place
+            unstable = in_cyrillic
         out, done = [], 0
         m = unstable.search(text)
         while m:
