@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.plans.shared import materialize
+from loomtext.plans.shared import discard, materialize
 
 #: Links a partition holds at once in its union-find; more are joined in several forests, which later rounds merge.
 FOREST = 1_000_000
@@ -63,6 +63,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         # a star forest: every node points to a root that points nowhere, once
         loose = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         many = after.groupBy("u").count().where("count > 1").limit(1).count()
+        discard(edges)
         edges = after
         if not loose and not many:
             break

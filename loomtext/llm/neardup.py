@@ -40,6 +40,8 @@ SIMILARITY, LEAST_WORDS = 0.8, 20
 BROADCAST_ROWS = 1_000_000
 #: Records of the sample that tells hot band keys, at most; classes that hold a hot key in it, at least; tasks for each.
 SAMPLE, HOT, SALTS = 5_000, 64, 256
+#: Records whose words a cell of the comparison holds on either side, on average; cells on a side, at least.
+CELL, FEWEST_CELLS = 16_384, 4
 #: Where in a row's key the number of words stands, and its greatest value: it stands for itself and all above.
 _AT, _MOST = 48, (1 << 15) - 1
 #: Records whose signatures are made at once.
@@ -117,12 +119,24 @@ def _words_for(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        same = []
-        for x, y in zip(b.column("ea").to_pylist(), b.column("eb").to_pylist(), strict=True):
-            same.append(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same, pa.int32())], ["a", "b", "common"])
+def _overlaps(t: pa.Table) -> pa.Table:
+    """Common elements of the pairs (a, b) of a cell, whose records are the rows with an id."""
+    held = t.filter(t.column("id").is_valid())
+    words = {i: np.frombuffer(e, np.uint64) for i, e in zip(held.column("id").to_pylist(), held.column("e").to_pylist(), strict=True)}
+    pairs = t.filter(t.column("a").is_valid()).select(["a", "b"])
+    common = [len(np.intersect1d(words[a], words[b], assume_unique=True)) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)]
+    return pairs.append_column("common", pa.array(common, pa.int32()))
+
+
+def _compared(pairs: DataFrame, words: DataFrame, records: int) -> DataFrame:
+    """(a, b, common) of the pairs. They fall into cells by the hashes of both ends, and a record goes once into each cell
+    that holds a pair of it, so that in a group of many alike records no record travels with every pair."""
+    cells = max(FEWEST_CELLS, -(-records // CELL))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).cast("int")
+    p = pairs.select(at("a").alias("x"), at("b").alias("y"), "a", "b")
+    need = p.select("x", "y", F.col("a").alias("id")).unionAll(p.select("x", "y", F.col("b").alias("id"))).distinct()
+    rows = p.unionByName(need.join(words, "id"), allowMissingColumns=True)
+    return rows.groupBy("x", "y").applyInArrow(_overlaps, "a long, b long, common int")
 
 
 def _needed(similarity: float) -> Column:
@@ -177,8 +191,7 @@ def _class_pairs(df: DataFrame, ident: str, fields: list[str], similarity: float
     pairs = materialize(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "candidates")
     chosen = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "chosen")
     words = materialize(source.join(small(chosen, BROADCAST_ROWS), "id", "left_semi").mapInArrow(_words_for(least), "id long, e binary"), "words")
-    both = pairs.join(words.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(words.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
-    checked = both.mapInArrow(_overlaps, "a long, b long, common int")
+    checked = _compared(pairs, words, chosen.count())
     n = classes.select("rep", "n")
     checked = checked.join(n.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     return members, checked.where(F.col("common") >= _needed(similarity))

@@ -137,4 +137,5 @@ def test_hot_band_keys(spark, monkeypatch):
     found = {tuple(r) for r in neardup.near_duplicate_pairs(df, "_ref", ["title", "abstract"]).collect()}
     assert found == brute(data)
     monkeypatch.setattr(neardup, "HOT", 1 << 30)
+    monkeypatch.setattr(neardup, "CELL", 10)  # many cells
     assert {tuple(r) for r in neardup.near_duplicate_pairs(df, "_ref", ["title", "abstract"]).collect()} == found

@@ -60,3 +60,11 @@ def test_hot_term_over_several_ranges(spark):
     df = spark.range(3000).select(F.col("id").alias("_ref"), F.concat(F.lit("hot hot t"), F.col("id") % 10).alias("text"), F.lit(1).alias("parsed_at")).repartition(8)
     got, n = terms.term_frequencies(df)
     assert n == 3000 and rows(got) == sorted([("hot", 6000, 3000)] + [(f"t{i}", 300, 300) for i in range(10)], key=repr)
+
+
+def test_weight_implies_no_bound_on_the_ratio(spark):
+    """A term far above the weight's threshold may be rarer in the record than elsewhere: the ratio can't preselect."""
+    docs = [(0, "x " * 4 + "filler " * 9996), (1, "x " * 8 + "y y")] + [(i, "a b c") for i in range(2, 1002)]
+    got = terms.distinctive_terms(spark.createDataFrame([(*r, None) for r in docs], "_ref long, text string, parsed_at timestamp"))
+    row = got.where("id = 0 and word = 'x'").first()
+    assert row.weight >= 3.05 * math.log(row.n_records) and row.score < 0
