@@ -41,11 +41,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, so a lost executor costs at most
-    the stage that reads it. The files go with ``release``, at the end of ``tables_released`` or when the driver ends."""
+    the stage that reads it. The files go with ``discard``, with ``release``, at the end of ``tables_released`` or when the
+    driver ends."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.remove((spark, path))
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned and that nothing reads any more."""
+    for df in tables:
+        if (df.sparkSession, df._written_at) in _written:
+            _delete(df.sparkSession, df._written_at)
 
 
 def release(spark: SparkSession | None = None, keep: int = 0) -> None:
@@ -53,13 +72,7 @@ def release(spark: SparkSession | None = None, keep: int = 0) -> None:
     be used afterwards."""
     for owner, path in _written[keep:]:
         if spark is None or owner is spark:
-            _written.remove((owner, path))
-            try:
-                jvm = owner.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            except Exception:  # noqa: BLE001 - the session may be gone already
-                pass
+            _delete(owner, path)
 
 
 @contextmanager

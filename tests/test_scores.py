@@ -77,6 +77,25 @@ def test_large_vocabularies_are_joined_by_a_shuffle(spark, toy, monkeypatch):
     assert scoring.METHODS["simple"](docs, vocab.limit(0), 6).where("exists(vec, x -> x <> 0)").count() == 0
 
 
+def test_common_component_against_singular_vectors(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([1, 2, 2, 3, 5, 8, 30, 200])]
+    docs = counts.document_tokens(spark.createDataFrame(texts, "_ref long, text string"), "_ref")
+    emb = {w: rng.normal(size=6) for w in words[:35]}
+    tdf = counts.term_document_frequency(docs)
+    vocab = scoring.scoring_vocabulary(spark.createDataFrame([(w, v.tolist()) for w, v in emb.items()], "word string, vec array<double>"), tdf, len(texts))
+    df = {r.word: r["count"] for r in tdf.collect()}
+    got = {r._ref: np.array(r.vec) for r in scoring.score_idf_common_component_removal(docs, vocab, 6).collect()}
+    for i, text in texts:
+        m = np.array([emb[w] * math.log(len(texts) / (df[w] + 1)) for w in sorted(set(text.split())) if w in emb]).reshape(-1, 6)
+        if len(m) > 1:
+            u, s, v = np.linalg.svd(m, full_matrices=False)
+            m = m - s[0] * np.outer(u[:, 0], v[0])
+        total = m.sum(axis=0)
+        assert np.allclose(got[i], total / np.linalg.norm(total) if np.linalg.norm(total) > 1e-9 else 0 * total, atol=1e-6), i
+
+
 def test_counts_and_idf(spark, toy):
     docs, _ = toy
     assert rows(counts.term_frequency(docs)) == [("bird", 1), ("cat", 2), ("dog", 2), ("fish", 1)]

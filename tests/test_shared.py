@@ -65,6 +65,9 @@ def test_tables_are_released_after_a_block(spark):
         shared.materialize(spark.range(3), "probe")
         (path,) = [p for _, p in shared._written[len(before):]]
         assert Path(path.removeprefix("file://")).exists()
+        gone = shared.materialize(spark.range(2), "probe")
+        shared.discard(gone, gone)
+        assert len(shared._written) == len(before) + 1 and not Path(gone._written_at.removeprefix("file://")).exists()
     assert not Path(path.removeprefix("file://")).exists() and shared._written == before
 
 
