@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import linked_rows
@@ -42,8 +42,8 @@ BROADCAST_ROWS = 1_000_000
 SAMPLE, HOT, SALTS = 5_000, 64, 256
 #: Records whose words a cell of the comparison holds on either side, on average; cells on a side, at least.
 CELL, FEWEST_CELLS = 16_384, 4
-#: Where in a row's key the number of words stands, and its greatest value: it stands for itself and all above.
-_AT, _MOST = 48, (1 << 15) - 1
+#: A band row is a key and, in the low bits, the number of words; the greatest stands for itself and all above.
+_BITS, _MOST = 15, (1 << 15) - 1
 #: Records whose signatures are made at once.
 STEP = 2000
 
@@ -102,7 +102,7 @@ def _banded(least: int, count: int, width: int) -> Callable[[Iterator[pa.RecordB
                 sig = signatures(elements[mine], place[owner[mine]], len(first), min(count * width, SLOTS))
                 keys = bands(sig, count, width)
                 who = c1[order]
-                keys |= np.minimum(n[order], _MOST).astype(np.int64)[:, None] << _AT
+                keys = keys << _BITS | np.minimum(n[order], _MOST).astype(np.int64)[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(who, count))], ["row", "c1"])
 
     return run
@@ -152,23 +152,55 @@ def _hot(source: DataFrame, total: int, least: int, shape: tuple[int, int]) -> D
 
 
 def _key(row: str) -> Column:
-    return F.col(row).bitwiseAND(F.lit((1 << _AT) - 1)).alias("key")
+    return F.shiftright(row, _BITS).alias("key")
+
+
+def _meeting(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, c1, n) of rows sorted by key whose key more than one class holds, each class once. Rows of ``hot`` keys, which
+    other tasks hold too, are all kept."""
+
+    def met(row: np.ndarray, c1: np.ndarray) -> pa.RecordBatch:
+        key = row >> _BITS
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(np.append(first, len(key)))
+        some = np.repeat((size > 1) | np.isin(key[first], hot), size)
+        row, c1, key = row[some], c1[some], key[some]
+        order = np.lexsort((c1, key))
+        row, c1, key = row[order], c1[order], key[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (c1[1:] != c1[:-1])
+        row, c1, key = row[once], c1[once], key[once]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(np.append(first, len(key)))
+        some = np.repeat((size > 1) | np.isin(key[first], hot), size)
+        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(c1[some]), pa.array((row[some] & _MOST).astype(np.int32))], ["key", "c1", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, c1 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            row, c1 = np.concatenate([row, b.column(0).to_numpy()]), np.concatenate([c1, b.column(1).to_numpy()])
+            if len(row):  # the last key may go on in the next batch
+                cut = int(np.searchsorted(row, row[-1] >> _BITS << _BITS))
+                if cut:
+                    yield met(row[:cut], c1[:cut])
+                    row, c1 = row[cut:], c1[cut:]
+        if len(row):
+            yield met(row, c1)
+
+    return run
 
 
 def _candidates(source: DataFrame, total: int, least: int, similarity: float, shape: tuple[int, int]) -> DataFrame:
     """Pairs (c1 < d1) of class hashes that share a band key and whose lengths allow the similarity."""
     rows = source.mapInArrow(_banded(least, *shape), "row long, c1 long")
-    hot = [r.key for r in _hot(source, total, least, shape).collect()]
-    keyed = rows.withColumn("key", _key("row"))
+    hot = sorted(r.key for r in _hot(source, total, least, shape).collect())
+    at: list[Column] = [_key("row")]
     if hot:
-        # rows of a hot key have partners for certain; the others of their task need not tell
-        keys = F.broadcast(source.sparkSession.createDataFrame([(k,) for k in hot], "key long").withColumn("hot", F.lit(True)))
-        keyed = keyed.join(keys, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("c1", F.lit(SALTS)))).drop("hot")
-        same, alone = Window.partitionBy("key", "salt"), F.col("salt").isNull()
-    else:
-        same, alone = Window.partitionBy("key"), F.lit(True)
-    met = keyed.withColumns({"lo": F.min("c1").over(same), "hi": F.max("c1").over(same)}).where((F.col("lo") != F.col("hi")) | ~alone)
-    met = materialize(met.select("key", F.struct("c1", F.shiftright("row", _AT).cast("int").alias("n")).alias("c")).distinct(), "met")
+        keys = F.broadcast(source.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
+        rows = rows.join(keys.withColumn("hot", F.lit(True)), _key("row") == F.col("key"), "left")
+        at.append(F.when(F.col("hot"), F.pmod("c1", F.lit(SALTS))))
+    met = rows.repartition(*at).select("row", "c1").sortWithinPartitions("row").mapInArrow(_meeting(np.array(hot, np.int64)), "key long, c1 long, n int")
+    met = materialize(met.select("key", F.struct("c1", "n").alias("c")), "met")
     two = pairs_within(met, ["key"], "c").selectExpr("a.c1 as c1", "b.c1 as d1", "a.n as na", "b.n as nb")
     fits = f"least(na, nb) >= greatest(na, nb) * {similarity} - 1e-9"
     return two.where(fits).select("c1", "d1").distinct()

@@ -59,7 +59,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def _lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    joined = "\n".join(texts)
+    points = np.frombuffer(joined.encode("ascii"), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     if not len(points):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     inside, values = _letters()
