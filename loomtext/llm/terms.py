@@ -25,13 +25,23 @@ HOT = 1000
 HOT_ROWS = 500_000
 
 
-def records(df: DataFrame, ident: str, text: str, at: str | None) -> DataFrame:
-    """(id, text), one row per record."""
-    d = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), (F.col(at) if at else F.lit(0)).alias("at"))
-    return d.where("id is not null").groupBy("id").agg(F.max(F.struct("at", "text")).alias("last")).select("id", "last.text")
+#: Ids that come in several rows and are broadcast to tell these rows from the others, at most.
+REPEATED = 1_000_000
 
 
-def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def records(df: DataFrame, ident: str, text: str, at: str | None) -> DataFrame:
+    """(id, text), one row per record. Only the rows of ids that come again are brought together; where those are too many
+    to be broadcast (counted), all rows are."""
+    d = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), (F.col(at) if at else F.lit(0)).alias("at")).where("id is not null")
+    last = lambda rows: rows.groupBy("id").agg(F.max(F.struct("at", "text")).alias("last")).select("id", "last.text")
+    again = materialize(d.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if again.limit(REPEATED + 1).count() > REPEATED:
+        return last(d)
+    again = F.broadcast(again)
+    return d.join(again, "id", "left_anti").select("id", "text").unionAll(last(d.join(again, "id", "left_semi")))
+
+
+def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Record ids, the batch's distinct words, and for every pair of record and word: place of the record, of the
     word, and how often it stands there; ordered by record."""
     lists = pc.utf8_split_whitespace(pc.fill_null(batch.column(1), ""))
@@ -53,7 +63,7 @@ def _score_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
-                ids, words, rec, word, times = _counted(batch)
+                ids, words, rec, word, times = counted(batch)
                 if not len(times):
                     continue
                 occ = np.bincount(word, times, len(words)).astype(np.int64)
@@ -111,7 +121,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of term and record of a batch, sorted; those of one term are packed in a row (refs: ascending int64)."""
     for whole in batches:
         for batch in slices(whole, 1):
-            ids, words, rec, word, times = _counted(batch)
+            ids, words, rec, word, times = counted(batch)
             if not len(times):
                 continue
             ref = ids[rec]

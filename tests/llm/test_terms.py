@@ -68,3 +68,10 @@ def test_weight_implies_no_bound_on_the_ratio(spark):
     got = terms.distinctive_terms(spark.createDataFrame([(*r, None) for r in docs], "_ref long, text string, parsed_at timestamp"))
     row = got.where("id = 0 and word = 'x'").first()
     assert row.weight >= 3.05 * math.log(row.n_records) and row.score < 0
+
+
+def test_records_of_many_repeated_ids(spark, monkeypatch):
+    few = rows(terms.records(frame(spark), "_ref", "text", "parsed_at"))
+    assert [r for r in few if r[0] in RECORDS] == sorted(RECORDS.items(), key=repr) and [r[0] for r in few] == sorted({i for i, *_ in DATA if i is not None})
+    monkeypatch.setattr(terms, "REPEATED", 1)
+    assert rows(terms.records(frame(spark), "_ref", "text", "parsed_at")) == few
