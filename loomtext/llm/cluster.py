@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.terms import distinctive_terms
+from loomtext.llm.terms import counted, records
 from loomtext.llm.vectors import binary, matrix, unit_vectors
 from loomtext.llm.words import mix, slices
 from loomtext.plans.shared import materialize
@@ -25,6 +26,10 @@ from loomtext.plans.shared import materialize
 ROUNDS, OVERSAMPLING, STARTS, TRIES, COMPARED, SETTLE, MOST_PASSES, STILL = 5, 8, 60, 5, 6, 3, 30, 1e-4
 #: Inner products that a task holds at once; starts are fewer for more clusters, down to so many.
 PRODUCTS, FEWEST_STARTS = 1 << 23, 6
+#: Clusters whose sums are made as products; hashes of terms are counted in so many buckets.
+FEW, BUCKETS = 64, 1 << 20
+#: Centroids whose sums are added up together.
+ROWS = 256
 _Batches = Iterator[pa.RecordBatch]
 
 
@@ -69,36 +74,39 @@ def _sums(sets: list[np.ndarray], floor: float) -> Callable[[_Batches], _Batches
                 best = cos.argmax(axis=1)
                 cos = cos[np.arange(len(x)), best]
                 ok = cos >= floor
-                best, cos, held = best[ok], cos[ok], x[ok]
+                best, cos, held = (best, cos, x) if ok.all() else (best[ok], cos[ok], x[ok])
                 n[i] += np.bincount(best, minlength=len(c))
                 near[i] += np.bincount(best, cos, len(c))
+                if len(c) <= FEW:  # a product with the indicators of the clusters is the faster for few
+                    total[i] += (best[:, None] == np.arange(len(c))).astype(np.float32).T @ held
+                    continue
                 order = np.argsort(best, kind="stable")
                 got, start = np.unique(best[order], return_index=True)
                 if len(got):
                     total[i][got] += np.add.reduceat(held[order].astype(np.float64), start)
-        flat = [(i, j) for i, c in enumerate(sets) for j in range(len(c))]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([i for i, _ in flat], pa.int32()), pa.array([j for _, j in flat], pa.int32()),
-            pa.array([int(n[i][j]) for i, j in flat]), pa.array([float(near[i][j]) for i, j in flat]),
-            pa.array([total[i][j].tolist() for i, j in flat], pa.list_(pa.float64())),
-        ], ["s", "c", "n", "near", "total"])
+        for i in range(len(sets)):
+            table = np.column_stack([n[i], near[i], total[i]])
+            for j in range(0, len(table), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([table[j : j + ROWS].tobytes()], pa.binary())], ["s", "c", "part"])
 
     return run
 
 
+def _added(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float64) for x in t.column("part").to_pylist())
+    return pa.table({"s": t.column("s")[:1], "c": t.column("c")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+
 def _pass(vectors: DataFrame, sets: list[np.ndarray], floor: float) -> list[tuple[np.ndarray, float, np.ndarray]]:
-    """(points, sum of cosines, vector sums) for each set of centroids."""
-    rows = vectors.mapInArrow(_sums(sets, floor), "s int, c int, n long, near double, total array<double>").where("n > 0")
-    # the sums are added in the cluster, dimension by dimension: the driver gets one row for each centroid
-    long = rows.select("s", "c", "n", "near", F.posexplode("total").alias("at", "x"))
-    added = long.groupBy("s", "c", "at").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.sum("x").alias("x"))
-    packed = added.groupBy("s", "c").agg(F.max("n"), F.max("near"), F.array_sort(F.collect_list(F.struct("at", "x"))))
-    out = [(np.zeros(len(c), np.int64), 0.0, np.zeros(c.shape)) for c in sets]
-    for s, c, n, near, x in packed.collect():
-        points, total, sums = out[s]
-        points[c], sums[c] = n, [v["x"] for v in x]
-        out[s] = (points, total + near, sums)
-    return out
+    """(points, sum of cosines, vector sums) for each set of centroids. The tasks' sums are added in the cluster, some
+    centroids at a time; the driver gets one row for each of these."""
+    schema = "s int, c int, part binary"
+    added = vectors.mapInArrow(_sums(sets, floor), schema).groupBy("s", "c").applyInArrow(_added, schema)
+    out = [np.zeros((len(c), 2 + c.shape[1])) for c in sets]
+    for r in added.collect():
+        rows = np.frombuffer(r.part, np.float64).reshape(-1, out[r.s].shape[1])
+        out[r.s][r.c : r.c + len(rows)] = rows
+    return [(t[:, 0].astype(np.int64), float(t[:, 1].sum()), t[:, 2:]) for t in out]
 
 
 def _directions(sums: np.ndarray, points: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -151,9 +159,9 @@ def _starts(vectors: DataFrame, points: np.ndarray, weight: np.ndarray, k: int,
     return [np.frombuffer(r.centres, np.float32).reshape(k, -1) for r in sorted(rows, key=lambda r: -r.score)]
 
 
-def spherical_kmeans(vectors: DataFrame, k: int, dim: int, floor: float = -2.0, seed: int = 7) -> np.ndarray:
+def spherical_kmeans(vectors: DataFrame, k: int, dim: int, floor: float = -2.0, seed: int = 7, still: float = STILL) -> np.ndarray:
     """Mean directions (at most k x dim) of the clusters of ``vectors`` (id, vec), ordered by size. ``vectors`` is read
-    some twenty times: give a materialised table. Fewer than k different vectors give fewer clusters, none give none."""
+    some twenty times, until no element of a direction moves by ``still``: give a materialised table. Fewer than k different vectors give fewer clusters, none give none."""
     take = OVERSAMPLING * k
     candidates = np.zeros((0, dim), np.float32)
     for i in range(ROUNDS + 1):
@@ -177,9 +185,9 @@ def spherical_kmeans(vectors: DataFrame, k: int, dim: int, floor: float = -2.0,
         if step == SETTLE:  # the starts have settled on all vectors; now the best goes on
             best = max(range(len(sets)), key=lambda i: got[i][1])
             sets, moved, got = [sets[best]], [moved[best]], [got[best]]
-        still = max(float(np.abs(a - b).max()) for a, b in zip(sets, moved, strict=True)) < STILL
+        move = max(float(np.abs(a - b).max()) for a, b in zip(sets, moved, strict=True))
         sets = moved
-        if still and step >= SETTLE:
+        if move < still and step >= SETTLE:
             break
     n = got[0][0]
     return sets[0][np.argsort(-n, kind="stable")][: int((n > 0).sum())]
@@ -215,8 +223,12 @@ def distinct_vectors(df: DataFrame, ident: str, vector: str, dim: int) -> DataFr
 def labelled_clusters(df: DataFrame, labels: DataFrame, k: int, dim: int = 64, floor: float = 0.55, ident: str = "_ref", vector: str = "v", label: str = "meta_labels") -> tuple[DataFrame, DataFrame]:
     """(members: id, cluster, cosine, label: the stored one or null; right: cluster, right: the label that most of its
     records carry, ties to the least). Repeated label rows count once; null labels don't count."""
-    vectors = distinct_vectors(df, ident, vector, dim)
-    members = assign(vectors, spherical_kmeans(vectors, k, dim, floor), floor)
+    return labelled_members(distinct_vectors(df, ident, vector, dim), labels, k, dim, floor, ident, label)
+
+
+def labelled_members(vectors: DataFrame, labels: DataFrame, k: int, dim: int, floor: float, ident: str = "_ref", label: str = "meta_labels", still: float = STILL) -> tuple[DataFrame, DataFrame]:
+    """The same of materialised (id, vec), each id once."""
+    members = assign(vectors, spherical_kmeans(vectors, k, dim, floor, still=still), floor)
     stored = labels.select(F.col(ident).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null").distinct()
     members = materialize(members.join(stored, "id", "left"), "members")
     votes = members.where("label is not null").groupBy("cluster", "label").count()
@@ -246,26 +258,50 @@ def described(members: DataFrame, right: DataFrame, desc: DataFrame, typical: in
     return out.select(F.col("right").alias("cluster_id"), "size", "mean_cosine", "typical", "stored_members", "stored_counts")
 
 
-def _dense(dim: int) -> Callable[[_Batches], _Batches]:
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, place of the record, hash of the term, occurrences) of a batch's records and their terms."""
+    ids, words, rec, word, times = counted(batch)
+    return ids, rec, hash_array(words.to_numpy(zero_copy_only=False), categorize=False)[word] if len(words) else np.zeros(0, np.uint64), times
+
+
+def _holders(batches: _Batches) -> _Batches:
+    """(bucket, n): pairs of a record and a term of each bucket in the task; bucket -1 has the records with any term."""
+    held = np.zeros(BUCKETS + 1, np.int64)
+    for whole in batches:
+        for b in slices(whole, 1):
+            _, rec, h, _ = _hashed(b)
+            held[:-1] += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            held[-1] += len(np.unique(rec))
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(np.where(some == BUCKETS, -1, some).astype(np.int32)), pa.array(held[some])], ["bucket", "n"])
+
+
+def _features(weight: np.ndarray, dim: int) -> Callable[[_Batches], _Batches]:
     def run(batches: _Batches) -> _Batches:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                b = whole.slice(start, 2048)
-                at, x = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
-                owner = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
-                rows = np.zeros((b.num_rows, dim))
-                np.add.at(rows, (owner, at), x)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "v"])
+            for b in slices(whole, 1, 4 << 20, 4096):
+                ids, rec, h, times = _hashed(b)
+                x = times * weight[(h % np.uint64(BUCKETS)).astype(np.int64)]
+                rest = h // np.uint64(BUCKETS)  # of other bits than the bucket: sign and place
+                at = (rest // np.uint64(2) % np.uint64(dim)).astype(np.int64)
+                rows = np.bincount(rec * dim + at, np.where(rest % np.uint64(2), x, -x), len(ids) * dim).reshape(len(ids), dim)
+                most = np.abs(rows).max(axis=1) if len(rows) else np.zeros(0)
+                small = np.rint(rows[most > 0] * (127 / most[most > 0, None])).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[most > 0], pa.int64()), binary(small)], ["id", "vec"])
 
     return run
 
 
-def hashed_vectors(df: DataFrame, ident: str, text: str, dim: int = 64) -> DataFrame:
-    """(id, v) of texts: signed feature hashing of the terms, weighted by tf * ln(N / (d + 1)); for clustering texts that
-    have no vectors yet. Texts without terms have none."""
-    t = distinctive_terms(df, ident, text, None).select("id", F.xxhash64("word").alias("h"), "weight")
-    signed = F.when(F.shiftright("h", 40).bitwiseAND(F.lit(1)) == 0, F.col("weight")).otherwise(-F.col("weight"))
-    cells = t.select("id", F.struct(F.pmod("h", F.lit(dim)).cast("int").alias("at"), signed.alias("x")).alias("c"))
-    held = cells.groupBy("id").agg(F.collect_list("c").alias("c"))
-    return held.select("id", F.col("c.at").alias("at"), F.col("c.x").alias("x")).mapInArrow(_dense(dim), "id long, v array<double>")
+def hashed_vectors(df: DataFrame, ident: str, text: str, dim: int = 512, least: int = 5) -> DataFrame:
+    """Materialised (id, vec) of texts, a byte a dimension: signed feature hashing of the terms, weighted by tf * ln(N / (d + 1)); for
+    clustering texts that have no vectors yet. The records d that hold a term are counted by ``BUCKETS`` hashes, so the
+    table of weights has a bound whatever the vocabulary. Terms that fewer than ``least`` records hold say little
+    about similarity and much noise, and count nothing. Texts without terms that count have no row."""
+    texts = records(df, ident, text, None)
+    counts = texts.mapInArrow(_holders, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
+    held = np.zeros(BUCKETS)
+    held[bucket[bucket >= 0]] = n[bucket >= 0]
+    total = int(n[bucket < 0].sum())
+    weight = np.where(held >= least, np.log(max(1, total) / (held + 1)), 0.0)
+    return materialize(texts.mapInArrow(_features(weight, dim), "id long, vec binary"), "features")

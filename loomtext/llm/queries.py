@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import normalize
-from loomtext.llm.cluster import described, hashed_vectors, labelled_clusters, mislabelled
+from loomtext.llm.cluster import described, hashed_vectors, labelled_clusters, labelled_members, mislabelled
 from loomtext.llm.knn import nearest_neighbours, similar_groups, similar_pairs
 from loomtext.llm.leaks import leaked_items
 from loomtext.llm.lookalike import canonical_columns, lookalike_groups, lookalike_pairs
@@ -87,13 +87,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return described(*_clusters(spark, d), _table(spark, d, "cluster_desc"))
+    return described(*_clusters(spark, d), _table(spark, d, "cluster_desc")).withColumn("mean_cosine", F.round("mean_cosine", 3) + 0.0)
 
 
 def p6_text_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the parsed texts themselves, by hashed weighted features, held against the same labels."""
-    vectors = hashed_vectors(_table(spark, d, "parsed_documents"), "_ref", "text", 256).withColumnRenamed("id", "_ref")
-    members, right = labelled_clusters(vectors, _table(spark, d, "cluster_master_labels"), _stored_clusters(spark, d), dim=256, floor=0.0)
+    vectors = hashed_vectors(_table(spark, d, "parsed_documents"), "_ref", "text")
+    members, right = labelled_members(vectors, _table(spark, d, "cluster_master_labels"), _stored_clusters(spark, d), 512, 0.0, still=1e-3)
     return described(members, right, _table(spark, d, "cluster_desc"))
 
 
@@ -193,6 +193,22 @@ met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM hd x JOIN hd y ON x.e = y.e AN
 pairs AS (SELECT a, b FROM (SELECT a, b, x.n AS na, y.n AS nb, count(*) AS common FROM met JOIN e x ON x.id = a JOIN e y ON y.id = b AND y.e = x.e GROUP BY ALL) WHERE common >= 0.8 * greatest(na, nb) - 1e-9)"""
 
 
+
+
+def _lloyd(steps: int = 8) -> str:
+    """Clusters in SQL: mean directions of the stored labels, moved as spherical k-means moves them; members (r, c, cosine)."""
+    unit = _UNITS.replace("u AS (SELECT r, v, sqrt(list_dot_product(v, v)) AS n FROM ok)", "w AS (SELECT r, min(v) AS v FROM ok GROUP BY r), u AS MATERIALIZED (SELECT r, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM w)")
+    lab = "lab AS (SELECT DISTINCT _ref AS r, meta_labels AS label FROM cluster_master_labels WHERE _ref IS NOT NULL AND meta_labels IS NOT NULL)"
+    parts, source = [unit, lab], "(SELECT r, label AS c FROM lab)"
+    for i in range(steps):
+        parts.append(f"s{i} AS (SELECT c, ix, sum(v[ix]) AS x FROM {source} JOIN u USING (r), range(1, 65) g(ix) GROUP BY c, ix), l{i} AS (SELECT c, sqrt(sum(x * x)) AS n FROM s{i} GROUP BY c), m{i} AS MATERIALIZED (SELECT c, list(x / n ORDER BY ix) AS m FROM s{i} JOIN l{i} USING (c) GROUP BY c)")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, c, cosine FROM (SELECT r, c, list_dot_product(v, m) AS cosine, row_number() OVER (PARTITION BY r ORDER BY list_dot_product(v, m) DESC) AS k FROM u, m{i}) WHERE k = 1 AND cosine >= 0.55)")
+        source = f"a{i}"
+    parts.append(f"members AS (SELECT {source}.r, c, cosine, label FROM {source} LEFT JOIN lab ON lab.r = {source}.r)")
+    parts.append("votes AS (SELECT c, label, count(*) AS n FROM members WHERE label IS NOT NULL GROUP BY c, label), rgt AS (SELECT c, arg_max(label, n * 1000 - label) AS best FROM votes GROUP BY c)")
+    return ", ".join(parts)
+
+
 _LINKED = """ends AS (SELECT a AS rep, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach AS (SELECT DISTINCT rep, rep AS low FROM members UNION SELECT ends.other, reach.low FROM reach JOIN ends ON ends.rep = reach.rep),
 grp AS (SELECT rep, min(low) AS group_id FROM reach GROUP BY rep),
@@ -213,6 +229,10 @@ c AS (SELECT DISTINCT u.* FROM u JOIN members ON rep = r), pairs AS (SELECT a.r
         "p1_groups": _ALIKE + ", v AS (SELECT field, form, raw, count(*) AS n, min(_ref) AS low FROM f GROUP BY ALL), g AS (SELECT field, form, sum(n) AS total, min(low) AS class_id FROM v GROUP BY ALL) SELECT f.field, _ref, class_id, (total - n)::BIGINT AS n_links FROM f JOIN v ON f.field = v.field AND f.form = v.form AND f.raw = v.raw JOIN g ON f.field = g.field AND f.form = g.form",
         "p2_found": _NEAR + " SELECT a.id AS ref_a, b.id AS ref_b FROM members a JOIN members b ON a.rep = b.rep AND a.id < b.id UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM pairs JOIN members x ON x.rep = a JOIN members y ON y.rep = b",
         "p2_groups": _NEAR + ", " + _LINKED,
+        "p6_found": _lloyd() + " SELECT DISTINCT r AS _ref, best AS cluster_id FROM members JOIN rgt USING (c) WHERE label <> best",
+        "p6_clusters": _lloyd() + """, once AS (SELECT DISTINCT c, r, cosine FROM members), near AS (SELECT c, list(r ORDER BY k) AS typical FROM (SELECT c, r, row_number() OVER (PARTITION BY c ORDER BY cosine DESC, r) AS k FROM once) WHERE k <= 5 GROUP BY c),
+sz AS (SELECT c, count(*) AS size, round(avg(cosine), 3) + 0.0 AS mean_cosine FROM once GROUP BY c), st AS (SELECT label, count(*) AS n FROM (SELECT DISTINCT r, label FROM members WHERE label IS NOT NULL) GROUP BY label), ds AS (SELECT cluster_id, sum(counts)::BIGINT AS n FROM cluster_desc GROUP BY cluster_id)
+SELECT best AS cluster_id, size, mean_cosine, typical, st.n AS stored_members, ds.n AS stored_counts FROM sz JOIN near USING (c) LEFT JOIN rgt USING (c) LEFT JOIN st ON st.label = best LEFT JOIN ds ON ds.cluster_id = best""",
         "p7_groups": similar + ", " + _LINKED,
         "p7_neighbours": _UNITS.replace("SELECT DISTINCT _ref AS r, v::DOUBLE[] AS v FROM", "SELECT _ref AS r, min(v::DOUBLE[]) AS v FROM").replace("len(list_filter(v, lambda x: x <> 0)) > 0)", "len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY _ref)")
         + " SELECT _ref, rank::INTEGER AS rank, near, round(round(cosine, 7), 3) + 0.0 AS cosine FROM (SELECT a.r AS _ref, b.r AS near, list_dot_product(a.v, b.v) / (a.n * b.n) AS cosine, row_number() OVER (PARTITION BY a.r ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 7) DESC, b.r) AS rank FROM u a JOIN u b ON a.r % 50 = 0 AND a.r <> b.r) WHERE rank <= 10",

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The float32 rows of a binary column without nulls."""
+    """The float32 rows of a binary column without nulls. Rows of one byte a dimension are brought to length one."""
     n = len(column)
     if not n:
         return np.zeros((0, dim), np.float32)
-    data, at = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32, n + 1 + column.offset)[column.offset]
-    return np.frombuffer(data, np.float32, n * dim, int(at)).reshape(n, dim)
+    ends = np.frombuffer(column.buffers()[1], np.int32, n + 1 + column.offset)[column.offset :]
+    data, at = column.buffers()[2], int(ends[0])
+    if ends[1] - at == dim:
+        rows = np.frombuffer(data, np.int8, n * dim, at).reshape(n, dim).astype(np.float32)
+        rows *= 1 / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+        return rows
+    return np.frombuffer(data, np.float32, n * dim, at).reshape(n, dim)
 
 
 def binary(rows: np.ndarray) -> pa.Array:

@@ -46,11 +46,13 @@ def test_clusters(spark):
 
 def test_hashed_vectors(spark):
     topics = ["heart rate rhythm beat pulse", "gene protein cell membrane"]
-    texts = [(i, f"{topics[i % 2]} {topics[i % 2].split()[i % 4]}") for i in range(40)] + [(90, None), (91, "")]
-    v = cluster.hashed_vectors(spark.createDataFrame(texts, "_ref long, text string"), "_ref", "text", 32)
+    texts = [(i, f"{topics[i % 2]} {topics[i % 2].split()[i % 4]} own{i}") for i in range(40)] + [(90, None), (91, ""), (92, "rare words"), (None, topics[0]), (3, topics[1])]
+    v = cluster.hashed_vectors(spark.createDataFrame([(*r, 1) for r in texts], "_ref long, text string, vec int"), "_ref", "text", 32)
+    assert sorted(r.id for r in v.collect()) == list(range(40)) and {len(r.vec) for r in v.collect()} == {32}
     lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "_ref long, meta_labels int")
-    members, right = cluster.labelled_clusters(v.withColumnRenamed("id", "_ref"), lab, 2, dim=32, floor=0.0)
+    members, right = cluster.labelled_members(v, lab, 2, 32, 0.0)
     assert members.count() == 40 and cluster.mislabelled(members, right).count() == 0
+    assert cluster.hashed_vectors(spark.createDataFrame([], "_ref long, text string"), "_ref", "text").count() == 0
 
 
 def brute_pairs(x, t):
@@ -161,3 +163,16 @@ def test_cells_lose_no_pair(monkeypatch):
     got = knn._near_pairs(index, 0.97)(pa.Table.from_batches(knn._pair_rows(index, 0.97)(iter([batch]))))
     expected = brute_pairs(u.astype(float), 0.97)
     assert len(expected) > 700 and set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)) >= expected
+
+
+def test_many_clusters(spark):
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(150, 64))
+    truth = np.arange(3000) % 150
+    x = c[truth] + 0.25 * rng.normal(size=(3000, 64))
+    vectors = cluster.distinct_vectors(frame(spark, x), "_ref", "v", 64)
+    centres = cluster.spherical_kmeans(vectors, 150, 64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = (u @ centres.T).argmax(axis=1)
+    whole = sum(len(set(label[truth == t].tolist())) == 1 for t in range(150))
+    assert len(centres) == 150 and whole >= 135
