@@ -113,6 +113,35 @@ def csv_source(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("_ref").cast("long"), F.col("origin").alias("src_file"), "title", "abstract")
 
 
+@query("SELECT _ref, batch::VARCHAR AS batch, coalesce(replace(title, chr(13), ' '), '') AS title FROM source_csv")
+def source_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Source rows laid out in two folders of CSV files, read together; a file of another kind beside them isn't read."""
+    src = _t(spark, d, "source_csv").select("_ref", "batch", F.replace("title", F.lit("\r"), F.lit(" ")).alias("title"))
+    paths = [shared_path(spark, "source") for _ in range(2)]
+    for i, path in enumerate(paths):
+        tables.write_csv(src.where(F.pmod("_ref", F.lit(2)) == i), path)
+        src.limit(1).select("title").write.mode("append").text(path)
+    return tables.read_sources(spark, paths, ["_ref", "batch", "title"]).select(F.col("_ref").cast("long"), "batch", "title")
+
+
+@query("SELECT unnest(['_ref', 'batch', 'title']) AS name, unnest([0, 1, 2])::INTEGER AS at")
+def csv_header(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "header")
+    tables.write_csv(_t(spark, d, "source_csv").select("_ref", "batch", "title"), path)
+    return spark.createDataFrame([(c, i) for i, c in enumerate(tables.csv_columns(spark, path))], "name string, at int")
+
+
+_LAST = "(SELECT _ref, max(text) AS text FROM parsed_documents WHERE _ref IS NOT NULL GROUP BY _ref)"
+
+
+@query(f"SELECT _ref, coalesce(text, '') AS text FROM {_LAST}")
+def parsed_source(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed texts written as a corpus and read again."""
+    path = shared_path(spark, "corpus")
+    tables.write_csv(_t(spark, d, "parsed_documents").where("_ref is not null").groupBy("_ref").agg(F.max("text").alias("text")), path)
+    return tables.read_corpus(spark, path).select("_ref", "text")
+
+
 # --- phrases and parse ---------------------------------------------------------------------------------------------
 
 
@@ -148,6 +177,14 @@ def abbreviations_top(spark: SparkSession, d: str) -> DataFrame:
     return phrases.most_frequent(abbreviations_dedupe(spark, d))
 
 
+@query(_PART + ' SELECT phrase, abbr, "count", len(string_split(phrase, \' \'))::INTEGER AS n FROM deduped')
+def stored_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The abbreviations' report, and the phrases read from it."""
+    path = shared_path(spark, "phrases")
+    tables.save_reports({"abbreviations": abbreviations_dedupe(spark, d)}, path)
+    return tables.read_phrases(spark, f"{path}/reports/abbreviations").select("phrase", "abbr", "count", F.size("words").alias("n"))
+
+
 @query(_PART + " SELECT p_partkey, 'see ' || replace('PHRASE ' || long.phrase, ' ', '_') || ' of many' AS text FROM p JOIN long USING (abbr)")
 def parse_acronyms(spark: SparkSession, d: str) -> DataFrame:
     docs = _initials(spark, d).select("p_partkey", F.concat(F.lit("see "), F.col("abbr"), F.lit(" of  many")).alias("text"))
@@ -357,6 +394,29 @@ def stored_counts(spark: SparkSession, d: str) -> DataFrame:
     return back.unionAll(spark.createDataFrame([(tables.DOCUMENT_COUNTER, n)], back.schema))
 
 
+def _stored_vectors(spark: SparkSession, d: str) -> str:
+    """The vectors of all methods, with their reduced ones, in a store."""
+    v = _t(spark, d, "document_vectors").select(F.col("score_method").alias("method"), "_ref", F.col("v").cast("array<double>").alias("vec"), F.col("vx").cast("array<double>").alias("vec_reduced"))
+    path = shared_path(spark, "store")
+    tables.save_vectors(v.where("method is not null and vec is not null and not exists(vec, x -> x is null or isnan(x))").distinct(), path)
+    return path
+
+
+_STORE = "SELECT DISTINCT score_method AS method, _ref, v, vx FROM document_vectors WHERE score_method IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0"
+
+
+@query(f"SELECT DISTINCT method FROM ({_STORE})")
+def score_methods(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in tables.score_methods(spark, _stored_vectors(spark, d))], "method string")
+
+
+@query(f"SELECT _ref, len(vx) AS n, round(vx[1]::DOUBLE, 6) + 0.0 AS first, round(vx[16]::DOUBLE, 6) + 0.0 AS last FROM ({_STORE}) WHERE method = 'unique_IDF'")
+def stored_reduced(spark: SparkSession, d: str) -> DataFrame:
+    """The reduced vectors of one method."""
+    held = tables.load_vectors(spark, _stored_vectors(spark, d), "unique_IDF", use_reduced=True)
+    return held.select("_ref", F.when(F.col("vec").isNotNull(), F.size("vec")).cast("long").alias("n"), _r(F.get("vec", F.lit(0))).alias("first"), _r(F.get("vec", F.lit(15))).alias("last"))
+
+
 # --- clusters ------------------------------------------------------------------------------------------------------
 
 
@@ -482,6 +542,38 @@ def master_labels(spark: SparkSession, d: str) -> DataFrame:
     return analyze.master_labels(_t(spark, d, "source_csv"), labels, analyze.dispersion_order(None, labels), ["pmid", "journal"])
 
 
+@query(f"WITH {_CENTROIDS}" + """, n AS (SELECT cluster_id, count(*) AS counts FROM v GROUP BY cluster_id),
+dist AS (SELECT cluster_id, avg(1 - list_cosine_similarity(v.vec, c.vec)) AS x FROM v JOIN c USING (cluster_id) GROUP BY cluster_id)
+SELECT cluster_id, counts, round(x, 6) + 0.0 AS avg_centroid_distance FROM n JOIN dist USING (cluster_id)""")
+def cluster_desc_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The report stored, overwritten and loaded again, as it is shown when dispersion is off (its words are in ``cluster_desc``)."""
+    v, path = _vectors(spark, d), shared_path(spark, "clusters")
+    c = _centroids(spark, d)
+    words = spark.createDataFrame([("word", [1.0] * DIM)], "word string, vec array<double>")
+    desc = analyze.cluster_desc(v.select("_ref", "vec"), v.select("_ref", "cluster_id"), c, words, DIM)
+    tables.save_tables({"desc": desc.limit(1), "centroids": c}, path)
+    tables.save_tables({"desc": desc}, path)
+    held = tables.load_tables(spark, path, ["desc", "centroids"])
+    shown = analyze.without_dispersion(held["desc"]).join(held["centroids"].select("cluster_id"), "cluster_id")
+    return shown.select("cluster_id", "counts", _r("avg_centroid_distance").alias("avg_centroid_distance"))
+
+
+_HELD = """WITH l AS (SELECT _ref, min(meta_labels) AS cluster_id FROM cluster_master_labels WHERE meta_labels IS NOT NULL GROUP BY _ref),
+v AS (SELECT _ref, min(v::DOUBLE[]) AS vec FROM document_vectors WHERE score_method = 'unique_IDF' AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 GROUP BY _ref),
+h AS (SELECT cluster_id, vec, len(list_filter(vec, lambda x: x <> 0)) > 0 AS ok FROM v JOIN l USING (_ref)),
+cs AS (SELECT cluster_id, ix, avg(vec[ix]) AS x FROM h, range(1, 65) g(ix) GROUP BY cluster_id, ix), c AS (SELECT cluster_id, list(x ORDER BY ix) AS c FROM cs GROUP BY cluster_id)"""
+
+
+@query(_HELD + " SELECT cluster_id, round(avg(1 - list_cosine_similarity(vec, c)), 6) + 0.0 AS avg_centroid_distance FROM h JOIN c USING (cluster_id) WHERE ok GROUP BY cluster_id")
+def zero_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Distances to the centroids of the stored clusters, of stored vectors some of which are zero and left out."""
+    labels = _t(spark, d, "cluster_master_labels").where("meta_labels is not null").groupBy("_ref").agg(F.min("meta_labels").alias("cluster_id"))
+    v = _t(spark, d, "document_vectors").where("score_method = 'unique_IDF' and _ref is not null").select("_ref", F.col("v").cast("array<double>").alias("vec"))
+    finite = F.coalesce((F.size("vec") == DIM) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
+    held = analyze.members(v.where(finite).groupBy("_ref").agg(F.min("vec").alias("vec")), labels)
+    return analyze.centroid_distance(held, metacluster.centroids(held, DIM)).withColumn("avg_centroid_distance", _r("avg_centroid_distance"))
+
+
 # --- prediction ----------------------------------------------------------------------------------------------------
 
 FOLDS = 5
@@ -581,6 +673,13 @@ def forest_predict(spark: SparkSession, d: str) -> DataFrame:
     return predict.cross_validate(_truth(spark, d), predict.forest_predict, 10, lambda t: predict.smote(t, DIM))
 
 
+@query("SELECT vec_id AS _ref, 96::BIGINT AS n, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[32]::DOUBLE, 6) + 0.0 AS last FROM embeddings")
+def meta_features(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d).select("_ref", "vec")
+    both = predict.meta_features([v, v.withColumn("vec", F.slice("vec", 1, DIM // 2))])
+    return both.select("_ref", F.size("vec").cast("long").alias("n"), _r(F.get("vec", F.lit(0))).alias("first"), _r(F.element_at("vec", -1)).alias("last"))
+
+
 @query()
 def meta_predict(spark: SparkSession, d: str) -> DataFrame:
     """The halves of the vectors stand for two methods."""
