@@ -52,7 +52,7 @@ BLOCK = 32768
 #: have a pair in.
 DIVIDE, CELL = 6144, 512
 #: Share of the nearest vectors whose leaves a neighbour search shall open, and the sampled queries that tell how many.
-RECALL, PILOT = 0.95, 512
+RECALL, PILOT = 0.98, 512
 #: Four-bit codes: codewords each, dimensions of a subspace (for pairs, for neighbours), weight of the parallel error.
 WORDS, PAIR_WIDTH, WIDTH, PARALLEL = 16, 1, 4, 4.0
 #: Pairs that are broadcast to fetch their vectors, at most; beyond it the joins are shuffled.
@@ -379,7 +379,7 @@ def similar_groups(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: i
     return linked_rows(*_linked(df, ident, vector, dim, threshold, sample))
 
 
-def nearest_neighbours(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: int = 64, k: int = 10, every: int = 50, probes: int = 16, rerank: int = 400, sample: int = SAMPLE) -> DataFrame:
+def nearest_neighbours(df: DataFrame, ident: str = "_ref", vector: str = "v", dim: int = 64, k: int = 10, every: int = 50, probes: int = 16, rerank: int = 800, sample: int = SAMPLE) -> DataFrame:
     """(id, rank, near, cosine): for every id divisible by ``every`` the k most similar other ids of the whole collection
     (ties, at seven digits: the least id), searched in ``probes`` leaves at least, and in as many as hold ``RECALL`` of the
     neighbours in the sample. An id counts once. Queries of less than k other vectors get what
