@@ -40,8 +40,9 @@ from loomtext.llm.vectors import binary, matrix, unit_vectors
 from loomtext.llm.words import slices
 from loomtext.plans.shared import materialize, small
 
-#: Vectors that the index is fitted on, at most; those that the codewords are fitted on.
-SAMPLE, CODED = 20_000, 8_192
+#: Vectors that the index is fitted on: the first number, and more where the leaves need them, up to the other (256 MB of 64
+#: dimensions at the driver); those that the codewords are fitted on.
+SAMPLE, MOST, CODED = 20_000, 1_000_000, 8_192
 #: Vectors a leaf shall hold; sampled vectors that a leaf needs.
 LEAF, PER_LEAF = 1024, 24
 #: Where pairs are sought, vectors a leaf shall hold: the first number while there are few leaves, then up to the other. The
@@ -71,6 +72,20 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c.astype(np.float32)
 
 
+#: Centroids that are fitted at once; more are fitted in two levels.
+FLAT = 1024
+
+
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centroids (a few more or fewer in two levels: those of the second are shared out by the size of the first's)."""
+    if k <= FLAT:
+        return _kmeans(x, k, rng)
+    first = _kmeans(x, math.ceil(math.sqrt(k)), rng)
+    home = np.concatenate([(x[i : i + 8192] @ first.T).argmax(axis=1) for i in range(0, len(x), 8192)])
+    parts = [x[home == i] for i in range(len(first))]
+    return np.concatenate([_kmeans(p, min(len(p), max(1, round(k * len(p) / len(x)))), rng) for p in parts if len(p)])
+
+
 class Index:
     """Centroids of the leaves, codewords, number of blocks of each leaf. ``width``: dimensions of a subspace, or the
     next smaller divisor of their number."""
@@ -78,14 +93,14 @@ class Index:
     def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, width: int = WIDTH, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         n, self.dim = sample.shape
-        leaves = max(1, min(math.ceil(total / leaf), n // PER_LEAF))
-        self.leaves = _kmeans(sample, leaves, rng)
+        self.leaves = _centres(sample, max(1, min(math.ceil(total / leaf), n // PER_LEAF)), rng)
+        self.rows = max(64, (1 << 23) // len(self.leaves))  # vectors whose products with all leaves fit a task
         self.width = next(w for w in range(min(width, self.dim), 0, -1) if self.dim % w == 0)
         self.subspaces = self.dim // self.width
-        best = np.concatenate([self.nearest(sample[i : i + 8192], 1)[:, 0] for i in range(0, n, 8192)])
+        best = np.concatenate([self.nearest(sample[i : i + self.rows], 1)[:, 0] for i in range(0, n, self.rows)])
         some = rng.permutation(n)[:CODED]
         self.words = self._codewords(sample[some], sample[some] - self.leaves[best[some]], rng)
-        share = np.bincount(best, minlength=leaves) / n * total
+        share = np.bincount(best, minlength=len(self.leaves)) / n * total
         self.blocks = np.maximum(1, np.ceil(share / BLOCK)).astype(np.int32)
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
@@ -95,10 +110,11 @@ class Index:
         part = np.argpartition(-cos, probes - 1, axis=1)[:, :probes]
         return np.take_along_axis(part, np.argsort(-np.take_along_axis(cos, part, axis=1), axis=1, kind="stable"), axis=1)
 
-    def apart(self) -> np.ndarray:
-        """Distances of the centroids, rounded up."""
+    def apart(self, home: np.ndarray) -> np.ndarray:
+        """Distances of the centroids ``home`` from all, rounded up."""
+        some, at = np.unique(home, return_inverse=True)
         square = (self.leaves * self.leaves).sum(axis=1)
-        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.leaves @ self.leaves.T, 0) + 1e-6)
+        return np.sqrt(np.maximum(square[some, None] + square - 2 * self.leaves[some] @ self.leaves.T, 0) + 1e-6)[at]
 
     def _codewords(self, x: np.ndarray, left: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Per subspace 16 codewords: alternately each part takes the word of the least anisotropic loss (the parallel
@@ -152,8 +168,8 @@ def _bytes(column: pa.ChunkedArray) -> np.ndarray:
 
 def _across(cos: np.ndarray, home: np.ndarray, apart: np.ndarray, sine: np.ndarray | float) -> np.ndarray:
     """Which cells a vector is near to, queries x cells: the sine of its angle with the plane that bisects the cell and
-    its own is ``sine`` at most. ``cos`` holds its inner products with the centres, ``apart`` the centres' distances."""
-    return np.take_along_axis(cos, home[:, None], axis=1) - cos <= sine * apart[home] + 1e-5
+    its own is ``sine`` at most. ``cos`` holds its inner products with the centres, ``apart`` their distances from its own."""
+    return np.take_along_axis(cos, home[:, None], axis=1) - cos <= sine * apart + 1e-5
 
 
 def _spread(index: Index, leaf: np.ndarray, ids: np.ndarray, stored: bool, columns: dict[str, np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +193,9 @@ def _pair_rows(index: Index, threshold: float) -> Callable[[Iterator[pa.RecordBa
     and as a query in all that can hold one of its pairs. ``wide`` is the bound P, ``error`` the length of the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart, half, sine = index.apart(), math.sqrt((1 - threshold) / 2), math.sqrt(1 - threshold**2)
+        half, sine = math.sqrt((1 - threshold) / 2), math.sqrt(1 - threshold**2)
         for whole in batches:
-            for b in slices(whole, 1, 2 << 20):
+            for b in slices(whole, 1, 2 << 20, index.rows):
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1), index.dim)
                 cos = x @ index.leaves.T
                 home = cos.argmax(axis=1)
@@ -189,7 +205,7 @@ def _pair_rows(index: Index, threshold: float) -> Callable[[Iterator[pa.RecordBa
                 wide = np.maximum(threshold * p, p) + sine * np.linalg.norm(e - p[:, None] * x, axis=1)
                 held = {"home": home.astype(np.int32), "wide": wide.astype(np.float32), "error": np.linalg.norm(e, axis=1).astype(np.float32), "code": code}
                 yield from _spread(index, home, ids, True, held)
-                near = _across(cos, home, apart, half)
+                near = _across(cos, home, index.apart(home), half)
                 near[np.arange(len(ids)), home] = index.blocks[home] > 1
                 who, to = np.nonzero(near)
                 for at in range(0, len(who), 16384):
@@ -207,7 +223,7 @@ def _near_rows(index: Index, probes: int, every: int) -> Callable[[Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1, 2 << 20):
+            for b in slices(whole, 1, 2 << 20, index.rows):
                 ids, x = b.column(0).to_numpy(), matrix(b.column(1), index.dim)
                 home = index.nearest(x, 1)[:, 0]
                 yield from _spread(index, home, ids, True, {"code": index.encode(x, home), "vec": x})
@@ -238,7 +254,8 @@ def _cells(y: np.ndarray, error: np.ndarray, asking: np.ndarray, kept: np.ndarra
     goes = np.zeros((len(asking), cells), bool)
     for i in range(0, len(asking), 8192):
         cos = y[asking[i : i + 8192]] @ centres.T
-        goes[i : i + 8192] = _across(cos, cos.argmax(axis=1), apart, far[i : i + 8192, None])
+        own = cos.argmax(axis=1)
+        goes[i : i + 8192] = _across(cos, own, apart[own], far[i : i + 8192, None])
     order = np.argsort(home, kind="stable")
     edges = np.searchsorted(home[order], np.arange(cells + 1))
     for c in range(cells):
@@ -316,7 +333,7 @@ def _probes(index: Index, sample: np.ndarray, k: int, least: int) -> int:
     farther off than in the collection, so the number is rather too large."""
     if len(index.leaves) <= least or len(sample) <= k:
         return least
-    home = np.concatenate([index.nearest(sample[i : i + 8192], 1)[:, 0] for i in range(0, len(sample), 8192)])
+    home = np.concatenate([index.nearest(sample[i : i + index.rows], 1)[:, 0] for i in range(0, len(sample), index.rows)])
     asking = np.random.default_rng(7).choice(len(sample), min(PILOT, len(sample)), replace=False)
     ranks = []
     for at in range(0, len(asking), 64):
@@ -329,11 +346,13 @@ def _probes(index: Index, sample: np.ndarray, k: int, least: int) -> int:
     return max(least, int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1)
 
 
-def _sampled(units: DataFrame, total: int, dim: int, sample: int) -> np.ndarray:
-    share = min(1.0, sample / max(1, total))
-    picked = units.where((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))) | F.lit(share == 1.0))
+def _sampled(units: DataFrame, total: int, dim: int, sample: int, leaf: int) -> np.ndarray:
+    """As many vectors as the leaves need, ``sample`` at least and ``MOST`` at most (or ``sample``, if that is more)."""
+    wanted = max(sample, min(MOST, total // leaf * PER_LEAF))
+    share = min(1.0, wanted / max(1, total))
+    picked = units.where((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40))) | F.lit(share == 1.0))
     table = picked.select("vec").toArrow()
-    return np.concatenate([matrix(c, dim) for c in table.column("vec").chunks] or [np.zeros((0, dim), np.float32)])[:sample]
+    return np.concatenate([matrix(c, dim) for c in table.column("vec").chunks] or [np.zeros((0, dim), np.float32)])[:wanted]
 
 
 def _pair_leaf(total: int) -> int:
@@ -350,7 +369,7 @@ def _linked(df: DataFrame, ident: str, vector: str, dim: int, threshold: float,
     members = materialize(members.select("id", "rep"), "members")
     vectors = classes.select("id", "vec")
     total = vectors.count()
-    rows = _sampled(vectors, total, dim, sample)
+    rows = _sampled(vectors, total, dim, sample, _pair_leaf(total))
     if not len(rows):
         return members, spark.createDataFrame([], "a long, b long")
     index = Index(rows, total, _pair_leaf(total), PAIR_WIDTH)
@@ -386,7 +405,7 @@ def nearest_neighbours(df: DataFrame, ident: str = "_ref", vector: str = "v", di
     there is."""
     units = materialize(unit_vectors(df, ident, vector, dim).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     total = units.count()
-    rows = _sampled(units, total, dim, sample)
+    rows = _sampled(units, total, dim, sample, LEAF)
     if not len(rows):
         return df.sparkSession.createDataFrame([], "id long, rank int, near long, cosine double")
     index = Index(rows, total)

@@ -146,8 +146,8 @@ def _needed(similarity: float) -> Column:
 
 def _hot(source: DataFrame, total: int, least: int, shape: tuple[int, int]) -> DataFrame:
     """The band keys that many of the sampled records hold; their number is bounded by the sample's size."""
-    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 20))
-    some = source.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < share).mapInArrow(_banded(least, *shape), "row long, c1 long")
+    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 40))
+    some = source.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) < share).mapInArrow(_banded(least, *shape), "row long, c1 long")
     return some.select(_key("row"), "c1").distinct().groupBy("key").count().where(F.col("count") >= HOT).select("key")
 
 

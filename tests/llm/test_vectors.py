@@ -105,6 +105,24 @@ def test_bound_of_decoded_products_loses_nothing():
         assert (exact >= t).sum() > 2000 and ((y @ y.T)[exact >= t] >= least[exact >= t] - 1e-4).all()
 
 
+def test_leaves_of_two_levels(monkeypatch):
+    monkeypatch.setattr(knn, "FLAT", 30)
+    x, _ = planted(4000, noise=0.05)
+    rng = np.random.default_rng(6)
+    for i in range(0, 3000, 2):
+        x[i + 1] = x[i] + np.linalg.norm(x[i]) * 0.24 / 8 * rng.normal(size=64)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = knn.Index(u, 4000, 40, 1)
+    assert 90 <= len(index.leaves) <= 110
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), binary(u)], ["id", "vec"])
+    laid = pa.Table.from_batches(knn._pair_rows(index, 0.97)(iter([batch])))
+    got, leaf = set(), laid.column("leaf").to_numpy()
+    for i in np.unique(leaf):
+        t = knn._near_pairs(index, 0.97)(laid.filter(pa.array(leaf == i)).combine_chunks())
+        got |= set(zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True))
+    assert got >= brute_pairs(u.astype(float), 0.97)
+
+
 def test_neighbours_recall(spark):
     x, _ = planted(3000, noise=0.15)
     df = frame(spark, x, [(50, x[50].tolist()), *ODD])
