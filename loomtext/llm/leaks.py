@@ -50,7 +50,9 @@ def _runs(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def _least(values: np.ndarray, length: int) -> np.ndarray:
-    """Minimum of every ``length`` consecutive values; widths are doubled, and the last two overlap."""
+    """Minimum of every ``length`` consecutive values, none if there are fewer; widths are doubled, and the last two overlap."""
+    if len(values) < length:
+        return values[:0]
     out, width = values, 1
     while width < length:
         step = min(width, length - width)
