@@ -13,6 +13,8 @@ import numpy as np
 FIRST_RATE, LAST_RATE = 0.025, 0.0001
 #: Positions of a batch, gradients of one row that a batch counts in full.
 BATCH, FULL = 128, 16
+#: Positions whose rows are gathered once and multiplied as a matrix.
+SIDE = 16
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +63,12 @@ class Plan:
         return np.minimum(1, np.sqrt(x) + x)
 
 
-def _positions(texts: list[np.ndarray], plan: Plan, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(words, contexts padded by -1) of all positions that have a context; windows are shortened at random."""
-    chance = plan.kept
-    thinned = [t[rng.random(len(t)) < chance[t]] for t in texts]
-    flat = np.concatenate([np.zeros(0, np.int64), *thinned])
-    text = np.repeat(np.arange(len(thinned)), [len(t) for t in thinned])
+def _positions(flat: np.ndarray, sizes: np.ndarray, plan: Plan, chance: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(words, contexts padded by -1) of all positions that have a context, of texts of these sizes one after another; windows
+    are shortened at random."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    kept = rng.random(len(flat)) < chance[flat]
+    flat, text = flat[kept], text[kept]
     width = rng.integers(1, plan.window + 1, len(flat))
     around = np.full((len(flat), 2 * plan.window), -1, np.int64)
     at = np.arange(len(flat))
@@ -82,42 +84,101 @@ def _positions(texts: list[np.ndarray], plan: Plan, rng: np.random.Generator) ->
     return flat[some], around[some]
 
 
-def _add(rows: np.ndarray, at: np.ndarray, change: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    times = np.diff(np.append(first, len(at)))
-    rows[at[first]] += np.add.reduceat(change[order], first, axis=0) * np.minimum(1, FULL / times)[:, None].astype(np.float32)
-
-
-def train(texts: Iterator[list[np.ndarray]], inner: np.ndarray, outer: np.ndarray, plan: Plan, rates: tuple[float, float], total: int, rng: np.random.Generator) -> None:
-    """One pass over the texts (in groups), changing ``inner`` (words) and ``outer`` (nodes or words) in place; the rate goes
+def _distinct(at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, the place of every row among them); ``slot`` has room for a number a row."""
+    every = np.arange(len(at))
+    slot[at] = every
+    rows = at[slot[at] == every]
+    slot[rows] = np.arange(len(rows))
+    return rows, slot[at]
+
+
+def _weights(row: np.ndarray, col: np.ndarray, shape: tuple[int, int], weight: np.ndarray | None = None) -> np.ndarray:
+    """The matrix with the sum of the weights (or the number) of the pairs that fall on each place."""
+    return np.bincount(row * shape[1] + col, weight, minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape)
+
+
+def _share(times: np.ndarray) -> np.ndarray:
+    return np.minimum(1, FULL / np.maximum(times, 1)).astype(np.float32)
+
+
+def _gradient(x: np.ndarray, wanted: np.ndarray, rate: np.float32) -> np.ndarray:
+    """Of products ``x`` of which ``wanted`` has the sign, times their number."""
+    return wanted * rate / (1 + np.exp(np.clip(np.sign(wanted) * x, -30, 30)))
+
+
+def _step(h: np.ndarray, outer: np.ndarray, row: np.ndarray, to: np.ndarray, sign: np.ndarray, rate: np.float32, slot: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Change the rows ``to`` of ``outer`` by the positions ``row`` (in rising order), towards (sign 1) or away from (-1) their
+    context ``h``; returns what the contexts change by. Every ``SIDE`` positions gather their distinct rows once."""
+    blocks = -(-len(h) // SIDE)
+    seen, col = _distinct(to + row // SIDE * len(outer), slot)
+    block, at = np.divmod(seen, len(outer))
+    wanted = _weights(col, row % SIDE, (len(seen), SIDE), sign)
+    rows, change = held[:, : len(seen)]
+    np.take(outer, at, axis=0, out=rows, mode="clip")
+    ends = np.searchsorted(block, np.arange(blocks + 1)).tolist()
+    parts = [(slice(ends[k], ends[k + 1]), h[k * SIDE : (k + 1) * SIDE]) for k in range(blocks)]
+    x = np.zeros(wanted.shape, np.float32)
+    for part, mine in parts:
+        np.matmul(rows[part], mine.T, out=x[part, : len(mine)])
+    g = _gradient(x, wanted, rate)
+    back = np.concatenate([g[part, : len(mine)].T @ rows[part] for part, mine in parts])
+    each, owner = _distinct(at, slot)
+    g *= _share(np.bincount(owner[col], minlength=len(each)))[owner, None]
+    for part, mine in parts:
+        np.matmul(g[part, : len(mine)], mine, out=change[part])
+    # rows that several blocks change
+    times = np.bincount(owner, minlength=len(each))
+    common = np.flatnonzero(times > 1)
+    again = np.flatnonzero(times[owner] > 1)
+    place = np.cumsum(times > 1) - 1
+    spread = np.zeros((len(common), blocks, SIDE), np.float32)
+    spread[place[owner[again]], block[again]] = g[again]
+    total = outer[each[common]] + spread.reshape(len(common), blocks * SIDE)[:, : len(h)] @ h
+    rows += change
+    outer[at] = rows
+    outer[each[common]] = total
+    return back
+
+
+def train(texts: Iterator[tuple[np.ndarray, np.ndarray]], inner: np.ndarray, outer: np.ndarray, plan: Plan, rates: tuple[float, float], total: int, rng: np.random.Generator) -> None:
+    """One pass over the texts, in groups (their words, the sizes of the texts), changing ``inner`` (words) and ``outer`` (nodes or words) in place; the rate goes
     from the first to the second over ``total`` words."""
     table = None if plan.ways else np.cumsum(plan.counts**0.75)
+    # words in the order of the tree, so that positions with common nodes meet
+    rank = np.argsort(np.lexsort(plan.ways[1].T[::-1])) if plan.ways and plan.ways[1].size else np.arange(len(inner))
+    signs = 1 - 2 * plan.ways[1] if plan.ways else None
+    slot = np.zeros(max(len(inner), -(-BATCH // SIDE) * len(outer)), np.int64)
+    held = np.empty((2, BATCH * (plan.ways[0].shape[1] if plan.ways else 1 + plan.negative), inner.shape[1]), np.float32)
+    chance = plan.kept
     done = 0
-    for group in texts:
-        words, around = _positions(group, plan, rng)
+    for flat, sizes in texts:
+        words, around = _positions(flat, sizes, plan, chance, rng)
         share = done / max(1, total)
         rate = np.float32(rates[0] + (rates[1] - rates[0]) * min(1.0, share))
-        done += sum(map(len, group))
+        done += len(flat)
         for a in range(0, len(words), BATCH):
             w, ctx = words[a : a + BATCH], around[a : a + BATCH]
-            known = ctx >= 0
-            n = known.sum(axis=1, keepdims=True).astype(np.float32)
-            h = (inner[ctx] * known[:, :, None]).sum(axis=1) / n
             if plan.ways:
-                to, wanted = plan.ways[0][w], 1 - plan.ways[1][w]
+                order = np.argsort(rank[w])
+                w, ctx = w[order], ctx[order]
+                to, sign = plan.ways[0][w], signs[w]
                 used = to >= 0
             else:
                 drawn = np.searchsorted(table, rng.random((len(w), plan.negative)) * table[-1], "right")
                 to = np.concatenate([w[:, None], np.minimum(drawn, len(table) - 1)], axis=1)
-                wanted = np.zeros(to.shape, np.int64)
-                wanted[:, 0] = 1
+                sign = np.full(to.shape, -1)
+                sign[:, 0] = 1
                 used = np.ones(to.shape, bool)
                 used[:, 1:] = to[:, 1:] != w[:, None]
-            target = outer[to]
-            f = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bld->bl", h, target), -30, 30)))
-            g = ((wanted - f) * used * rate).astype(np.float32)
-            back = np.einsum("bl,bld->bd", g, target)
-            _add(outer, to[used], (g[:, :, None] * h[:, None, :])[used])
-            _add(inner, ctx[known], np.broadcast_to(back[:, None, :], (*ctx.shape, back.shape[1]))[known])
+            known = ctx >= 0
+            n = known.sum(axis=1)
+            seen, col = _distinct(ctx[known], slot)
+            window = _weights(np.repeat(np.arange(len(w)), n), col, (len(w), len(seen)))
+            vectors = inner[seen]
+            h = window @ vectors
+            h /= n[:, None].astype(np.float32)
+            at = np.flatnonzero(used)
+            back = _step(h, outer, at // to.shape[1], to.ravel()[at], sign.ravel()[at], rate, slot, held)
+            vectors += (window * _share(window.sum(axis=0))).T @ back
+            inner[seen] = vectors

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,12 +18,14 @@ from pyspark.sql import functions as F
 from loomtext.functions.vector import l2_normalize
 from loomtext.functions.word2vec import FIRST_RATE, LAST_RATE, Plan, huffman, train
 from loomtext.operators.counts import document_tokens, term_frequency, vocabulary
-from loomtext.plans.shared import materialize
+from loomtext.plans.shared import discard, materialize
 
 #: Bytes of a model, which is held by the driver and every task, at most.
 MODEL_BYTES = 1 << 30
 #: Rows of a model that are averaged together, tokens that are trained between two looks at the rate.
 ROWS, GROUP = 256, 10_000
+#: Bytes of averaged changes that the driver takes at once, at most.
+AT_ONCE = 128 << 20
 
 
 def _encoded(words: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -35,7 +40,24 @@ def _encoded(words: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _trained(inner: np.ndarray, outer: np.ndarray, plan: Plan, rates: tuple[float, float], total: int, seed: int, epoch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of texts one after another, and the sizes of these texts: ``GROUP`` words and the rest of the last text."""
+    flat, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        held = b.column(1).to_pylist()
+        flat = np.concatenate([flat, np.frombuffer(b"".join(held), np.int32)])
+        sizes = np.concatenate([sizes, np.array([len(x) // 4 for x in held], np.int64)])
+        ends = np.cumsum(sizes)
+        start = first = 0
+        while (last := int(np.searchsorted(ends, start + GROUP))) < len(ends):
+            yield flat[start : ends[last]], sizes[first : last + 1]
+            start, first = int(ends[last]), last + 1
+        flat, sizes = flat[start:], sizes[first:]
+    if len(sizes):
+        yield flat, sizes
+
+
+def _trained(model: Broadcast, plan: Broadcast, rates: tuple[float, float], total: int, seed: int, epoch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a partition's texts change in the model, in blocks of rows: (kind, block, rows changed, their changes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,22 +65,9 @@ def _trained(inner: np.ndarray, outer: np.ndarray, plan: Plan, rates: tuple[floa
         if first is None:
             return
         part = int(first.column(0)[0].as_py()) if first.num_rows else 0
-        mine = [inner.copy(), outer.copy()]
-
-        def groups() -> Iterator[list[np.ndarray]]:
-            held, size = [], 0
-            for b in (first, *batches):
-                for x in b.column(1).to_pylist():
-                    held.append(np.frombuffer(x, np.int32).astype(np.int64))
-                    size += len(held[-1])
-                    if size >= GROUP:
-                        yield held
-                        held, size = [], 0
-            if held:
-                yield held
-
-        train(groups(), *mine, plan, rates, total, np.random.default_rng((seed, epoch, part)))
-        for kind, (new, old) in enumerate(zip(mine, (inner, outer), strict=True)):
+        mine = [x.copy() for x in model.value]
+        train(_groups(chain([first], batches)), *mine, plan.value, rates, total, np.random.default_rng((seed, epoch, part)))
+        for kind, (new, old) in enumerate(zip(mine, model.value, strict=True)):
             for a in range(0, len(new), ROWS):
                 change = new[a : a + ROWS] - old[a : a + ROWS]
                 touched = np.flatnonzero((change != 0).any(axis=1))
@@ -82,6 +91,17 @@ def _averaged(size: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _taken(mean: DataFrame, size: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """The averaged blocks, at once or, of a large model, written by all tasks together and then read one part after another."""
+    if size <= AT_ONCE:
+        for b in mean.toArrow().to_batches():
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        return
+    held = materialize(mean, "changes")
+    yield from held.toLocalIterator()
+    discard(held)
+
+
 def _fit(docs: DataFrame, size: int, window: int, min_count: int, epochs: int, skip_gram: bool, tree: bool, negative: int, sample: float, seed: int, partitions: int) -> DataFrame:
     """In every epoch each partition trains a copy of the model on its texts, and the changes of a row are averaged over the
     partitions that touched it, in the cluster."""
@@ -100,12 +120,21 @@ def _fit(docs: DataFrame, size: int, window: int, min_count: int, epochs: int, s
     spread = docs.repartition(partitions, "_ref") if partitions > 1 else docs.coalesce(1)
     texts = materialize(spread.sortWithinPartitions("_ref").mapInArrow(_encoded(words), f"_ref {docs.schema['_ref'].dataType.simpleString()}, ids binary").select(F.spark_partition_id().alias("part"), "ids"), "texts")
     total = int(counts.sum() / partitions)
+    shared_plan = spark.sparkContext.broadcast(plan)
     for epoch in range(epochs):
         rates = tuple(FIRST_RATE + (LAST_RATE - FIRST_RATE) * (epoch + x) / epochs for x in (0, 1))
-        changed = texts.mapInArrow(_trained(inner, outer, plan, rates, total, seed, epoch), "kind int, block int, rows binary, change binary")
-        for r in changed.groupBy("kind", "block").applyInArrow(_averaged(size), "kind int, block int, rows binary, change binary").toLocalIterator():
-            at = np.frombuffer(r.rows, np.int32) + r.block * ROWS
-            (inner, outer)[r.kind][at] += np.frombuffer(r.change, np.float32).reshape(len(at), size)
+        model = spark.sparkContext.broadcast((inner, outer))
+        changed = texts.mapInArrow(_trained(model, shared_plan, rates, total, seed, epoch), "kind int, block int, rows binary, change binary")
+        mean = changed.groupBy("kind", "block").applyInArrow(_averaged(size), "kind int, block int, rows binary, change binary")
+        for kind, block, at, change in _taken(mean, inner.nbytes + outer.nbytes):
+            at = np.frombuffer(at, np.int32) + block * ROWS
+            (inner, outer)[kind][at] += np.frombuffer(change, np.float32).reshape(len(at), size)
+        model.destroy()
+        del changed, mean
+        gc.collect()  # else the shuffled changes of every epoch stay on disk
+        spark.sparkContext._jvm.System.gc()
+    shared_plan.destroy()
+    discard(texts)
     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * size), pa.array(inner.astype(np.float64).ravel()))
     return spark.createDataFrame(pa.table({"word": words, "vec": flat})).select("word", l2_normalize(F.col("vec")).alias("vec"))
 
