@@ -7,14 +7,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 
 FIRST_RATE, LAST_RATE = 0.025, 0.0001
 #: Positions of a batch, gradients of one row that a batch counts in full.
 BATCH, FULL = 128, 16
-#: Positions whose rows are gathered once and multiplied as a matrix.
-SIDE = 16
+#: Positions whose rows are gathered once and multiplied as a matrix: near each other in the tree, in the text.
+SIDE, NEAR = 16, 32
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +72,10 @@ def _positions(flat: np.ndarray, sizes: np.ndarray, plan: Plan, chance: np.ndarr
     flat, text = flat[kept], text[kept]
     width = rng.integers(1, plan.window + 1, len(flat))
     around = np.full((len(flat), 2 * plan.window), -1, np.int64)
-    at = np.arange(len(flat))
     for k, step in enumerate([*range(-plan.window, 0), *range(1, plan.window + 1)]):
-        to = at + step
-        ok = (to >= 0) & (to < len(flat)) & (abs(step) <= width)
-        ok[ok] &= text[to[ok]] == text[ok]
-        around[ok, k] = flat[to[ok]]
+        here, there = (slice(step, None), slice(None, -step)) if step > 0 else (slice(None, step), slice(-step, None))
+        ok = (width[there] >= abs(step)) & (text[here] == text[there])
+        np.copyto(around[there, k], flat[here], where=ok)
     if plan.skip_gram:
         where = np.nonzero(around >= 0)
         return flat[where[0]], around[where][:, None]
@@ -93,51 +92,63 @@ def _distinct(at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows, slot[at]
 
 
-def _weights(row: np.ndarray, col: np.ndarray, shape: tuple[int, int], weight: np.ndarray | None = None) -> np.ndarray:
-    """The matrix with the sum of the weights (or the number) of the pairs that fall on each place."""
-    return np.bincount(row * shape[1] + col, weight, minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape)
-
-
-def _share(times: np.ndarray) -> np.ndarray:
-    return np.minimum(1, FULL / np.maximum(times, 1)).astype(np.float32)
-
-
-def _gradient(x: np.ndarray, wanted: np.ndarray, rate: np.float32) -> np.ndarray:
-    """Of products ``x`` of which ``wanted`` has the sign, times their number."""
-    return wanted * rate / (1 + np.exp(np.clip(np.sign(wanted) * x, -30, 30)))
+@dataclass(frozen=True)
+class _Rows:
+    """The rows of a model that the positions of a batch use: every ``side`` positions have each of theirs once (``at``), in the
+    order of these blocks. ``use``: for every use of a row its place in ``at``; ``each``, ``owner``: distinct rows, and the place of ``at`` in them."""
+
+    at: np.ndarray
+    use: np.ndarray
+    block: np.ndarray
+    each: np.ndarray
+    owner: np.ndarray
+    parts: list[tuple[slice, slice]]
+    side: int
+
+    @staticmethod
+    def of(row: np.ndarray, to: np.ndarray, size: int, n: int, side: int, slot: np.ndarray) -> _Rows:
+        """Of ``n`` positions; ``row`` is the position of every use, rising, ``to`` its row of a model with ``size`` of them."""
+        seen, use = _distinct(to + row // side * size, slot)
+        block, at = np.divmod(seen, size)
+        ends = np.searchsorted(block, np.arange(-(-n // side) + 1)).tolist()
+        parts = [(slice(a, b), slice(k * side, min(n, (k + 1) * side))) for k, (a, b) in enumerate(pairwise(ends))]
+        return _Rows(at, use, block, *_distinct(at, slot), parts, side)
+
+    def weights(self, row: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """For every row and position of its block the sum of the weights (or the number) of its uses."""
+        place = self.use * self.side + row % self.side
+        return np.bincount(place, weight, minlength=len(self.at) * self.side).astype(np.float32).reshape(-1, self.side)
+
+    def put(self, model: np.ndarray, rows: np.ndarray, weight: np.ndarray, by: np.ndarray, change: np.ndarray) -> None:
+        """Add to the ``rows`` gathered from the model what ``weight`` takes of ``by``, bounded where many meet; put them back."""
+        weight *= np.minimum(1, FULL / np.bincount(self.owner[self.use], minlength=len(self.each))).astype(np.float32)[self.owner, None]
+        for part, mine in self.parts:
+            np.matmul(weight[part, : mine.stop - mine.start], by[mine], out=change[part])
+        times = np.bincount(self.owner, minlength=len(self.each))
+        common, again = np.flatnonzero(times > 1), np.flatnonzero(times[self.owner] > 1)
+        spread = np.zeros((len(common), len(self.parts), self.side), np.float32)
+        spread[(np.cumsum(times > 1) - 1)[self.owner[again]], self.block[again]] = weight[again]
+        common = self.each[common]
+        total = model[common] + spread.reshape(len(common), len(self.parts) * self.side)[:, : len(by)] @ by
+        rows += change
+        model[self.at] = rows
+        model[common] = total  # rows of several blocks
 
 
 def _step(h: np.ndarray, outer: np.ndarray, row: np.ndarray, to: np.ndarray, sign: np.ndarray, rate: np.float32, slot: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Change the rows ``to`` of ``outer`` by the positions ``row`` (in rising order), towards (sign 1) or away from (-1) their
-    context ``h``; returns what the contexts change by. Every ``SIDE`` positions gather their distinct rows once."""
-    blocks = -(-len(h) // SIDE)
-    seen, col = _distinct(to + row // SIDE * len(outer), slot)
-    block, at = np.divmod(seen, len(outer))
-    wanted = _weights(col, row % SIDE, (len(seen), SIDE), sign)
-    rows, change = held[:, : len(seen)]
-    np.take(outer, at, axis=0, out=rows, mode="clip")
-    ends = np.searchsorted(block, np.arange(blocks + 1)).tolist()
-    parts = [(slice(ends[k], ends[k + 1]), h[k * SIDE : (k + 1) * SIDE]) for k in range(blocks)]
-    x = np.zeros(wanted.shape, np.float32)
-    for part, mine in parts:
-        np.matmul(rows[part], mine.T, out=x[part, : len(mine)])
-    g = _gradient(x, wanted, rate)
-    back = np.concatenate([g[part, : len(mine)].T @ rows[part] for part, mine in parts])
-    each, owner = _distinct(at, slot)
-    g *= _share(np.bincount(owner[col], minlength=len(each)))[owner, None]
-    for part, mine in parts:
-        np.matmul(g[part, : len(mine)], mine, out=change[part])
-    # rows that several blocks change
-    times = np.bincount(owner, minlength=len(each))
-    common = np.flatnonzero(times > 1)
-    again = np.flatnonzero(times[owner] > 1)
-    place = np.cumsum(times > 1) - 1
-    spread = np.zeros((len(common), blocks, SIDE), np.float32)
-    spread[place[owner[again]], block[again]] = g[again]
-    total = outer[each[common]] + spread.reshape(len(common), blocks * SIDE)[:, : len(h)] @ h
-    rows += change
-    outer[at] = rows
-    outer[each[common]] = total
+    context ``h``; returns what the contexts change by."""
+    r = _Rows.of(row, to, len(outer), len(h), SIDE, slot)
+    rows, change = held[:, : len(r.at)]
+    np.take(outer, r.at, axis=0, out=rows, mode="clip")
+    wanted, x, across = r.weights(row, sign), np.zeros((len(r.at), SIDE), np.float32), np.ascontiguousarray(h.T)
+    for part, mine in r.parts:
+        np.matmul(rows[part], across[:, mine], out=x[part, : mine.stop - mine.start])
+    g = wanted * rate / (1 + np.exp(np.clip(np.sign(wanted) * x, -30, 30)))  # of a row drawn twice, two
+    back = np.empty_like(h)
+    for part, mine in r.parts:
+        np.matmul(g[part, : mine.stop - mine.start].T, rows[part], out=back[mine])
+    r.put(outer, rows, g, h, change)
     return back
 
 
@@ -148,8 +159,8 @@ def train(texts: Iterator[tuple[np.ndarray, np.ndarray]], inner: np.ndarray, out
     # words in the order of the tree, so that positions with common nodes meet
     rank = np.argsort(np.lexsort(plan.ways[1].T[::-1])) if plan.ways and plan.ways[1].size else np.arange(len(inner))
     signs = 1 - 2 * plan.ways[1] if plan.ways else None
-    slot = np.zeros(max(len(inner), -(-BATCH // SIDE) * len(outer)), np.int64)
-    held = np.empty((2, BATCH * (plan.ways[0].shape[1] if plan.ways else 1 + plan.negative), inner.shape[1]), np.float32)
+    slot = np.zeros(max(-(-BATCH // NEAR) * len(inner), -(-BATCH // SIDE) * len(outer)), np.int64)
+    held = np.empty((2, BATCH * max(2 * plan.window, plan.ways[0].shape[1] if plan.ways else 1 + plan.negative), inner.shape[1]), np.float32)
     chance = plan.kept
     done = 0
     for flat, sizes in texts:
@@ -159,26 +170,27 @@ def train(texts: Iterator[tuple[np.ndarray, np.ndarray]], inner: np.ndarray, out
         done += len(flat)
         for a in range(0, len(words), BATCH):
             w, ctx = words[a : a + BATCH], around[a : a + BATCH]
+            known = np.flatnonzero(ctx >= 0)
+            row = known // ctx.shape[1]
+            r = _Rows.of(row, ctx.ravel()[known], len(inner), len(w), NEAR, slot)
+            window, vectors = r.weights(row), inner[r.at]
+            h = np.empty((len(w), inner.shape[1]), np.float32)
+            for part, mine in r.parts:
+                np.matmul(window[part, : mine.stop - mine.start].T, vectors[part], out=h[mine])
+            h /= np.bincount(row, minlength=len(w))[:, None].astype(np.float32)
             if plan.ways:
                 order = np.argsort(rank[w])
-                w, ctx = w[order], ctx[order]
-                to, sign = plan.ways[0][w], signs[w]
+                to, sign = plan.ways[0][w[order]], signs[w[order]]
                 used = to >= 0
             else:
+                order = np.arange(len(w))
                 drawn = np.searchsorted(table, rng.random((len(w), plan.negative)) * table[-1], "right")
                 to = np.concatenate([w[:, None], np.minimum(drawn, len(table) - 1)], axis=1)
                 sign = np.full(to.shape, -1)
                 sign[:, 0] = 1
                 used = np.ones(to.shape, bool)
                 used[:, 1:] = to[:, 1:] != w[:, None]
-            known = ctx >= 0
-            n = known.sum(axis=1)
-            seen, col = _distinct(ctx[known], slot)
-            window = _weights(np.repeat(np.arange(len(w)), n), col, (len(w), len(seen)))
-            vectors = inner[seen]
-            h = window @ vectors
-            h /= n[:, None].astype(np.float32)
             at = np.flatnonzero(used)
-            back = _step(h, outer, at // to.shape[1], to.ravel()[at], sign.ravel()[at], rate, slot, held)
-            vectors += (window * _share(window.sum(axis=0))).T @ back
-            inner[seen] = vectors
+            back = np.empty_like(h)
+            back[order] = _step(h[order], outer, at // max(1, to.shape[1]), to.ravel()[at], sign.ravel()[at], rate, slot, held)
+            r.put(inner, vectors, window, back, held[0, : len(vectors)])

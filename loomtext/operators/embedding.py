@@ -122,6 +122,8 @@ def _fit(docs: DataFrame, size: int, window: int, min_count: int, epochs: int, s
     total = int(counts.sum() / partitions)
     shared_plan = spark.sparkContext.broadcast(plan)
     for epoch in range(epochs):
+        gc.collect()  # else all that was shuffled stays on disk: the texts, the changes of every epoch
+        spark.sparkContext._jvm.System.gc()
         rates = tuple(FIRST_RATE + (LAST_RATE - FIRST_RATE) * (epoch + x) / epochs for x in (0, 1))
         model = spark.sparkContext.broadcast((inner, outer))
         changed = texts.mapInArrow(_trained(model, shared_plan, rates, total, seed, epoch), "kind int, block int, rows binary, change binary")
@@ -131,8 +133,6 @@ def _fit(docs: DataFrame, size: int, window: int, min_count: int, epochs: int, s
             (inner, outer)[kind][at] += np.frombuffer(change, np.float32).reshape(len(at), size)
         model.destroy()
         del changed, mean
-        gc.collect()  # else the shuffled changes of every epoch stay on disk
-        spark.sparkContext._jvm.System.gc()
     shared_plan.destroy()
     discard(texts)
     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * size), pa.array(inner.astype(np.float64).ravel()))
