@@ -121,7 +121,9 @@ class _Rows:
 
     def put(self, model: np.ndarray, rows: np.ndarray, weight: np.ndarray, by: np.ndarray, change: np.ndarray) -> None:
         """Add to the ``rows`` gathered from the model what ``weight`` takes of ``by``, bounded where many meet; put them back."""
-        weight *= np.minimum(1, FULL / np.bincount(self.owner[self.use], minlength=len(self.each))).astype(np.float32)[self.owner, None]
+        met = np.bincount(self.owner[self.use], minlength=len(self.each))
+        if met.max(initial=0) > FULL:
+            weight *= np.minimum(1, FULL / met).astype(np.float32)[self.owner, None]
         for part, mine in self.parts:
             np.matmul(weight[part, : mine.stop - mine.start], by[mine], out=change[part])
         times = np.bincount(self.owner, minlength=len(self.each))

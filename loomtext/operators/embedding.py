@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.vector import l2_normalize
 from loomtext.functions.word2vec import FIRST_RATE, LAST_RATE, Plan, huffman, train
 from loomtext.operators.counts import document_tokens, term_frequency, vocabulary
-from loomtext.plans.shared import discard, materialize
+from loomtext.plans.shared import discard, materialize, shuffles_dropped
 
 #: Bytes of a model, which is held by the driver and every task, at most.
 MODEL_BYTES = 1 << 30
@@ -122,8 +121,6 @@ def _fit(docs: DataFrame, size: int, window: int, min_count: int, epochs: int, s
     total = int(counts.sum() / partitions)
     shared_plan = spark.sparkContext.broadcast(plan)
     for epoch in range(epochs):
-        gc.collect()  # else all that was shuffled stays on disk: the texts, the changes of every epoch
-        spark.sparkContext._jvm.System.gc()
         rates = tuple(FIRST_RATE + (LAST_RATE - FIRST_RATE) * (epoch + x) / epochs for x in (0, 1))
         model = spark.sparkContext.broadcast((inner, outer))
         changed = texts.mapInArrow(_trained(model, shared_plan, rates, total, seed, epoch), "kind int, block int, rows binary, change binary")
@@ -132,7 +129,6 @@ def _fit(docs: DataFrame, size: int, window: int, min_count: int, epochs: int, s
             at = np.frombuffer(at, np.int32) + block * ROWS
             (inner, outer)[kind][at] += np.frombuffer(change, np.float32).reshape(len(at), size)
         model.destroy()
-        del changed, mean
     shared_plan.destroy()
     discard(texts)
     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * size), pa.array(inner.astype(np.float64).ravel()))
@@ -156,6 +152,7 @@ def fit_embedding(
         raise ValueError("without hierarchical softmax there must be negative samples")
     docs = document_tokens(df, ident, text)
     if not skip_gram or not hierarchical_softmax or sample > 0:
-        return _fit(docs, size, window, min_count, epochs, bool(skip_gram), bool(hierarchical_softmax), negative, sample, seed, partitions)
+        with shuffles_dropped(df.sparkSession):
+            return _fit(docs, size, window, min_count, epochs, bool(skip_gram), bool(hierarchical_softmax), negative, sample, seed, partitions)
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, maxSentenceLength=longest, inputCol="tokens", outputCol="_").fit(docs)
     return model.getVectors().select("word", l2_normalize(vector_to_array("vector")).alias("vec"))

@@ -85,6 +85,19 @@ def tables_released(spark: SparkSession) -> Iterator[None]:
         release(spark, keep)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a query of the block shuffles is deleted when the query ends (from Spark 4.1 on), not whenever the driver happens to
+    collect its garbage: for loops of queries, each of which shuffles as much again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 atexit.register(release)
 
 

@@ -12,6 +12,7 @@ import pytest
 
 from loomtext.functions import word2vec as w2v
 from loomtext.operators import embedding
+from loomtext.plans import shared
 
 
 def plain(words, around, inner, outer, plan, rate, drawn):
@@ -108,3 +109,12 @@ def test_large_models_are_read_in_parts(spark, monkeypatch):
     monkeypatch.setattr(embedding, "AT_ONCE", 0)
     in_parts = sorted(map(tuple, embedding.fit_embedding(df, "_ref", **given).collect()))
     assert [w for w, _ in at_once] == [w for w, _ in in_parts] and np.allclose([v for _, v in at_once], [v for _, v in in_parts], atol=1e-6)
+
+
+def test_shuffles_of_an_epoch_are_dropped(spark):
+    """The setting holds while the model is trained and is as before afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with shared.shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
